@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from quillspark.llm.decontamination import OP4_SQL, op4_decontaminate
+from quillspark.llm.near_dedup import op10_near_dedup
 
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLE_SQL = {
     "op4_decontaminate": OP4_SQL,
