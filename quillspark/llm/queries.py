@@ -5,9 +5,11 @@ from __future__ import annotations
 from quillspark.llm.decontamination import OP4_SQL, op4_decontaminate
 from quillspark.llm.near_dedup import op10_near_dedup
 from quillspark.llm.quality_rules import OP2_SQL, op2_quality_rules
+from quillspark.llm.sharding import op3_external_shuffle
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_external_shuffle": op3_external_shuffle,
     "op4_decontaminate": op4_decontaminate,
     "op10_near_dedup": op10_near_dedup,
 }
