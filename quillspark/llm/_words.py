@@ -1,6 +1,6 @@
 """Vectorised word tables over Arrow string columns, shared by the shingle-based operators.
 
-A *word* is a maximal run of bytes whose class is set; documents never share a word.  Everything here is
+A *word* is a maximal run of bytes of one class other than 0; documents never share a word.  Everything here is
 bounded by ``CHUNK_BYTES`` of text (or by one document, if that is longer), never by the batch.
 """
 
@@ -97,16 +97,13 @@ def words(column: pa.Array, kinds: np.ndarray = ALNUM, fold: np.ndarray | None =
         data = fold[data] if fold is not None else data
         at = (offsets[lo : hi + 1] - offsets[lo]).astype(np.int64)
         n = len(data)
-        inside = kinds[data]
-        breaks = at[(at > 0) & (at < n)]
-        before = np.zeros(n, dtype=bool)
-        before[1:] = inside[:-1]
-        before[breaks] = False
-        after = np.zeros(n, dtype=bool)
-        after[:-1] = inside[1:]
-        after[breaks - 1] = False
-        starts = np.flatnonzero(inside & ~before)
-        ends = np.flatnonzero(inside & ~after) + 1
+        kind = kinds[data].view(np.uint8)
+        edge = np.ones(n + 1, dtype=bool)
+        edge[1:n] = kind[1:] != kind[:-1]
+        edge[at] = True
+        inside = kind > 0
+        starts = np.flatnonzero(inside & edge[:n])
+        ends = np.flatnonzero(inside & edge[1:]) + 1
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from quillspark.llm.decontamination import OP4_SQL, op4_decontaminate
+from quillspark.llm.importance import op5_quality_classifier
+from quillspark.llm.language_id import op1_language_id
 from quillspark.llm.near_dedup import op10_near_dedup
 from quillspark.llm.pii import op9_personal_data
 from quillspark.llm.quality_rules import OP2_SQL, op2_quality_rules
 from quillspark.llm.sharding import op3_external_shuffle
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op3_external_shuffle": op3_external_shuffle,
     "op4_decontaminate": op4_decontaminate,
+    "op5_quality_classifier": op5_quality_classifier,
     "op9_personal_data": op9_personal_data,
     "op10_near_dedup": op10_near_dedup,
 }
