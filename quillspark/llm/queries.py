@@ -6,6 +6,7 @@ from quillspark.llm.decontamination import OP4_SQL, op4_decontaminate
 from quillspark.llm.importance import op5_quality_classifier
 from quillspark.llm.language_id import op1_language_id
 from quillspark.llm.near_dedup import op10_near_dedup
+from quillspark.llm.pieces import op8_sampled_pieces
 from quillspark.llm.pii import op9_personal_data
 from quillspark.llm.quality_rules import OP2_SQL, op2_quality_rules
 from quillspark.llm.sharding import op3_external_shuffle
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_external_shuffle": op3_external_shuffle,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_classifier": op5_quality_classifier,
+    "op8_sampled_pieces": op8_sampled_pieces,
     "op9_personal_data": op9_personal_data,
     "op10_near_dedup": op10_near_dedup,
 }
