@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Only where the session names no folder, as in tests.
 FALLBACK = "/tmp/checkpoints"
+#: A bitmap has 16 bits a key and 32 MB at most.
+MOST_BITS = 1 << 28
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +34,28 @@ class Workspace:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@dataclass
+class Bitmap:
+    """Lower bits of hashes that are there; others may seem to be, so an exact join must follow."""
+
+    data: np.ndarray
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & np.uint64(8 * len(self.data) - 1)
+        return ((self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def membership(keys: DataFrame, hashed: Column) -> Bitmap:
+    """A bitmap of a long column of hashes; its size is bounded whatever the number of keys."""
+    bits = 1 << 15
+    n = min(16 * keys.count(), MOST_BITS)
+    while bits < n:
+        bits *= 2
+    at = keys.select((F.pmod(hashed, F.lit(bits)) + 1).alias("h"))
+    parts = at.groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    out = np.zeros(bits >> 3, dtype=np.uint8)
+    for k, part in parts.toLocalIterator():
+        out[(k - 1) * len(part) : k * len(part)] = np.frombuffer(bytes(part), np.uint8)
+    return Bitmap(out)

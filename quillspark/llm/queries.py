@@ -10,6 +10,7 @@ from quillspark.llm.pieces import op8_sampled_pieces
 from quillspark.llm.pii import op9_personal_data
 from quillspark.llm.quality_rules import OP2_SQL, op2_quality_rules
 from quillspark.llm.sharding import op3_external_shuffle
+from quillspark.llm.suffix_dedup import op7_suffix_dedup
 from quillspark.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_warc": op6_warc,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sampled_pieces": op8_sampled_pieces,
     "op9_personal_data": op9_personal_data,
     "op10_near_dedup": op10_near_dedup,
