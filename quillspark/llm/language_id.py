@@ -64,14 +64,23 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """Languages, the landmarks' presence as packed bits (a row each), and weights by landmark and language."""
+
     languages: list[str]
-    landmarks: np.ndarray
+    bits: np.ndarray
     weights: np.ndarray
+    landmarks: np.ndarray | None = None
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        if self.landmarks is None:
+            self.landmarks = unpacked(self.bits)
         return (unit(presence(texts)) @ self.landmarks.T) @ self.weights
 
 
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return unit(np.unpackbits(bits, axis=1).astype(np.float32))
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -96,7 +105,7 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, key_col: str, rows:
     got = sorted((r["label"], bytes(r["bits"])) for r in drawn.collect())
     if not got:
         return None
-    x = unit(np.unpackbits(np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32))
+    bits = np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), -1)
     languages = sorted({k for k, _ in got})
     order = np.random.default_rng(SEED).permutation(len(got))
     y = np.array([[1.0 if k == lang else -1.0 for lang in languages] for k, _ in got])
@@ -104,12 +113,13 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, key_col: str, rows:
     picked: list[int] = []
     for lang in languages:
         picked += [i for i in order.tolist() if got[i][0] == lang][: max(1, landmarks // len(languages))]
-    z = x[picked]
-    kmm = (z @ z.T).astype(np.float64)
-    knm = (x @ z.T).astype(np.float64)
+    z = unpacked(bits[picked])
+    # kernels by blocks of rows: the whole presence matrix would be large
+    knm = np.concatenate([unpacked(bits[k : k + 128]) @ z.T for k in range(0, len(bits), 128)]).astype(np.float64)
+    kmm = knm[picked]
     # ridge regression in the Nyström space: the penalty is w' K w
     weights = np.linalg.solve(knm.T @ knm + RIDGE * len(got) * kmm + 1e-8 * np.eye(len(picked)), knm.T @ y)
-    return Model(languages, z, weights.astype(np.float32))
+    return Model(languages, bits[picked].copy(), weights.astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
