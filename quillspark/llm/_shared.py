@@ -59,3 +59,9 @@ def membership(keys: DataFrame, hashed: Column) -> Bitmap:
     for k, part in parts.toLocalIterator():
         out[(k - 1) * len(part) : k * len(part)] = np.frombuffer(bytes(part), np.uint8)
     return Bitmap(out)
+
+
+def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns c0, c1, ..., which no operator's own columns clash with, and the new name of each."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import _words as W
+from quillspark.llm._shared import positional
 
 WINDOW = 13
 GRAM = 5
@@ -177,6 +178,12 @@ def is_contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that are not contaminated."""
+    plain, name = positional(docs)
+    return decontaminate(plain, benchmark, name[text_col]).where(~is_contaminated()).select(*plain.columns).toDF(*docs.columns)
+
+
 _LIST = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP4_SQL = f"""
 WITH b AS (SELECT CAST(item_id AS VARCHAR) AS id, {_LIST} AS w FROM benchmark),

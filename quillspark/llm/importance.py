@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _words as W
-from quillspark.llm._shared import Workspace
+from quillspark.llm._shared import Workspace, positional
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -179,8 +179,11 @@ def threshold(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the sample keeps."""
-    _, model, least = threshold(docs, labels, id_col, text_col)
-    return score(docs, model, id_col, text_col).where(F.col("gumbel_key") >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
+    plain, name = positional(docs)
+    key, text = name[id_col], name[text_col]
+    renamed = labels.withColumnRenamed(id_col, key)
+    _, model, least = threshold(plain, renamed, key, text)
+    return score(plain, model, key, text).where(F.col("gumbel_key") >= least).select(*plain.columns).toDF(*docs.columns)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,8 +180,14 @@ def trusted(edges: DataFrame, space: Workspace, rounds: int, least_score: float,
 
 def personal_data(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """The documents' columns (those of ``carry``) with email, ip, card, phone (base spans) and context (found spans)."""
+    carry = [c for c in docs.columns if c not in (*KINDS, "context")] if carry is None else carry
+    found = found_spans(docs, text_col, carry, rounds, least_score, least_seeds)
+    return found.select(*(F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)), *KINDS, "context")
+
+
+def found_spans(docs: DataFrame, text_col: str, carry: list[str], rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+    """As personal_data, with the columns of ``carry`` named c_0, c_1, ..."""
     space = Workspace(docs.sparkSession, "pii")
-    carry = docs.columns if carry is None else carry
     columns = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(carry)]
     own = docs.select(*columns, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text")).withColumn("rid", F.monotonically_increasing_id())
     marked = mentions(base_spans(own, "__text"), "__text").drop("__text")
@@ -192,12 +198,11 @@ def personal_data(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     found = rows.where("kind is null").join(good, ["pattern", "instance"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("context"))
     found = space.save(found, "found")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    named = [F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)]
     # only rows with candidates can have found spans
     some = marked.where("size(candidates) > 0").join(found, "rid", "left")
     most = marked.where("size(candidates) = 0").withColumn("context", none)
     both = some.withColumn("context", F.coalesce("context", none)).select(*most.columns).union(most)
-    return both.select(*named, *KINDS, "context")
+    return both.select(*(f"c_{k}" for k in range(len(carry))), *KINDS, "context")
 
 
 def span_list(kinds: tuple[str, ...]) -> Column:
@@ -221,13 +226,12 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span of their text replaced by [kind]; texts without a span are left as they are."""
-    found = personal_data(docs, text_col)
+    found = found_spans(docs, text_col, docs.columns)
     kinds = (*KINDS, "context")
-    every = F.concat(*(of_kind(k, i) for i, k in enumerate(kinds)))
-    out = found.withColumn("__spans", F.array_sort(every))
-    text = F.col(f"`{text_col}`")
-    out = out.withColumn(text_col, F.when(F.size("__spans") > 0, masked(text, F.col("__spans"))).otherwise(text))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = found.withColumn("spans", F.array_sort(F.concat(*(of_kind(k, i) for i, k in enumerate(kinds)))))
+    text = F.col(f"c_{docs.columns.index(text_col)}")
+    new = F.when(F.size("spans") > 0, masked(text, F.col("spans"))).otherwise(text)
+    return out.select(*(new.alias(c) if c == text_col else F.col(f"c_{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
