@@ -15,6 +15,7 @@ are judged alike; an empty table gives no rows; columns of the documents that cl
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,37 +37,54 @@ def share(n: Column, of: Column) -> Column:
     return n / F.greatest(of, F.lit(1))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once.
+
+    A column of its own would not do: where a filter is pushed below it, its expression is put in the place of every
+    use, those inside lambdas included, and is then worked out for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with the five figures (long).  n_repeat_words counts the words that lie in a 3-word window found
     twice or more in the text: windows are sorted with their places, those equal to a neighbour are repeated, and each
     repeated place covers the words up to the next one, three at most."""
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    df = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("__w"))
+
+    def windows(w: Column) -> Column:
+        def window(i: Column) -> Column:
+            return F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i"))
+
+        none = F.array().cast("array<struct<g:string,i:int>>")
+        return F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window))).otherwise(none)
+
+    def places(t: Column) -> Column:
+        twice = F.filter(t, lambda x, j: (F.get(t, j - 1)["g"] == x["g"]) | (F.get(t, j + 1)["g"] == x["g"]))
+        return F.sort_array(F.transform(twice, lambda x: x["i"]))
+
+    def covered(p: Column) -> Column:
+        step = F.transform(p, lambda x, j: F.coalesce(F.least(F.get(p, j + 1) - x, F.lit(3)), F.lit(3)))
+        return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            bound(windows(w), lambda t: bound(places(t), covered)).alias("n_repeat_words"),
+        )
+
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
-    df = df.withColumns(
-        {
-            "n_words": F.size("__w").cast("long"),
-            "word_chars": F.length(F.array_join("__w", "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long"),
-            "__lines": lines,
-            "__t": F.when(
-                F.size("__w") >= 3,
-                F.sort_array(
-                    F.transform(
-                        F.sequence(F.lit(0), F.size("__w") - 3),
-                        lambda i: F.struct(F.concat_ws(" ", F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)).alias("g"), i.alias("i")),
-                    )
-                ),
-            ).otherwise(F.array().cast("array<struct<g:string,i:int>>")),
-        }
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    df = docs.select(*kept, bound(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words).alias("__f"), text.alias("__text"), lines.alias("__lines"))
+    return df.select(
+        *kept,
+        "__f.n_words",
+        "__f.word_chars",
+        (F.length("__text") - F.length(F.regexp_replace("__text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        "__f.n_repeat_words",
     )
-    twice = F.filter("__t", lambda x, j: (F.get("__t", j - 1)["g"] == x["g"]) | (F.get("__t", j + 1)["g"] == x["g"]))
-    df = df.withColumn("__p", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    covered = F.transform("__p", lambda x, j: F.coalesce(F.least(F.get("__p", j + 1) - x, F.lit(3)), F.lit(3)))
-    df = df.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-    df = df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x))
-    return df.drop("__w", "__t", "__p", "__lines")
 
 
 def base_rules() -> list[Rule]:
@@ -89,11 +107,11 @@ def text_rules(text_col: str = "text") -> list[Rule]:
     ]
 
 
-def ordered(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[Rule, float, float]]:
+def ordered(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[Rule, float, float]]:
     """The rules by falling rejection per cost, with cost (seconds) and share of rejected rows on the sample."""
-    space = Workspace(df.sparkSession, "rule-sample")
-    rows = df.count()
-    sample = space.save(df.sample(min(1.0, sample_rows / max(rows, 1)), seed=seed), "sample")
+    space = Workspace(docs.sparkSession, "rule-sample")
+    rows = docs.count()
+    sample = space.save(figures(docs.sample(min(1.0, sample_rows / max(rows, 1)), seed=seed), text_col), "sample")
     out = []
     for rule in rules:
         probe = sample.agg(F.avg(F.coalesce(rule.rejects, F.lit(False)).cast("int")))
@@ -120,8 +138,9 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "t
     base = base_rules()
     rules = base + text_rules(text_col) if rules is None else rules
     columns = [c for c in docs.columns if c not in ("base_failed", "kept")]
-    measured = figures(docs.select(*(F.col(f"`{c}`") for c in columns)), text_col)
-    by_worth = [r for r, _, _ in ordered(measured, rules, sample_rows)]
+    own = docs.select(*(F.col(f"`{c}`") for c in columns))
+    measured = figures(own, text_col)
+    by_worth = [r for r, _, _ in ordered(own, rules, text_col, sample_rows)]
     failed = base[0].rejects | base[1].rejects
     return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(by_worth).isNull())
 
