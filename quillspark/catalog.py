@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from quillspark.plans.queries import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "symbol_vocabulary"
+FLAGSHIP = "carry_over_tiers"
 
-
-def symbol_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part types with how often each is used, as a registry of names would hold them."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_type").agg(F.count("*").alias("n"))
-
-
-QUERIES = {"symbol_vocabulary": symbol_vocabulary}
-ORACLE_SQL = {"symbol_vocabulary": "SELECT p_type, count(*) AS n FROM part GROUP BY p_type"}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
