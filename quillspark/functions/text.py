@@ -89,7 +89,7 @@ def particle(token: Column, with_coda: str, without: str, rieul_as_none: bool =
 
 def preview(text: Column) -> Column:
     """One line: the trimmed lines that are not empty, with a return mark between."""
-    return F.array_join(F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), F.trim), lambda x: x != ""), " ↵ ")
+    return F.array_join(F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != ""), " ↵ ")
 
 
 def normalized_path(path: Column) -> Column:
