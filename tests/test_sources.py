@@ -74,7 +74,7 @@ def test_zip_entries(spark):
 def test_language_and_key_functions(spark):
     texts = ["今日は", "안녕 hello", "hello", "%NAME%", "12/3%", "", None, "abc_1", "火／水", "ー"]
     assert column(spark, texts, lambda t: T.is_likely_language(t, "ja")) == [True, False, False, False, False, False, False, False, True, True]
-    assert column(spark, texts, lambda t: T.is_entirely_language(t, "en")) == [False, False, True, False, False, False, False, False, False, False]
+    assert column(spark, texts, lambda t: T.is_entirely_language(t, "en")) == [False, False, True, False, False, False, False, True, False, False]
     assert column(spark, texts[:6], lambda t: T.contains_language(t, "ko")) == [False, True, False, False, False, False]
     assert column(spark, texts[:6], T.looks_like_code_only) == [False, False, False, True, True, True]
     assert column(spark, texts[:6], T.is_numeric_like) == [False, False, False, False, True, False]
