@@ -14,6 +14,9 @@ from quillspark.operators import grouping as G
 from quillspark.operators import intervals as I
 from quillspark.operators import lexicon as L
 from quillspark.operators import references as R
+from quillspark.operators import renames as N
+from quillspark.operators import selection as S
+from quillspark.operators import sync as Y
 from quillspark.plans.frames import PREVIOUS, PROGRESS, SEGMENTS, previous, progress, segments, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,3 +315,77 @@ def propagated_key_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = customers.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("function"), F.lit(0).alias("argument"), F.col("c_mktsegment").alias("namespace"))
     calls = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("caller"), (F.col("o_orderkey") % 3).cast("int").alias("parameter"), (F.col("o_orderkey") * 7 % n).alias("callee"), (F.col("o_orderkey") % 2).cast("int").alias("argument"))
     return R.propagate_keys(known, calls).select("function", "argument")
+
+
+@query("""SELECT p_partkey, p_name, p_type FROM part WHERE p_size > 10 AND (contains(lower(p_name), 'an') OR contains(lower(p_type), 'an')) AND contains(p_brand, '1')""")
+def filtered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "part").withColumn("file_type", F.when(F.col("p_size") > 10, "csv").otherwise("script")).withColumn("status", F.col("p_brand"))
+    return S.matching(items, ["p_name", "p_type"], "AN", file_type="csv", status="1").select("p_partkey", "p_name", "p_type")
+
+
+@query("""SELECT doc_id, regexp_replace(text, 'the', '<*>', 'gi') AS text, regexp_matches(text, 'the', 'i') AS changed FROM documents""")
+def replaced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "THE", "<*>").select("doc_id", "text", "changed")
+
+
+@query("""SELECT p_brand, p_size, count(*) - 1 AS messages FROM part GROUP BY ALL HAVING count(*) > 1""")
+def manifest_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.repeated_keys(table(spark, sf_dir, "part"), ["p_brand", "p_size"])
+
+
+@query("""SELECT k, v FROM (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)) WHERE k NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def active_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"))
+    return S.except_keys(S.union_first_wins(a, b, ["k"]), gone, ["k"])
+
+
+@query("""SELECT o_orderkey, o_orderdate FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_orderdate DESC, o_orderkey LIMIT 10""")
+def latest_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten newest of the first phase that has any: a report."""
+    phase = F.when(F.col("o_orderstatus") == "P", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    return S.latest(table(spark, sf_dir, "orders"), [phase, F.col("o_orderdate").desc(), F.col("o_orderkey")], 10).select("o_orderkey", "o_orderdate")
+
+
+@query("""WITH e AS (SELECT p_brand AS ns, p_type AS k, arg_min(p_name, (p_partkey)) AS nk, list_sort(list(DISTINCT p_name)) AS inputs FROM part GROUP BY ALL),
+  r AS (SELECT l_orderkey AS document_id, l_linenumber * 100 AS start, length(p_type) AS length, p_brand AS ns, p_type AS k FROM lineitem JOIN part ON l_partkey = p_partkey)
+  SELECT document_id, start, r.length, CASE WHEN regexp_matches(nk, '[\\s,:()\\[\\]{}"%@\\\\+\\-*/=<>!&|^~?#;'']') THEN (SELECT CAST(min(p_partkey) AS VARCHAR) FROM part p WHERE p.p_brand = r.ns AND p.p_type = r.k) ELSE nk END AS value
+  FROM r JOIN e USING (ns, k) WHERE k <> nk""")
+def rename_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    entries = N.rename_entries(parts.select(F.col("p_brand").alias("namespace"), F.col("p_type").alias("key"), F.col("p_name").alias("new_key"), F.col("p_partkey").alias("number"), F.col("p_partkey").alias("preferred")))
+    uses = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    references = uses.select(F.col("l_orderkey").alias("document_id"), F.col("p_brand").alias("namespace"), F.col("p_type").alias("key"), (F.col("l_linenumber") * 100).alias("start"), F.length("p_type").alias("length"))
+    return N.planned_edits(references, entries)
+
+
+@query("""SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE lower(c.c_mktsegment) = 'building' AND o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O')""")
+def unresolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("Building").alias("variable"), F.when(F.col("o_orderstatus") == "O", F.col("o_custkey")).otherwise(-1).alias("key"))
+    sites = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("variable"), F.col("c_custkey").alias("key"))
+    return N.unresolved(uses, sites).select("o_orderkey")
+
+
+@query("""SELECT c_custkey, CASE WHEN s_name IS NOT NULL AND (sub = '' OR tr = sub) THEN s_name ELSE tr END AS translation
+  FROM (SELECT c_custkey, c_name AS tr, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN '' ELSE 'x' END AS sub, s_name FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey)""")
+def server_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_custkey") % 3
+    items = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("segment_id"), F.lit("none").alias("namespace"), F.col("c_mktsegment").alias("key"), F.col("c_name").alias("translation"), F.when(n == 0, F.col("c_name")).when(n == 1, "").otherwise("x").alias("submitted"))
+    work = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("segment_id"), F.col("s_name").alias("server"))
+    shared = spark.createDataFrame([], "namespace string, key string, shared string")
+    return Y.applied(items, work, shared).select(F.col("segment_id").alias("c_custkey"), "translation")
+
+
+@query("""SELECT e.user_id, e.event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) e
+  LEFT JOIN (SELECT user_id, arg_min(event_type, event_id) AS t FROM events GROUP BY 1) s USING (user_id) WHERE n = 1 AND e.event_type IS DISTINCT FROM s.t""")
+def unsubmitted_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("translation"))
+    sent = G.keep_first(items, ["user_id"], [F.col("event_id")])
+    return Y.changed(items, sent, "user_id", "event_id").select("user_id", "event_id")
+
+
+@query("""SELECT l_shipmode_like AS result, count(*) AS n, count(*) FILTER (l_quantity > 25) AS large, sum(l_quantity) AS total FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode_like FROM lineitem) GROUP BY 1""")
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumn("result", F.concat("l_returnflag", "l_linestatus"))
+    return rows.groupBy("result").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("large"), F.sum("l_quantity").alias("total"))
