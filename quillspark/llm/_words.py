@@ -6,13 +6,17 @@ bounded by ``CHUNK_BYTES`` of text (or by one document, if that is longer), neve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch; Spark's 10,000 whole texts would be held four times over, in the JVM and in the worker.
+BATCH_ROWS = 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 MAX_HASH = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -142,3 +146,30 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
     # the windows that hold i start at i - width + 1 to i: the greatest of their minima is hashes[i] if i is chosen
     most = sliding(least[::-1], width, False)[::-1]
     return (most == hashes) & (hashes != MAX_HASH)
+
+
+def release() -> None:
+    """Gives memory that was freed back to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of batches, which releases memory after each batch it gives."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            release()
+        release()
+
+    return wrapped
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches and memory that stay small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(tidy(run), schema)

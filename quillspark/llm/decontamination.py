@@ -157,7 +157,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         rows = [(r.id, r.text) for r in bench.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).toLocalIterator()]
         table = spark.sparkContext.broadcast(Fingerprints(rows, window, gram))
         schema = T.StructType([*(f for f in out.schema.fields if f.name not in added.names), *added.fields])
-        out = out.mapInArrow(_marker(table, text_col, k == 0), schema)
+        out = out.transform(W.mapped, _marker(table, text_col, k == 0), schema)
     return out
 
 

@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = F.broadcast(space.save(labelled_sample(labels, id_col, rows), "sample"))
     own = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))
     fitted = own.join(sample, "__id", "left").select("text", F.coalesce(F.col("good") & ~F.col("held"), F.lit(False)).alias("target"))
-    counts = fitted.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counts = fitted.transform(W.mapped, _count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
     if not target.sum():
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             total, n = shared.value.sums(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(n), batch.column("held")], ["total", "n", "held"])
 
-    seen = own.join(sample.where("good"), "__id").select("text", "held").mapInArrow(sums, "total double, n double, held boolean").limit(4 * rows).toPandas()
+    seen = own.join(sample.where("good"), "__id").select("text", "held").transform(W.mapped, sums, "total double, n double, held boolean").limit(4 * rows).toPandas()
     seen = seen[seen.n > 0]
     seen = seen[seen.held] if seen.held.any() else seen
     model.mean = float(seen.total.sum() / max(seen.n.sum(), 1))
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*columns, *ADDED])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{schema}, importance double, gumbel_key double")
+    return own.transform(W.mapped, run, f"{schema}, importance double, gumbel_key double")
 
 
 def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:

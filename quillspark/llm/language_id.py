@@ -87,9 +87,8 @@ def has_letter(text: str | None) -> bool:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in range(batch.num_rows):
-            bits = np.packbits(presence([batch.column("text")[row].as_py()])[0] > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(row, 1), pa.array([bits.tobytes()], pa.binary())], ["label", "bits"])
+        bits = [np.packbits(presence([t.as_py()])[0] > 0).tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(bits, pa.binary())], ["label", "bits"])
 
 
 def fit(labelled: DataFrame, label_col: str, text_col: str, key_col: str, rows: int = TRAINING_ROWS, landmarks: int = LANDMARKS) -> Model | None:
@@ -101,7 +100,7 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, key_col: str, rows:
         return None
     each = max(1, rows // len(counts))
     chance = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, each / n)))))[F.col("label")]
-    drawn = own.where((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < chance).mapInArrow(_pack, f"label {own.schema['label'].dataType.simpleString()}, bits binary").limit(2 * rows)
+    drawn = own.where((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < chance).transform(W.mapped, _pack, f"label {own.schema['label'].dataType.simpleString()}, bits binary").limit(2 * rows)
     got = sorted((r["label"], bytes(r["bits"])) for r in drawn.collect())
     if not got:
         return None
@@ -149,7 +148,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, labels, pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.transform(W.mapped, run, f"{schema}, lang_pred string, score double")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

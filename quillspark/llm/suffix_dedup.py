@@ -325,19 +325,19 @@ def repeated_spans(own: DataFrame, space: Workspace) -> DataFrame:
     spark = own.sparkSession
     share = spark.sparkContext.broadcast
     texts = own.select("text")
-    grams = texts.mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    grams = texts.transform(W.mapped, _gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     grams = space.save(grams, "grams")
-    found = own.select("fp", "text").mapInArrow(_repeated_anchors(share(membership(grams, F.col("gram")))), "gram long, context long, fp binary, at long, lo int, hi int")
+    found = own.select("fp", "text").transform(W.mapped, _repeated_anchors(share(membership(grams, F.col("gram")))), "gram long, context long, fp binary, at long, lo int, hi int")
     found = space.save(found, "anchors")
     kinds = space.save(found.groupBy("gram", "context").agg(F.count("*").alias("n")), "kinds")
     several = kinds.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     differing = space.save(kinds.join(several, "gram").select("gram", "context", "m"), "differing")
-    bodies = texts.mapInArrow(_contexts(share(membership(differing, F.col("context")))), "gram long, context long, lo int, hi int, body binary")
+    bodies = texts.transform(W.mapped, _contexts(share(membership(differing, F.col("context")))), "gram long, context long, lo int, hi int, body binary")
     bodies = bodies.groupBy("gram", "context").agg(F.min(F.struct("lo", "hi", "body")).alias("x")).join(differing, ["gram", "context"]).select("gram", "context", "m", "x.*")
     bodies = space.save(bodies.withColumn("lead", F.expr(f"substring(body, hi + 1, {LEAD})")), "bodies")
     schema = "gram long, context long, near int, far int"
-    few = bodies.where(F.col("m") <= CROWD).drop("m").repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_sorted_bucket, schema)
-    single = bodies.where(F.col("m") > CROWD).select("gram", "context", "hi", "body").mapInArrow(_single_strings, "s1 long, s2 long, gram long, context long, d int")
+    few = bodies.where(F.col("m") <= CROWD).drop("m").repartitionByRange("lead").sortWithinPartitions("lead").transform(W.mapped, _sorted_bucket, schema)
+    single = bodies.where(F.col("m") > CROWD).select("gram", "context", "hi", "body").transform(W.mapped, _single_strings, "s1 long, s2 long, gram long, context long, d int")
     twice = single.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1")
     many = single.join(twice, ["s1", "s2"]).groupBy("gram", "context").agg(F.min("d").alias("near"), F.max("d").alias("far"))
     partly = space.save(few.union(many), "partly")
@@ -360,10 +360,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", carry: list[str] | N
     spans = repeated_spans(own, space)
     spans = spans.withColumn("n_removed", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"]))
     marked = share(membership(spans, F.xxhash64("fp")))
-    some = own.select("fp", "text", F.xxhash64("fp").alias("h")).mapInArrow(_sift(marked), "fp binary, text string")
+    some = own.select("fp", "text", F.xxhash64("fp").alias("h")).transform(W.mapped, _sift(marked), "fp binary, text string")
     # a text of which nothing is left needs no reading
     some = some.groupBy("fp").agg(F.first("text").alias("text")).join(spans.select("fp", "spans", "n_removed"), "fp").where("n_removed < octet_length(text)")
-    cut = space.save(some.select("fp", "text", "spans").mapInArrow(_cut, "fp binary, kept_sha256 string"), "cut")
+    cut = space.save(some.select("fp", "text", "spans").transform(W.mapped, _cut, "fp binary, kept_sha256 string"), "cut")
     done = space.save(spans.join(cut, "fp", "left"), "done")
     rows = own.select(*(f"c_{k}" for k in range(len(carry))), "fp", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("own_sha256"))
     empty = F.array().cast(spans.schema["spans"].dataType)

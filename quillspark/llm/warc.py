@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm import _words as W
 from quillspark.llm._shared import Workspace
 
 #: Bytes inflated or copied at a time, payload bytes of an archive file, and the least payload that is ever revisited.
@@ -251,12 +252,12 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
     """Writes the pages (page_id, url, html, refers_to) as whole-file gzip archives; (path, records) of each file."""
-    return pages.mapInArrow(_write_streams(folder), FILES)
+    return pages.transform(W.mapped, _write_streams(folder), FILES)
 
 
 def normalise(files: DataFrame, folder: str, parallel: int) -> DataFrame:
     """Rewrites the files of ``path`` with a member for each record and an index beside each."""
-    return files.select("path").repartition(parallel).mapInArrow(_normalise(folder), FILES)
+    return files.select("path").repartition(parallel).transform(W.mapped, _normalise(folder), FILES)
 
 
 def read_records(spark: SparkSession, files: DataFrame) -> DataFrame:
@@ -267,7 +268,7 @@ def read_records(spark: SparkSession, files: DataFrame) -> DataFrame:
     folder = one["path"].rpartition("/")[0]
     lines = spark.read.schema("offset long, length long").json(f"{folder}/*.index")
     where = lines.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.index$", "").alias("path"), "offset", "length")
-    return where.mapInArrow(_read, READ)
+    return where.transform(W.mapped, _read, READ)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
