@@ -129,10 +129,10 @@ def length_review(original: Column, translated: Column) -> Column:
 
 def review_reason(original: Column, translated: Column) -> Column:
     """The first reason for review: added alternatives, parentheses, ASCII words, or length."""
-    slash, parens, word = "[/／]", "[()（）]", "[A-Za-z]{2,}"
+    slash, parens, word = "[/／]", "[()（）]", "(?<![A-Za-z])[A-Za-z][A-Za-z'-]{2,}(?![A-Za-z])"
     return (
-        F.when(~original.rlike(slash) & translated.rlike(r"[^\s/／]\s*[/／]\s*[^\s/／]"), "alternatives")
-        .when(~original.rlike(parens) & translated.rlike(r"[(（][^()（）]+[)）]"), "parentheses")
+        F.when(~original.rlike(slash) & translated.rlike(r"\S+\s*[/／]\s*\S+"), "alternatives")
+        .when(~original.rlike(parens) & translated.rlike(r"[(（][^)）\r\n]{2,}[)）]"), "parentheses")
         .when(~original.rlike(word) & translated.rlike(word), "ascii_word")
         .when(length_review(original, translated), "length")
     )

@@ -75,3 +75,50 @@ def budgeted(hints: DataFrame, group: str, order: list[Column], size: str, most:
 
 def ranked(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def free_range_choice(matches: DataFrame, group: str) -> DataFrame:
+    """Of matches (group, source, priority, score, ranges of (text_id, start, end)), in order of priority, length, score
+    and source, those with a range that is still free; a match that is taken occupies all its ranges.
+
+    Groups are provider batches, whose size is bounded; each is one call."""
+    import pandas as pd
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        size = part["source"].str.len()
+        rows = part.assign(__n=size).sort_values(["priority", "__n", "score", "source"], ascending=[False, False, False, True])
+        taken: dict = {}
+        kept = []
+        for i, ranges in zip(rows.index, rows["ranges"], strict=True):
+            if all(any(r["start"] < b and a < r["end"] for a, b in taken.get(r["text_id"], ())) for r in ranges):
+                continue
+            kept.append(i)
+            for r in ranges:
+                taken.setdefault(r["text_id"], []).append((r["start"], r["end"]))
+        return rows.loc[kept, [group, "source"]]
+
+    kind = matches.schema[group].dataType.simpleString()
+    return matches.groupBy(group).applyInPandas(choose, f"`{group}` {kind}, source string")
+
+
+def import_dictionary(lines: DataFrame, line: str, modes: dict[str, str], enabled: dict[str, bool], header: str) -> DataFrame:
+    """(source, target, mode, is_enabled, skipped) of tab-separated dictionary lines; a line that does not fit is
+    skipped, headers and blank lines are left out.  Escapes are backslash t, n and backslash."""
+    fields = F.split(F.regexp_replace(line, "\r$", ""), "\t", -1)
+
+    def plain(x: Column) -> Column:
+        mark = F.replace(x, F.lit("\\\\"), F.lit("\u0001"))
+        return F.trim(F.replace(F.replace(F.replace(mark, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\u0001"), F.lit("\\")))
+
+    as_mode = F.create_map(*(F.lit(x) for pair in modes.items() for x in pair))
+    as_flag = F.create_map(*(F.lit(x) for pair in enabled.items() for x in pair))
+    own = lines.where((F.trim(line) != "") & ~F.col(line).startswith(header)).select(fields.alias("f"))
+    out = own.select(
+        plain(F.get("f", F.lit(0))).alias("source"),
+        plain(F.get("f", F.lit(1))).alias("target"),
+        F.try_element_at(as_mode, F.trim(F.get("f", F.lit(2)))).alias("mode"),
+        F.try_element_at(as_flag, F.trim(F.get("f", F.lit(3)))).alias("is_enabled"),
+        (F.size("f") == 4).alias("whole"),
+    )
+    fits = F.col("whole") & F.col("mode").isNotNull() & F.col("is_enabled").isNotNull() & (F.coalesce("source", F.lit("")) != "") & (F.coalesce("target", F.lit("")) != "")
+    return out.withColumn("skipped", ~F.coalesce(fits, F.lit(False))).drop("whole")
