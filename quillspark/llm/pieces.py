@@ -32,7 +32,7 @@ ALPHA = 1.0
 SEED = 1234
 SPACE = 0x2581
 NO_CHAR = 0x110000
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 ADDED = ("n_pieces", "pieces", "lossless")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -138,6 +138,7 @@ def build(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray) -> Lattice:
     left = first[unit] + sizes[unit] - np.arange(n)
     src, length, piece = [], [], []
     at, h = np.arange(n), np.zeros(n, np.uint64)
+    # longest pieces first among the edges of a node: the lists are put together backwards
     for k, (keys, slots, ids) in enumerate(zip(v.hashes, v.slots, v.ids, strict=True), 1):
         more = left[at] >= k
         at, h = at[more], _extend(h[more], codes[at[more] + k - 1].astype(np.uint64))
@@ -156,37 +157,39 @@ def build(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray) -> Lattice:
         piece.append(ids[place][whole])
         if not len(at):
             break
-    src, length, piece = np.concatenate(src), np.concatenate(length), np.concatenate(piece)
-    # nodes: one more than characters in each unit
-    node = src + unit[src]
-    end = node + length
-    weight = np.where(piece < 0, 0.0, v.log_weight[np.maximum(piece, 0)])
-    place_in_unit = src - first[unit[src]] + length
-    order = np.lexsort((end, place_in_unit))
-    node, end, weight, piece, step = node[order], end[order], weight[order], piece[order], place_in_unit[order]
-    forward = np.full(n + len(sizes), -np.inf)
+    src, length, piece = (np.concatenate(x[::-1]) for x in (src, length, piece))
     base = first + np.arange(len(sizes))
+    forward = np.full(n + len(sizes), -np.inf)
     forward[base] = 0.0
-    bounds = np.flatnonzero(np.diff(step)) + 1
+    # nodes: one more than characters in each unit
+    end = src + unit[src] + length
+    order = np.argsort(end, kind="stable")
+    end, node, piece = end[order], (src + unit[src])[order], piece[order]
+    del src, length, order
+    if not len(end):
+        return Lattice(base, np.asarray(sizes, np.int64), np.zeros(len(forward), np.int64), np.zeros(0), node, piece)
+    weight = np.where(piece < 0, 0.0, v.log_weight[np.maximum(piece, 0)])
+    # forward filtering: all edges that end k characters into their unit, for k = 1, 2, ...
+    depth = (np.arange(len(forward)) - np.repeat(base, sizes + 1))[end]
+    order = np.argsort(depth.astype(np.uint16) if depth.max() < 1 << 16 else depth, kind="stable")
+    stops = np.concatenate([[0], np.flatnonzero(np.diff(depth[order])) + 1, [len(order)]]).tolist()
+    del depth
     share = np.empty(len(node))
-    for a, b in zip(np.concatenate([[0], bounds]).tolist(), np.concatenate([bounds, [len(step)]]).tolist(), strict=True):
-        if a == b:
-            continue
-        value = forward[node[a:b]] + weight[a:b]
-        heads = np.flatnonzero(np.concatenate([[True], end[a + 1 : b] != end[a : b - 1]]))
+    for a, b in zip(stops[:-1], stops[1:], strict=True):
+        at = order[a:b]
+        into = end[at]
+        value = forward[node[at]] + weight[at]
+        heads = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
         counts = np.diff(np.append(heads, b - a))
-        top = np.repeat(np.maximum.reduceat(value, heads), counts)
-        part = np.exp(value - top)
+        top = np.maximum.reduceat(value, heads)
+        part = np.exp(value - np.repeat(top, counts))
         total = np.add.reduceat(part, heads)
-        forward[end[a:b][heads]] = top[heads] + np.log(total)
-        share[a:b] = part / np.repeat(total, counts)
-    order = len(end) - 1 - np.argsort(end[::-1], kind="stable")
-    node, end, piece, share = node[order], end[order], piece[order], share[order]
-    if not len(end):
-        return Lattice(base, np.asarray(sizes, np.int64), np.zeros(len(forward), np.int64), share, node, piece)
+        forward[into[heads]] = top + np.log(total)
+        share[at] = part / np.repeat(total, counts)
+    del order, weight
     heads = np.concatenate([[True], end[1:] != end[:-1]])
-    sums = np.cumsum(share)
-    upper = sums - np.maximum.accumulate(np.where(heads, sums - share, -1.0))
+    upper = np.cumsum(share)
+    upper -= np.maximum.accumulate(np.where(heads, upper - share, -1.0))
     upper[np.append(heads[1:], True)] = 2.0
     nodes_first = np.zeros(len(forward), np.int64)
     nodes_first[end[heads]] = np.flatnonzero(heads)
@@ -295,7 +298,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", mod
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(counts), lists, pa.array(fine)], [*columns, *ADDED])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{schema}, n_pieces long, pieces array<int>, lossless boolean".lstrip(", "))
+    return own.transform(W.mapped, run, f"{schema}, n_pieces long, pieces array<int>, lossless boolean".lstrip(", "))
 
 
 def decode(rows: DataFrame, pieces_col: str = "pieces", out: str = "text", model: str = MODEL) -> DataFrame:
@@ -314,7 +317,7 @@ def decode(rows: DataFrame, pieces_col: str = "pieces", out: str = "text", model
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*columns, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.mapInArrow(run, f"{schema}, `{out}` string")
+    return own.transform(W.mapped, run, f"{schema}, `{out}` string")
 
 
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
