@@ -17,6 +17,7 @@ from quillspark.operators import references as R
 from quillspark.operators import renames as N
 from quillspark.operators import selection as S
 from quillspark.operators import sync as Y
+from quillspark.streaming.progress import hit_counts
 from quillspark.plans.frames import PREVIOUS, PROGRESS, SEGMENTS, previous, progress, segments, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -389,3 +390,40 @@ def unsubmitted_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("result", F.concat("l_returnflag", "l_linestatus"))
     return rows.groupBy("result").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("large"), F.sum("l_quantity").alias("total"))
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, count(*) AS hits FROM events GROUP BY 1""")
+def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hit_counts(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query("""SELECT source, count(*) AS documents, count(*) FILTER (contains(text, chr(13) || chr(10))) AS crlf, count(*) FILTER (regexp_matches(text, '[0-9]')) AS with_digits,
+  sum(length(text))::BIGINT AS characters, list_slice(list_sort(list(DISTINCT lang)), 1, 2) AS languages, count(DISTINCT lang) > 2 AS more FROM documents GROUP BY 1""")
+def scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a scan by source: one aggregate, with the first two languages and whether there are more."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.col("text").contains("\r\n")).alias("crlf"),
+        F.count_if(F.col("text").rlike("[0-9]")).alias("with_digits"),
+        F.sum(F.length("text")).alias("characters"),
+        F.slice(F.array_sort(F.collect_set("lang")), 1, 2).alias("languages"),
+        (F.countDistinct("lang") > 2).alias("more"),
+    )
+
+
+@query("""SELECT l_orderkey, string_agg(l_returnflag || ':' || CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS line FROM lineitem GROUP BY 1""")
+def rebuilt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields put together to lines again, in their order."""
+    field = F.struct("l_linenumber", F.concat_ws(":", "l_returnflag", F.col("l_linenumber").cast("string")).alias("field"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(field)).alias("fields"))
+    return rows.select("l_orderkey", F.array_join(F.transform("fields", lambda x: x["field"]), ",").alias("line"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN o_orderpriority WHEN o_orderstatus = 'F' THEN 'custom' ELSE o_orderstatus END AS value,
+  o_orderkey % 4 + CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS revision FROM orders""")
+def resolved_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflicts resolved by choice; a closed one (status P) keeps its value and revision."""
+    orders = table(spark, sf_dir, "orders")
+    choice = F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 2 == 0), "accept_incoming").when(F.col("o_orderstatus") == "F", "custom").otherwise("keep_server")
+    value = K.resolved_value(choice, F.col("o_orderstatus"), F.col("o_orderpriority"), F.lit("custom"))
+    return orders.select("o_orderkey", value.alias("value"), (F.col("o_orderkey") % 4 + F.when(F.col("o_orderstatus") == "P", 0).otherwise(1)).alias("revision"))
