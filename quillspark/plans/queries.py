@@ -411,7 +411,7 @@ def scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT l_orderkey, string_agg(l_returnflag || ':' || CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS line FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey, string_agg(l_returnflag || ':' || CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber, l_returnflag) AS line FROM lineitem GROUP BY 1""")
 def rebuilt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields put together to lines again, in their order."""
     field = F.struct("l_linenumber", F.concat_ws(":", "l_returnflag", F.col("l_linenumber").cast("string")).alias("field"))
