@@ -24,13 +24,21 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """The frame as written to the folder and read again."""
+        self.names.add(name)
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but those that a result still reads."""
+        for name in self.names - {*names}:
+            self.drop(name)
+
     def drop(self, name: str) -> None:
+        self.names = self.names - {name}
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -197,6 +197,7 @@ def found_spans(docs: DataFrame, text_col: str, carry: list[str], rounds: int =
     good = trusted(space.save(edges, "edges"), space, rounds, least_score, least_seeds)
     found = rows.where("kind is null").join(good, ["pattern", "instance"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("context"))
     found = space.save(found, "found")
+    space.keep("marked", "found")
     none = F.array().cast("array<struct<start:int,end:int>>")
     # only rows with candidates can have found spans
     some = marked.where("size(candidates) > 0").join(found, "rid", "left")

@@ -347,7 +347,9 @@ def repeated_spans(own: DataFrame, space: Workspace) -> DataFrame:
         "fp",
         F.struct((F.col("at") - F.coalesce("far", "hi")).alias("begin"), (F.col("at") - F.coalesce("near", "lo") + LENGTH).alias("end")).alias("x"),
     )
-    return space.save(covered.groupBy("fp").agg(F.collect_set("x").alias("x")).select("fp", united("x").alias("spans")), "spans")
+    spans = space.save(covered.groupBy("fp").agg(F.collect_set("x").alias("x")).select("fp", united("x").alias("spans")), "spans")
+    space.keep("spans")
+    return spans
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -365,6 +367,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", carry: list[str] | N
     some = some.groupBy("fp").agg(F.first("text").alias("text")).join(spans.select("fp", "spans", "n_removed"), "fp").where("n_removed < octet_length(text)")
     cut = space.save(some.select("fp", "text", "spans").transform(W.mapped, _cut, "fp binary, kept_sha256 string"), "cut")
     done = space.save(spans.join(cut, "fp", "left"), "done")
+    space.keep("done")
     rows = own.select(*(f"c_{k}" for k in range(len(carry))), "fp", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("own_sha256"))
     empty = F.array().cast(spans.schema["spans"].dataType)
     return rows.join(done, "fp", "left").select(
