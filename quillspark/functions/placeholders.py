@@ -75,3 +75,33 @@ def token_error(text: Column, placeholders: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"__PH\d+__"), F.lit(0))
     wanted = F.transform(_indices(placeholders), lambda i: token(i))
     return F.when(F.size(found) != F.size(wanted), "count").when(found != wanted, "order")
+
+
+def apply_terms(text: str, placeholders: list[str], terms: list[tuple[str, str]]) -> tuple[str, list[str]]:
+    """The text with every term outside tokens put in a new token that stands for its target, term after term."""
+    out = list(placeholders)
+
+    def put(target: str):
+        def one(m: regex.Match) -> str:
+            if m[1]:
+                return m[0]
+            out.append(target)
+            return f"__PH{len(out) - 1}__"
+
+        return one
+
+    for source, target in terms:
+        text = regex.sub(rf"(__PH\d+__)|{regex.escape(source)}", put(target), text)
+    return text, out
+
+
+def dictionary(entries: list[tuple[str, str]]):
+    """A function of (text, placeholders) that applies a user's dictionary, longest source first; a setting, not data."""
+    terms = sorted(((s, t) for s, t in entries if s.strip() and t.strip()), key=lambda x: (-len(x[0]), x[0]))
+
+    @F.pandas_udf(PROTECTED)
+    def apply(text: pd.Series, placeholders: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if t is None else apply_terms(t, list(p) if p is not None else [], terms) for t, p in zip(text, placeholders, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "placeholders"])
+
+    return apply

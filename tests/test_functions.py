@@ -42,3 +42,10 @@ def test_script_lines(spark):
     assert [r.text for r in shown] == ["shown", "今日 %F(2)%"] and all(text[r.start : r.start + r.length] == r.text for r in shown)
     listing = spark.createDataFrame([("CSV/item.csv", "csv"), ("CSV/_x.csv", "csv"), ("CSV/Tag@2.csv", "csv"), ("ERB/a.erb", "script")], "document_id string, file_type string")
     assert {r.namespace for r in S.namespaces(listing, ["ITEM"]).collect()} == {"ITEM", "TAG"}
+
+
+def test_dictionary_terms_become_tokens(spark):
+    df = spark.createDataFrame([("火の薬草と薬 __PH0__", ["%薬%"]), (None, None)], "t string, p array<string>")
+    apply = H.dictionary([("薬", "약"), ("薬草", "약초"), ("", "x"), ("と", "와")])
+    got = [r.x for r in df.select(apply("t", "p").alias("x")).collect()]
+    assert got[0].text == "火の__PH1____PH2____PH3__ __PH0__" and got[0].placeholders == ["%薬%", "약초", "와", "약"] and got[1].text is None
