@@ -39,6 +39,8 @@ from quillspark.llm._shared import Workspace
 BLOCK = 1 << 20
 FILE_BYTES = 32 << 20
 LEAST_REVISIT = 0
+#: Repeated payloads (some 60 bytes each) up to which their table is broadcast; beyond, pages are shuffled to it.
+BROADCAST_GROUPS = 200_000
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -245,6 +247,9 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select("page_id", "url", "html", F.unhex(F.sha1(F.encode(payload, "UTF-8"))).alias("__key"), F.octet_length(payload).alias("__size"))
     groups = own.where(F.col("__size") >= least).groupBy(F.col("__key").alias("__k"), F.col("__size").alias("__s")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = Workspace(pages.sparkSession, "payloads").save(groups, "repeated")
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
     joined = own.join(groups, (F.col("__key") == F.col("__k")) & (F.col("__size") == F.col("__s")), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
