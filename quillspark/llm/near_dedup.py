@@ -5,12 +5,15 @@ labelled with its occurrence in the text, so that a text is a set of distinct la
 functions picks the ``take`` labelled k-mers of smallest hash and keeps them in text order; the hash of that ordered
 tuple is a bucket key, and so is each pair of neighbouring keys.  Texts that share a bucket are candidates.
 
-A bucket links its members to its least member only (never all pairs), so buckets of any size cost one link a member;
-the finer buckets give members of a mixed bucket another centre.  Candidates are verified by aligning the two shingle
+A bucket first links its members to its least member only, so that groups of near copies cost one link a member; the
+finer buckets give members of a mixed bucket another centre.  Candidates are verified by aligning the two shingle
 sequences within a band: similarity = matched / (n + m - matched), matched being the longest common chain of labelled
 k-mers in both orders.  The band is the largest drift that a similarity of the threshold allows, so it excludes no
 alignment that could pass.  Each text is verified against its most frequent centre first, then every candidate pair
-whose ends are still in different classes.  Classes are the connected components (large-star, small-star).
+whose ends are still in different classes.  Buckets whose members are then of several classes are settled: all pairs of
+members of different classes are compared (large buckets by pairs of blocks), first by a parity sketch of the shingles,
+which bounds the similarity from above, then by alignment.  So two texts that share a bucket end in one class or have
+been found too different.  Classes are the connected components (large-star, small-star).
 
 Equal texts are one class from the start and take part once.  The chance that two texts of similarity s share no key
 is about (1 - s^take)^hashes: 0.0002 at s = 0.8 with the defaults.
@@ -37,6 +40,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 16
 TAKE = 4
+#: Bits of a parity sketch; members and shingles of a block of a bucket, about.
+PARITY_BITS = 1024
+BLOCK_MEMBERS = 4096
+BLOCK_SHINGLES = 4_000_000
 
 
 def labelled(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -168,6 +175,51 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([out.column("fp"), out.column("c")], ["fp", "c"])
 
 
+def parities(grams: list[np.ndarray]) -> np.ndarray:
+    """Sketches whose bits are the parities of hashed k-mers: two of them differ in at most as many bits as k-mers."""
+    out = np.zeros((len(grams), PARITY_BITS // 64), dtype=np.uint64)
+    for i, g in enumerate(grams):
+        odd = np.bincount((g & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+        out[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return out
+
+
+def settle(table: pa.Table) -> pa.Table:
+    """Links of similar members between the classes of a bucket, or of two blocks of it; all pairs are compared."""
+    fps, blocks = table.column("fp").combine_chunks(), table.column("block").to_numpy()
+    words = [x.values.to_numpy(zero_copy_only=False) for x in table.column("words").combine_chunks()]
+    label = np.unique(np.array([x.as_py().hex() for x in table.column("root").combine_chunks()]), return_inverse=True)[1]
+    grams = [_array_shingles(w) for w in words]
+    n = np.array([len(g) for g in grams])
+    odd = parities(grams)
+    across = (blocks != blocks[0]).any()
+    links = []
+    for i in range(len(words) - 1):
+        to = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if across:
+            to = to[blocks[to] != blocks[i]]
+        to = to[np.minimum(n[to], n[i]) >= THRESHOLD * np.maximum(n[to], n[i]) - 1e-9]
+        # at the threshold the k-mers of one text only are (1 - threshold) / (1 + threshold) of both texts' k-mers
+        to = to[np.bitwise_count(odd[to] ^ odd[i]).sum(axis=1) <= (n[to] + n[i]) * (1 - THRESHOLD) / (1 + THRESHOLD) + 1e-6]
+        for j in to.tolist():
+            if label[j] != label[i] and aligned_similarity(words[i], words[j]) >= THRESHOLD:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.Table.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b))], ["fp", "c"])
+
+
+def settled(members: DataFrame, words: DataFrame) -> DataFrame:
+    """Links (fp, c) between classes that share a bucket, of members (key, fp, n, root)."""
+    # the star pass has compared the two members of a bucket of two
+    mixed = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m"), F.sum("n").alias("all_n")).where("a != b and m > 2")
+    parts = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("all_n") / BLOCK_SHINGLES)).cast("int")
+    own = members.join(mixed.select("key", parts.alias("parts")), "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root")
+    return own.join(words, "fp").groupBy("key", "i", "j").applyInArrow(settle, "fp binary, c binary")
+
+
 def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     """(node, root) of the nodes of the edges (a, b), root the least node of the component; large-star, small-star."""
     now = space.save(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
@@ -198,15 +250,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = own.schema["id"].dataType.simpleString()
     rows = space.save(own.transform(W.mapped, _sketch, f"id {id_type}, fp binary, n long, keys array<long>"), "rows")
     texts = rows.where("fp is not null and n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("id").alias("first_id"))
+    plain = texts.select("fp", "n", F.explode("keys").alias("key"))
     finer = F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda i: F.xxhash64(F.element_at("keys", i + 1), F.element_at("keys", (i + 1) % HASHES + 1)))
-    keys = texts.select("fp", "n", F.explode(F.concat("keys", finer)).alias("key"))
+    keys = plain.union(texts.select("fp", "n", F.explode(finer)))
     centres = keys.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
     pairs = keys.join(centres, "key").where("fp != least.fp").select("fp", "n", F.col("least.fp").alias("c"), F.col("least.n").alias("n_c"))
     # the similarity is at most the ratio of the shingle counts
     pairs = pairs.where(F.least("n", "n_c") >= THRESHOLD * F.greatest("n", "n_c") - 1e-9)
     pairs = space.save(pairs.groupBy("fp", "c").agg(F.count("*").alias("shared")), "pairs")
-    wanted = pairs.select("fp").union(pairs.select("c")).distinct()
-    wanted = space.save(wanted, "wanted")
+    crowded = plain.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = space.save(plain.join(crowded.select("key"), "key"), "shared")
+    wanted = space.save(shared.select("fp").distinct(), "wanted")
     bitmap = membership(wanted, F.xxhash64("fp"))
     likely = own.where("fp is not null").select("fp", "text", F.xxhash64("fp").alias("h"))
     likely = likely.transform(W.mapped, _word_arrays(docs.sparkSession.sparkContext.broadcast(bitmap)), "fp binary, words array<int>")
@@ -225,6 +279,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = rest.where(F.coalesce("root_fp", "fp") != F.coalesce("root_c", "c")).select("fp", "c")
     links = links.union(space.save(verified(rest), "more-links"))
     roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, "all")
+    members = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    links = links.union(space.save(settled(members, words), "settled"))
+    roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, "settled-all")
     members = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     members = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class_fp", F.coalesce("root", "fp"))
     classes = members.groupBy("class_fp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size")).where("class_size > 1")

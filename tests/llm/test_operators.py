@@ -326,6 +326,31 @@ def test_near_duplicates_by_brute_force(spark, sf):
     assert near_dedup.keep_one(frame(spark, docs, False)).count() == len(set(got.values()))
 
 
+def test_near_copies_of_a_hub_are_found_whatever_the_centre(spark, monkeypatch):
+    rnd = random.Random(6)  # with 5, one variant shares no key with the base, as the sketches allow
+    base = [f"w{j}" for j in range(100)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 301):
+        w = list(base)
+        for at in (rnd.randrange(10, 45), rnd.randrange(55, 90)):
+            w[at] = f"v{i}x{at}"
+        docs.append((i, " ".join(w)))
+    docs += [(1000 + i, " ".join(f"u{i}y{j}" for j in range(60))) for i in range(5)]
+    want = classes_by_brute_force(docs)
+    assert len(set(want.values())) == 6
+    for members in (near_dedup.BLOCK_MEMBERS, 50):  # one block, and several
+        monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
+        assert {r.id: r.class_id for r in near_dedup.near_duplicates(frame(spark, docs, False)).collect()} == want
+
+
+def test_parity_sketches_bound_the_difference():
+    rnd = np.random.default_rng(1)
+    x = rnd.integers(0, 2**63, 3000).astype(np.uint64)
+    odd = near_dedup.parities([x, x[300:], x[:1], x[1:2], x[:0]])
+    differ = [int(np.bitwise_count(odd[a] ^ odd[b]).sum()) for a, b in ((0, 0), (0, 1), (2, 4), (2, 3))]
+    assert differ[0] == 0 and 150 < differ[1] <= 300 and differ[2] == 1 and differ[3] in (0, 2)
+
+
 def test_alignment_is_order_sensitive():
     x = np.arange(200, dtype=np.int32)
     assert near_dedup.aligned_similarity(x, x) == 1.0
