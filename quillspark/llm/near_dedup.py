@@ -15,8 +15,11 @@ members of different classes are compared (large buckets by pairs of blocks), fi
 which bounds the similarity from above, then by alignment.  So two texts that share a bucket end in one class or have
 been found too different.  Classes are the connected components (large-star, small-star).
 
-Equal texts are one class from the start and take part once.  The chance that two texts of similarity s share no key
-is about (1 - s^take)^hashes: 0.0002 at s = 0.8 with the defaults.
+Short texts (up to ``SHORT`` shingles) have exact keys besides: similar texts share one of the n - ceil(0.8 n) + 1
+labelled k-mers that come first by (number of short texts that have it, hash).
+
+Equal texts are one class from the start and take part once.  The chance that two longer texts of similarity s share no
+key is about (1 - s^take)^hashes: 0.0002 at s = 0.8 with the defaults; if one has at most 40 shingles, none is missed.
 
 Defined results: a null text is a class of its own; equal texts (empty ones too) are one class; texts of one to four
 words have one shingle, the whole text; other texts without a word only match equal texts; repeated rows are members
@@ -40,6 +43,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 16
 TAKE = 4
+#: Partners of texts of 40 shingles have 50 at most.
+SHORT = 50
 #: Bits of a parity sketch; members and shingles of a block of a bucket, about.
 PARITY_BITS = 1024
 BLOCK_MEMBERS = 4096
@@ -72,6 +77,15 @@ def shingles(w: W.Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return hashes[whole], doc[whole]
 
 
+def short_labels(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled k-mers of the short documents of a chunk, document by document, and how many each document gives."""
+    grams, doc = shingles(w)
+    counts = np.bincount(doc, minlength=w.hi - w.lo)
+    short = counts <= SHORT
+    own = short[doc]
+    return labelled(grams[own], doc[own]), np.where(short, counts, 0)
+
+
 def sketches(w: W.Words, hashes: int = HASHES, take: int = TAKE) -> tuple[np.ndarray, np.ndarray]:
     """The number of shingles and the (documents x hashes) keys of a chunk; documents without shingles have key 0."""
     grams, doc = shingles(w)
@@ -107,11 +121,26 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column, n = batch.column("text"), batch.num_rows
         counts, keys = np.zeros(n, np.int64), np.zeros((n, HASHES), np.uint64)
+        labels, sizes = [np.zeros(0, np.uint64)], np.zeros(n, np.int64)
         for w in W.words(column):
             counts[w.lo : w.hi], keys[w.lo : w.hi] = sketches(w)
+            own, sizes[w.lo : w.hi] = short_labels(w)
+            labels.append(own)
         offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, HASHES, 0))])
         flat = pa.array(keys[counts > 0].reshape(-1).view(np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["id", "fp", "n", "keys"])
+        short = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(labels).view(np.int64), pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), short], ["id", "fp", "n", "keys", "labels"])
+
+
+def prefix_keys(texts: DataFrame) -> DataFrame:
+    """(fp, n, key) of the rarest labelled k-mers of the short texts (fp, n, labels), as many as one must be shared."""
+    each = texts.where("size(labels) > 0").select("fp", "n", F.explode("labels").alias("label"))
+    counts = each.groupBy("label").agg(F.count("*").alias("texts")).where("texts > 1")
+    common = each.join(counts, "label").groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "label"))).alias("common"))
+    # k-mers of one text come first and link nothing
+    left = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1 - (F.col("n") - F.size("common"))
+    first = F.slice("common", 1, F.greatest(left, F.lit(0)).cast("int"))
+    return common.select("fp", "n", F.explode(first).alias("k")).select("fp", "n", F.xxhash64(F.lit("prefix"), "k.label").alias("key"))
 
 
 def _word_arrays(bitmap):
@@ -248,9 +277,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space = Workspace(docs.sparkSession, "near-dedup")
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("fp", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     id_type = own.schema["id"].dataType.simpleString()
-    rows = space.save(own.transform(W.mapped, _sketch, f"id {id_type}, fp binary, n long, keys array<long>"), "rows")
-    texts = rows.where("fp is not null and n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("id").alias("first_id"))
-    plain = texts.select("fp", "n", F.explode("keys").alias("key"))
+    rows = space.save(own.transform(W.mapped, _sketch, f"id {id_type}, fp binary, n long, keys array<long>, labels array<long>"), "rows")
+    texts = rows.where("fp is not null and n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("labels").alias("labels"), F.min("id").alias("first_id"))
+    plain = texts.select("fp", "n", F.explode("keys").alias("key")).union(space.save(prefix_keys(texts), "prefixes"))
     finer = F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda i: F.xxhash64(F.element_at("keys", i + 1), F.element_at("keys", (i + 1) % HASHES + 1)))
     keys = plain.union(texts.select("fp", "n", F.explode(finer)))
     centres = keys.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")

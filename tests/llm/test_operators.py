@@ -343,6 +343,16 @@ def test_near_copies_of_a_hub_are_found_whatever_the_centre(spark, monkeypatch):
         assert {r.id: r.class_id for r in near_dedup.near_duplicates(frame(spark, docs, False)).collect()} == want
 
 
+def test_short_near_copies_are_never_missed(spark):
+    docs = []
+    for i in range(400):
+        w = [f"w{i}x{j}" for j in range((9, 13, 44)[i % 3])]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1]) if i % 3 == 0 else " ".join([*w[:-1], "changed"]))]
+    docs += [(10_000 + i, f"one very common line of words {i}") for i in range(60)]
+    got = {r.id: r.class_id for r in near_dedup.near_duplicates(frame(spark, docs, False)).collect()}
+    assert all(got[2 * i + 1] == got[2 * i] == 2 * i for i in range(400)) and all(got[10_000 + i] == 10_000 + i for i in range(60))
+
+
 def test_parity_sketches_bound_the_difference():
     rnd = np.random.default_rng(1)
     x = rnd.integers(0, 2**63, 3000).astype(np.uint64)
