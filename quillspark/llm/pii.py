@@ -5,7 +5,8 @@ for each kind; matches that fail their test are dropped, without a retry.  The p
 as the plain ones, written so that the regex engine neither recurses nor rescans a run of characters.
 
 Patterns and instances.  Every seed, and every other token that holds a digit or an @ (a candidate), is a mention: its
-lexical pattern is the two words before it, its instance the token.  Mentions are aggregated to a bipartite graph of
+lexical pattern is the two words before it, its instance the token.  A candidate of digits and phone or card punctuation
+goes on over the tokens of that form after single blanks.  Mentions are aggregated to a bipartite graph of
 patterns and instances.  In each round a pattern's score for a kind is the weighted mean of its instances' scores,
 shrunk by one unseen mention, and an unseen instance's score is the weighted mean of its patterns' scores; seeds keep
 score 1.  Patterns that score ``least_score`` or more and were induced by ``least_seeds`` distinct seeds or more are
@@ -41,8 +42,10 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 #: A whole run of digits with single blanks or hyphens between, of 14 to 19 digits.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])(?=(?:[0-9][\x20-]?){13}[0-9])(?!(?:[0-9][\x20-]?){19}[0-9])[0-9](?:[\x20-]?[0-9])*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A token from its start to its end that holds a digit or an @.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: The rest of a token of digits and phone or card punctuation, but no IP address.
+_NUMBER = r"(?![0-9]++(?:\.[0-9]++){3})[().-]*+[0-9][0-9().-]*+(?=[,;:!?]*+(?!\S))"
+#: A token from its start to its end that holds a digit or an @; a number goes on over single blanks.
+CANDIDATE = rf"(?<!\S)(?:\+?+{_NUMBER}(?:(?<=[0-9)])\x20(?:[().-]++\x20)?{_NUMBER})*+|[^\s0-9@]*+[0-9@])\S*+"
 
 
 def running_ends(steps: str) -> Column:

@@ -289,6 +289,15 @@ def test_trusted_patterns_find_unseen_identifiers(spark):
     assert text[0] == "please call me at [phone] now" and text[100].startswith("do call me at [context]") and text[200] == rows[-30][1]
 
 
+def test_unseen_identifiers_with_blanks_are_found_whole(spark):
+    found = ["(555) 123-4567", "555 123 4567", "555 - 123 4567"]
+    rows = [(i, f"please call me at +1 555 555 12{i:02d} now") for i in range(40)] + [(100 + i, f"do call me at {x}, ok") for i, x in enumerate(found)]
+    rows += [(200, "do call me at 555-9801. 12 people"), (201, "do call me at 555 2nd floor")]
+    text = {r.doc_id: r.text for r in pii.redact(frame(spark, rows, False)).collect()}
+    assert [text[100 + i] for i in range(3)] == ["do call me at [context] ok"] * 3
+    assert text[200] == "do call me at [context] 12 people" and text[201] == "do call me at [context] 2nd floor"
+
+
 def classes_by_brute_force(docs):
     grams = {}
     for i, t in docs:
