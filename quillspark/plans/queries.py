@@ -305,6 +305,20 @@ def reference_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reference_impact(items, references)
 
 
+@query("""WITH i AS (SELECT p_partkey AS item_id, p_type AS ns, [p_brand, CAST(p_size AS VARCHAR)] AS keys FROM part),
+  r AS (SELECT l_orderkey * 10 + l_linenumber AS rid, p_type AS ns, p_brand AS k, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS c, CASE l_returnflag WHEN 'R' THEN 'ambiguous' WHEN 'A' THEN 'indirect' ELSE 'direct' END AS kind FROM lineitem JOIN part ON l_partkey = p_partkey),
+  a AS (SELECT DISTINCT item_id, ns, unnest(keys) AS k FROM i), b AS (SELECT rid, ns, k, kind FROM r UNION SELECT rid, ns, c, kind FROM r),
+  m AS (SELECT DISTINCT item_id, rid, kind FROM a JOIN b USING (ns, k)),
+  s AS (SELECT item_id, count(*) AS impact, CASE WHEN bool_or(kind = 'ambiguous') THEN 'ambiguous' WHEN bool_or(kind = 'indirect') THEN 'indirect' ELSE 'direct' END AS status FROM m GROUP BY 1)
+  SELECT i.item_id, coalesce(impact, 0) AS impact, coalesce(status, 'none') AS status FROM i LEFT JOIN s USING (item_id)""")
+def reference_impacts_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("namespace"), F.array("p_brand", F.col("p_size").cast("string")).alias("keys"))
+    uses = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    kind = F.when(F.col("l_returnflag") == "R", "ambiguous").when(F.col("l_returnflag") == "A", "indirect").otherwise("direct")
+    references = uses.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("reference_id"), F.col("p_type").alias("namespace"), F.col("p_brand").alias("key"), F.array(F.col("l_quantity").cast("int").cast("string")).alias("candidates"), kind.alias("kind"))
+    return R.reference_impact(items, references)
+
+
 @query("""WITH RECURSIVE c AS (SELECT o_custkey AS caller, CAST(o_orderkey % 3 AS INTEGER) AS parameter, (o_orderkey * 7) % (SELECT max(c_custkey) FROM customer) AS callee, CAST(o_orderkey % 2 AS INTEGER) AS argument FROM orders),
   k AS (SELECT c_custkey AS f, 0 AS a, min(c_mktsegment) AS ns, 0 AS r FROM customer WHERE c_custkey % 50 = 0 GROUP BY 1
     UNION ALL SELECT * FROM (SELECT caller, parameter, min(ns), r + 1 FROM (SELECT DISTINCT * FROM k) k JOIN c ON c.callee = k.f AND c.argument = k.a WHERE r < 8 GROUP BY caller, parameter, r)),
