@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 FALLBACK = "/tmp/checkpoints"
 #: A bitmap has 16 bits a key and 32 MB at most.
 MOST_BITS = 1 << 28
+HOT_ROWS = 128
+HOT_SHARE = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +71,22 @@ def membership(keys: DataFrame, hashed: Column) -> Bitmap:
     return Bitmap(out)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, row: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right (rows of distinct keys) on the key column; keys with many rows on the left are dealt to
+    several tasks by ``row``, a column that differs within a key, and their right rows are repeated as often.  ``counts``
+    are the rows (key, n) of the left side by key, if they are known.
+
+    A key is hot from HOT_ROWS rows and the HOT_SHARE-th part of all rows on, so the broadcast table of hot keys has
+    at most HOT_SHARE rows whatever the input."""
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(HOT_ROWS, -(-total // HOT_SHARE))
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
+    a = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(row), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    b = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return a.join(b, [key, "__salt"], how).drop("__salt")
+
+
 def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The frame with columns c0, c1, ..., which no operator's own columns clash with, and the new name of each."""
     names = [f"c{k}" for k in range(len(docs.columns))]

@@ -9,11 +9,11 @@ A bucket first links its members to its least member only, so that groups of nea
 finer buckets give members of a mixed bucket another centre.  Candidates are verified by aligning the two shingle
 sequences within a band: similarity = matched / (n + m - matched), matched being the longest common chain of labelled
 k-mers in both orders.  The band is the largest drift that a similarity of the threshold allows, so it excludes no
-alignment that could pass.  Each text is verified against its most frequent centre first, then every candidate pair
-whose ends are still in different classes.  Buckets whose members are then of several classes are settled: all pairs of
-members of different classes are compared (large buckets by pairs of blocks), first by a parity sketch of the shingles,
-which bounds the similarity from above, then by alignment.  So two texts that share a bucket end in one class or have
-been found too different.  Classes are the connected components (large-star, small-star).
+alignment that could pass.  Each text is verified against its most frequent centre first.  Buckets whose members are
+then of several classes are settled: all pairs of members of different classes are compared (large buckets by pairs of
+blocks), first by a parity sketch of the shingles, which bounds the similarity from above, then by alignment.  So two
+texts that share a bucket end in one class or have been found too different.  Classes are the connected components
+(large-star, small-star).
 
 Short texts (up to ``SHORT`` shingles) have exact keys besides: similar texts share one of the n - ceil(0.8 n) + 1
 labelled k-mers that come first by (number of short texts that have it, hash).
@@ -29,7 +29,7 @@ like any others; the class id is the least document id of the class (null if all
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _words as W
-from quillspark.llm._shared import Workspace, membership, positional
+from quillspark.llm._shared import Workspace, membership, positional, salted_join
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -238,42 +238,47 @@ def settle(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b))], ["fp", "c"])
 
 
-def settled(members: DataFrame, words: DataFrame) -> DataFrame:
+def settled(members: DataFrame, words: DataFrame, verified: Callable[[DataFrame], DataFrame], space: Workspace) -> DataFrame:
     """Links (fp, c) between classes that share a bucket, of members (key, fp, n, root)."""
-    # the star pass has compared the two members of a bucket of two
-    mixed = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m"), F.sum("n").alias("all_n")).where("a != b and m > 2")
+    members = space.save(members, "members")
+    about = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct("fp", "n")).alias("x"), F.max(F.struct("fp", "n")).alias("y"), F.count("*").alias("m"), F.sum("n").alias("all_n"))
+    mixed = space.save(about.where("a != b"), "mixed")
+    # a pair that shares several buckets of two is aligned once
+    twos = mixed.where((F.col("m") == 2) & (F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n") - 1e-9))
+    twos = twos.select(F.col("x.fp").alias("fp"), F.col("y.fp").alias("c")).distinct()
     parts = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("all_n") / BLOCK_SHINGLES)).cast("int")
-    own = members.join(mixed.select("key", parts.alias("parts")), "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    own = salted_join(members, mixed.where("m > 2").select("key", parts.alias("parts")), "key", F.col("fp")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root")
-    return own.join(words, "fp").groupBy("key", "i", "j").applyInArrow(settle, "fp binary, c binary")
+    blocks = salted_join(own, words, "fp", F.struct("key", "i", "j")).groupBy("key", "i", "j").applyInArrow(settle, "fp binary, c binary")
+    return verified(twos).union(blocks)
 
 
 def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     """(node, root) of the nodes of the edges (a, b), root the least node of the component; large-star, small-star."""
     now = space.save(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    state = None
     step = 0
     while True:
+        # done: every node has one edge, and none of their ends has an edge of its own
+        several = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        if several.union(now.select(F.col("v").alias("u")).distinct().join(now.select("u"), "u", "left_semi")).isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = salted_join(both, least, "u", F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = space.save(large.where("u != v").distinct(), f"{name}-large-{step}")
         # small-star: all edges now point from the greater node to the lesser
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        small = small.select("e.u", "e.v").where("u != v").distinct()
         step += 1
-        now = space.save(small, f"{name}-{step}")
-        seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+        now = space.save(small.select("e.u", "e.v").where("u != v").distinct(), f"{name}-{step}")
         space.drop(f"{name}-{step - 1}")
-        if seen == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = seen
+        space.drop(f"{name}-large-{step - 1}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, class_fp, class_id, class_size) of every row: fp identifies its text (null: none), class_fp its class."""
+    """(id, fp, class_fp, class_id, class_size, copies) of every row: fp identifies its text (null: none), class_fp its
+    class; copies are the rows of its text."""
     space = Workspace(docs.sparkSession, "near-dedup")
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("fp", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     id_type = own.schema["id"].dataType.simpleString()
@@ -296,28 +301,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = space.save(likely.groupBy("fp").agg(F.first("words").alias("words")).join(wanted, "fp", "left_semi"), "words")
 
     def verified(some: DataFrame) -> DataFrame:
-        full = some.join(words, "fp").join(words.select(F.col("fp").alias("c"), F.col("words").alias("words_c")), "c")
+        full = salted_join(some.join(words, "fp"), words.select(F.col("fp").alias("c"), F.col("words").alias("words_c")), "c", F.col("fp"))
         return full.transform(W.mapped, _verify, "fp binary, c binary")
 
     best = pairs.groupBy("fp").agg(F.max(F.struct("shared", "c")).alias("best")).select("fp", F.col("best.c").alias("c"))
     links = space.save(verified(best), "links")
     roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, "first")
-    rest = pairs.join(best, ["fp", "c"], "left_anti")
-    for side in ("fp", "c"):
-        rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    rest = rest.where(F.coalesce("root_fp", "fp") != F.coalesce("root_c", "c")).select("fp", "c")
-    links = links.union(space.save(verified(rest), "more-links"))
+    members = salted_join(shared, roots.withColumnRenamed("node", "fp"), "fp", F.col("key"), "left").withColumn("root", F.coalesce("root", "fp"))
+    links = links.union(space.save(settled(members, words, verified, space), "settled"))
     roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, "all")
-    members = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    links = links.union(space.save(settled(members, words), "settled"))
-    roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, "settled-all")
     members = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     members = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class_fp", F.coalesce("root", "fp"))
     classes = members.groupBy("class_fp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size")).where("class_size > 1")
-    named = members.join(classes, "class_fp").select("fp", "class_fp", "class_id", "class_size")
+    named = salted_join(members, classes, "class_fp", F.col("fp")).select("fp", "class_fp", "class_id", "class_size", "copies")
     named = space.save(named, "classes")
     space.keep("rows", "classes")
-    out = rows.select("id", "fp").join(named, "fp", "left")
+    out = salted_join(rows.select("id", "fp"), named, "fp", F.monotonically_increasing_id(), "left", named.select("fp", F.col("copies").alias("n")))
     alone = F.col("class_size").isNull()
     return out.select(
         "id",
@@ -325,6 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("class_fp", "fp").alias("class_fp"),
         F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        F.coalesce("copies", F.lit(1)).alias("copies"),
     )
 
 
@@ -332,16 +332,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The documents less all but one of each class: the row of least id (and, of equal ids, of least text hash)."""
     plain, name = positional(docs)
     key, text = name[id_col], name[text_col]
-    marked = near_duplicates(plain, key, text).where("class_size > 1")
+    space = Workspace(docs.sparkSession, "keep-one")
+    marked = space.save(near_duplicates(plain, key, text).where("class_size > 1").select("id", "fp", "class_fp", "copies").distinct(), "marked")
     first = marked.groupBy("class_fp").agg(F.min(F.struct("id", "fp")).alias("kept"))
-    stays = first.select(F.col("kept.id").alias("kept_id"), F.col("kept.fp").alias("kept_fp"))
-    gone = marked.select("fp").distinct()
+    stays = first.select(F.col("kept.fp").alias("own_fp"), F.col("kept.id").alias("kept_id"))
+    flags = marked.select(F.col("fp").alias("own_fp")).distinct().join(stays, "own_fp", "left").select("own_fp", F.struct("kept_id", F.col("kept_id").isNotNull().alias("stays")).alias("flag"))
     own = plain.withColumn("own_fp", F.unhex(F.md5(F.encode(text, "UTF-8"))))
-    flags = gone.join(stays, gone.fp == stays.kept_fp, "left").select(F.col("fp").alias("gone"), "kept_fp", "kept_id")
-    out = own.join(flags, own["own_fp"] == flags["gone"], "left")
-    single = out.where("gone is null").select(*plain.columns)
+    out = salted_join(own, space.save(flags, "flags"), "own_fp", F.xxhash64(key), "left", marked.select(F.col("fp").alias("own_fp"), F.col("copies").alias("n")).distinct())
+    single = out.where("flag is null").select(*plain.columns)
     # repeated rows of the kept document are one document
-    kept = out.where(F.col("kept_fp").isNotNull() & F.col(key).eqNullSafe(F.col("kept_id"))).dropDuplicates(["own_fp"]).select(*plain.columns)
+    kept = out.where(F.col("flag.stays") & F.col(key).eqNullSafe(F.col("flag.kept_id"))).dropDuplicates(["own_fp"]).select(*plain.columns)
     return single.unionByName(kept).toDF(*docs.columns)
 
 

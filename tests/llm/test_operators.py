@@ -352,6 +352,21 @@ def test_near_copies_of_a_hub_are_found_whatever_the_centre(spark, monkeypatch):
         assert {r.id: r.class_id for r in near_dedup.near_duplicates(frame(spark, docs, False)).collect()} == want
 
 
+def test_near_copies_with_twins_are_one_class(spark):
+    """300 variants of a text with four changed words, each with a twin with one change more: few are at 0.8 of the base."""
+    rnd = random.Random(9)
+    base, docs = [f"w{j}" for j in range(300)], []
+    for i in range(300):
+        w = list(base)
+        for at in rnd.sample(range(5, 295), 4):
+            w[at] = f"v{i}x{at}"
+        docs.append((2 * i, " ".join(w)))
+        w[rnd.randrange(5, 295)] = f"t{i}"
+        docs.append((2 * i + 1, " ".join(w)))
+    got = {r.id: r.class_id for r in near_dedup.near_duplicates(frame(spark, docs, False)).collect()}
+    assert got == classes_by_brute_force(docs)
+
+
 def test_short_near_copies_are_never_missed(spark):
     docs = []
     for i in range(400):
