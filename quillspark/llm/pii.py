@@ -4,37 +4,44 @@ Seeds.  Four patterns find emails, IP addresses, payment cards (Luhn) and phone
 for each kind; matches that fail their test are dropped, without a retry.  The patterns below accept the same strings
 as the plain ones, written so that the regex engine neither recurses nor rescans a run of characters.
 
-Patterns and instances.  Every seed, and every other token that holds a digit or an @ (a candidate), is a mention: its
-lexical pattern is the two words before it, its instance the token.  A candidate of digits and phone or card punctuation
-goes on over the tokens of that form after single blanks.  Mentions are aggregated to a bipartite graph of
-patterns and instances.  In each round a pattern's score for a kind is the weighted mean of its instances' scores,
-shrunk by one unseen mention, and an unseen instance's score is the weighted mean of its patterns' scores; seeds keep
-score 1.  Patterns that score ``least_score`` or more and were induced by ``least_seeds`` distinct seeds or more are
-trusted, and the unseen instances after them that score at least half as much become spans of kind ``context``.  Base
-spans always stay.
+A fifth kind of seed, ``secret``, is the value given to a name such as token, password or api_key.
+
+Patterns and instances.  Every seed, and every other token that holds a digit or an @ (a candidate), is a mention; its
+instance is the token.  A candidate of digits and phone or card punctuation goes on over the tokens of that form after
+single blanks.  A mention has lexical patterns of several widths, from specific to general (see ``patterns``): the two
+words on the left (L2), the words on both sides (LR), the word on the left (L1), the word on the right (R1), each with
+the characters that adjoin the mention on the left, and the shape of the instance itself (S).
+
+The graph of patterns and instances is scored in rounds.  A pattern's score is the weight of its known instances over
+all weight it has seen, shrunk by one unseen instance.  What it has seen depends on its width: L2 and LR count their
+mentions, known or not; L1 and R1 count every occurrence of their word in the corpus, since a common word's neighbours
+are mostly ordinary words; S counts the known instances only, as nothing is known of the others.  Patterns induced by
+``least_seeds`` distinct seeds or more that score ``least_score`` or more are trusted.  An unseen instance scores as its
+best trusted pattern, and is known from the next round on.  Unseen mentions in a trusted pattern are spans of kind
+``context``, seeds of the fifth kind spans of kind ``secret``.  Base spans always stay.
 
 Rows are keyed by an id that is written with them, so repeated rows and null ids do no harm.
 
-Defined results: null and empty texts have no spans; repeated rows have equal spans; empty tables give no rows; words
-before a mention are looked for in the 64 characters before it, and a mention with fewer than two has no pattern.
+Defined results: null and empty texts have no spans; repeated rows have equal spans; empty tables give no rows; a word
+of more than CONTEXT_CHARS characters beside a mention stands by its nearest characters; a mention has no pattern of a
+width for which its text has too few words.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import Workspace
+from quillspark.llm._shared import Workspace, salted_join
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 LEAST_SCORE = 0.8
 LEAST_SEEDS = 3
-CONTEXT_CHARS = 64
+CONTEXT_CHARS = 128
 BLOCK = 256
 SPANS = "array<struct<start:int,end:int,value:string>>"
+SEEDS = (*KINDS, "secret")
 
 #: A local part starts where a run of its characters does, or where the last match ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -42,6 +49,7 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 #: A whole run of digits with single blanks or hyphens between, of 14 to 19 digits.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])(?=(?:[0-9][\x20-]?){13}[0-9])(?!(?:[0-9][\x20-]?){19}[0-9])[0-9](?:[\x20-]?[0-9])*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+SECRET = r"(?i)(?<=(?:token|secret|passwd|password|api_?key)\s{0,3}[:=]\s{0,3}[\"']?)(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+"
 #: The rest of a token of digits and phone or card punctuation, but no IP address.
 _NUMBER = r"(?![0-9]++(?:\.[0-9]++){3})[().-]*+[0-9][0-9().-]*+(?=[,;:!?]*+(?!\S))"
 #: A token from its start to its end that holds a digit or an @; a number goes on over single blanks.
@@ -71,29 +79,35 @@ def _joined(a: Column, part: Column) -> Column:
     return F.element_at(both, 1)
 
 
-def matched(df: DataFrame, text: str, pattern: str, out: str, gate: Column, left: bool = False) -> DataFrame:
-    """Adds the matches of a pattern: start and end in code points, end exclusive, and value (with ``left``, also what
-    is before it, back to the start of the second match before or further, CONTEXT_CHARS at most).
+def matched(df: DataFrame, text: str, pattern: str, out: str, gate: Column) -> DataFrame:
+    """Adds the matches of a pattern: start and end in code points, end exclusive, value, and the text to the left and
+    to the right, back to the start of the second match before and on to the end of the next, or CONTEXT_CHARS at most.
 
     Regex functions give no places; the texts between the matches do, as both lengths sum to the place.  Arrays are
     zipped, not looked up, where a column is used once: the optimizer would put its expression inside the lambda."""
     none = F.array().cast("array<string>")
     df = df.withColumn("__v", F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn("__g", F.when(F.size("__v") > 0, F.slice(F.split(text, pattern, -1), 1, F.size("__v"))).otherwise(none))
-    df = df.withColumn("__s", F.zip_with("__v", "__g", lambda v, g: F.length(v) + F.length(g)))
+    df = df.withColumn("__g", F.when(F.size("__v") > 0, F.split(text, pattern, -1)).otherwise(none))
+    df = df.withColumn("__s", F.zip_with("__v", F.slice("__g", 1, F.size("__v")), lambda v, g: F.length(v) + F.length(g)))
     df = df.withColumn("__e", running_ends("__s"))
-    df = df.withColumn(out, F.zip_with("__v", "__e", lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value"))).cast(SPANS))
-    if left:
 
-        def tail(x: Column) -> Column:
-            return F.coalesce(F.substring(x, F.lit(-CONTEXT_CHARS), F.lit(CONTEXT_CHARS)), F.lit(""))
+    def tail(x: Column) -> Column:
+        return F.coalesce(F.substring(x, F.lit(-CONTEXT_CHARS), F.lit(CONTEXT_CHARS)), F.lit(""))
+
+    def head(x: Column) -> Column:
+        return F.coalesce(F.substring(x, F.lit(1), F.lit(CONTEXT_CHARS)), F.lit(""))
 
-        def lead(v: Column, i: Column) -> Column:
-            return tail(F.concat(tail(F.get("__g", i - 2)), tail(F.get("__v", i - 2)), tail(F.get("__g", i - 1)), tail(F.get("__v", i - 1)), tail(F.get("__g", i))))
+    def left(v: Column, i: Column) -> Column:
+        return tail(F.concat(tail(F.get("__g", i - 2)), tail(F.get("__v", i - 2)), tail(F.get("__g", i - 1)), tail(F.get("__v", i - 1)), tail(F.get("__g", i))))
 
-        lefts = F.transform("__v", lead)
-        df = df.withColumn(out, F.zip_with(out, lefts, lambda m, x: m.withField("left", x)))
-    return df.drop("__v", "__g", "__s", "__e")
+    def right(v: Column, i: Column) -> Column:
+        return head(F.concat(head(F.get("__g", i + 1)), head(F.get("__v", i + 1))))
+
+    df = df.withColumn("__l", F.transform("__v", left)).withColumn("__r", F.transform("__v", right))
+    df = df.withColumn(out, F.zip_with("__v", "__e", lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value"))).cast(SPANS))
+    df = df.withColumn(out, F.zip_with(out, "__l", lambda m, x: m.withField("left", x)))
+    df = df.withColumn(out, F.zip_with(out, "__r", lambda m, x: m.withField("right", x)))
+    return df.drop("__v", "__g", "__s", "__e", "__l", "__r")
 
 
 def digits(value: Column) -> Column:
@@ -111,7 +125,7 @@ def luhn(value: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds one array of spans for each kind."""
+    """Adds one array of spans for each kind of seed; secrets overlap no other kind."""
     t = F.col(text)
     df = matched(docs, text, EMAIL, "email", t.contains("@"))
     df = matched(df, text, IP, "ip", t.rlike(r"[0-9]\.[0-9]"))
@@ -119,73 +133,96 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     df = matched(df, text, CARD, "card", t.rlike("[0-9]"))
     df = df.withColumn("card", F.filter("card", lambda m: luhn(m["value"])))
     df = matched(df, text, PHONE, "phone", t.contains("+"))
-    return df.withColumn("phone", F.filter("phone", lambda m: F.length(digits(m["value"])).between(10, 15)))
-
-
-def of_kind(kind: str, order: int, with_value: bool = False) -> Column:
-    """The spans of a column named for its kind as (start, i, end, kind), and value if asked for."""
-
-    def named(m: Column) -> Column:
-        value = [m["value"].alias("value")] if with_value else []
-        return F.struct(m["start"].alias("start"), F.lit(order).alias("i"), m["end"].alias("end"), F.lit(kind).alias("kind"), *value)
-
-    return F.transform(kind, named)
-
-
-def before(text: str, start: Column) -> Column:
-    """The CONTEXT_CHARS characters before a place."""
-    return F.substring(F.col(text), F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
+    df = df.withColumn("phone", F.filter("phone", lambda m: F.length(digits(m["value"])).between(10, 15)))
+    df = matched(df, text, SECRET, "secret", t.rlike(r"[:=]"))
+    taken = F.concat(*(F.transform(k, lambda m: m["end"]) for k in KINDS))
+    starts = F.concat(*(F.transform(k, lambda m: m["start"]) for k in KINDS))
+    spans = F.arrays_zip(starts.alias("a"), taken.alias("b"))
+    return df.withColumn("secret", F.filter("secret", lambda m: ~F.exists(spans, lambda s: (s["a"] < m["end"]) & (m["start"] < s["b"]))))
+
+
+def of_kind(kind: str, order: int) -> Column:
+    """The spans of a column named for its kind as (start, i, end, kind)."""
+    return F.transform(kind, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("i"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def patterns(left: Column, right: Column, instance: Column) -> Column:
+    """The patterns of a mention; empty ones stand for a width that it lacks.  The word on the right is its letters."""
+    before = F.regexp_replace(F.lower(left), r"\s+", " ")
+    l2 = F.regexp_extract(before, r"(?:^| )(\S++ \S++ \S*+)$", 1)
+    l1 = F.regexp_extract(before, r"(?:^| )(\S++ \S*+)$", 1)
+    r1 = F.regexp_extract(F.lower(right), r"^[^\p{L}0-9]*+(\p{L}++)", 1)
+    shape = F.when(instance.rlike("^[0-9a-f]{32,}$"), F.concat(F.lit("hex"), F.length(instance).cast("string"))).otherwise(
+        F.regexp_replace(F.regexp_replace(instance, r"\p{L}++", "a"), "[0-9]", "9")
+    )
 
+    def named(kind: str, value: Column, there: Column) -> Column:
+        return F.when(there, F.concat(F.lit(f"{kind} "), value)).otherwise("")
 
-def last_words(left: Column) -> Column:
-    """The last two words, lower-cased; empty if there are not two."""
-    return F.regexp_replace(F.regexp_extract(F.lower(left), r"(?<!\S)(\S++\s++\S++)\s*+$", 1), r"\s+", " ")
+    return F.array(
+        named("L2", l2, l2 != ""),
+        named("LR", F.concat_ws("|", l1, r1), (l1 != "") & (r1 != "")),
+        named("L1", l1, l1 != ""),
+        named("R1", r1, r1 != ""),
+        named("S", shape, shape.rlike("9|^hex")),
+    )
 
 
 def trimmed(value: Column) -> Column:
-    return F.regexp_replace(F.lower(value), r"[\p{P}]+$", "")
+    return F.regexp_replace(F.lower(value), r"[\p{P}\p{S}]+$", "")
 
 
 def mentions(df: DataFrame, text: str) -> DataFrame:
-    """Adds seeds and candidates: arrays of (kind, start, end, pattern, instance); a candidate overlaps no seed."""
-    df = matched(df, text, CANDIDATE, "__c", F.col(text).rlike("[0-9@]"), left=True)
-    df = df.withColumn("__seeds", F.concat(*(of_kind(k, 0, with_value=True) for k in KINDS)))
-
-    def mention(m: Column, kind: Column, left: Column) -> Column:
-        return F.struct(kind.alias("kind"), m["start"].alias("start"), m["end"].alias("end"), last_words(left).alias("pattern"), trimmed(m["value"]).alias("instance"))
-
-    free = F.filter("__c", lambda m: ~F.exists("__seeds", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    df = df.withColumn("seeds", F.transform("__seeds", lambda m: mention(m, m["kind"], before(text, m["start"]))))
-    df = df.withColumn("candidates", F.transform(free, lambda m: mention(m, F.lit(None).cast("string"), m["left"])))
-    return df.drop("__c", "__seeds")
-
-
-def trusted(edges: DataFrame, space: Workspace, rounds: int, least_score: float, least_seeds: int) -> DataFrame:
-    """(pattern, instance) pairs to extract, from edges (pattern, instance, kind or null, n)."""
-    score = [f"s_{k}" for k in KINDS]
-    seeds = edges.where("kind is not null").groupBy("pattern").agg(F.count("*").alias("n_seeds"))
-    now = edges.select("*", *((F.col("kind") == k).cast("double").alias(s) for k, s in zip(KINDS, score, strict=True))).fillna(0.0, score)
+    """Adds seeds and candidates: arrays of (kind, start, end, left, right, instance); a candidate overlaps no seed."""
+    df = matched(df, text, CANDIDATE, "__c", F.col(text).rlike("[0-9@]"))
+
+    def mention(m: Column, kind: str | None) -> Column:
+        return F.struct(F.lit(kind).cast("string").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["left"].alias("left"), m["right"].alias("right"), trimmed(m["value"]).alias("instance"))
+
+    df = df.withColumn("seeds", F.concat(*(F.transform(k, lambda m, k=k: mention(m, k)) for k in SEEDS)))
+    free = F.filter("__c", lambda m: ~F.exists("seeds", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    return df.withColumn("candidates", F.transform(free, lambda m: mention(m, None))).drop("__c")
+
+
+def occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """How often the words of the one-word patterns ``wanted`` (pattern) occur: rows (pattern, total)."""
+    word = F.explode(F.split(F.lower("__text"), r"\s+"))
+    right = F.regexp_extract("w", r"^[^\p{L}0-9]*+(\p{L}++)", 1)
+    words = texts.select(word.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    both = words.select(F.explode(F.array(F.concat(F.lit("L1 "), "w"), F.when(right != "", F.concat(F.lit("R1 "), right)))).alias("word"), "n").where("word is not null")
+    # a left word is followed by a blank and what adjoins the mention
+    key = wanted.where("pattern like 'L1 %' or pattern like 'R1 %'").select("pattern", F.regexp_extract("pattern", r"^(\S+ \S+)", 1).alias("word"))
+    return both.groupBy("word").agg(F.sum("n").alias("total")).join(key, "word").select("pattern", "total")
+
+
+def trusted(edges: DataFrame, texts: DataFrame, space: Workspace, rounds: int, least_score: float, least_seeds: int) -> DataFrame:
+    """The trusted patterns, from edges (pattern, instance, kind or null, n)."""
+    induced = edges.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("kind").alias("seeds"), F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("known_n"))
+    induced = space.save(induced.where(F.col("seeds") >= least_seeds), "induced")
+    totals = space.save(occurrences(texts, induced), "totals")
+    induced = space.save(induced.join(totals, "pattern", "left"), "patterns")
+    small = F.col("total").isNull() & F.col("pattern").rlike("^[LR]1 ")
+    wide = F.when(F.col("pattern").startswith("S "), F.lit(0)).when(small, F.col("n")).otherwise(F.coalesce("total", "n"))
+    live = salted_join(edges, induced.select("pattern", wide.alias("seen")), "pattern", F.col("instance"))
+    live = space.save(live.withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)), "live")
     for r in range(rounds):
-        patterns = now.groupBy("pattern").agg(*((F.sum(F.col("n") * F.col(s)) / (F.sum("n") + 1)).alias(f"p_{s}") for s in score))
-        linked = now.join(patterns, "pattern")
-        instances = linked.groupBy("instance").agg(*((F.sum(F.col("n") * F.col(f"p_{s}")) / F.sum("n")).alias(f"i_{s}") for s in score))
-        linked = linked.where("kind is null").join(instances, "instance")
-        unseen = linked.select("pattern", "instance", "kind", "n", *(F.col(f"i_{s}").alias(s) for s in score), *(F.col(f"p_{s}") for s in score))
+        known = live.groupBy("pattern", "seen").agg(F.sum(F.col("n") * F.col("score")).alias("weight"), F.sum(F.when(F.col("score") > 0, F.col("n")).otherwise(0)).alias("known"))
+        scored = known.withColumn("p", F.col("weight") / (F.greatest("seen", "known") + 1)).where(F.col("p") >= least_score)
+        good = space.save(scored.select("pattern", "p"), f"trusted-{r}")
         if r == rounds - 1:
-            break
-        fixed = now.where("kind is not null")
-        now = space.save(fixed.unionByName(unseen.select(fixed.columns)), f"round-{r}")
-    best = F.greatest(*(F.col(f"p_{s}") for s in score))
-    of = reduce(lambda a, s: a.when(F.col(f"p_{s}") == best, F.col(s)), score, F)
-    good = unseen.join(seeds.where(F.col("n_seeds") >= least_seeds), "pattern").where((best >= least_score) & (of >= least_score / 2))
-    return good.select("pattern", "instance").distinct()
+            return good.select("pattern")
+        unseen = salted_join(live.where("kind is null").select("pattern", "instance"), good, "pattern", F.col("instance"))
+        fresh = space.save(unseen.groupBy("instance").agg(F.max("p").alias("p")), f"found-{r}")
+        score = F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("p", F.lit(0.0)))
+        live = space.save(live.drop("score").join(fresh, "instance", "left").withColumn("score", score).drop("p"), f"live-{r}")
 
 
 def personal_data(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """The documents' columns (those of ``carry``) with email, ip, card, phone (base spans) and context (found spans)."""
-    carry = [c for c in docs.columns if c not in (*KINDS, "context")] if carry is None else carry
+    """The documents' columns (those of ``carry``) with email, ip, card, phone (base spans), and secret
+    and context (spans of the method)."""
+    carry = [c for c in docs.columns if c not in (*SEEDS, "context")] if carry is None else carry
     found = found_spans(docs, text_col, carry, rounds, least_score, least_seeds)
-    return found.select(*(F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)), *KINDS, "context")
+    return found.select(*(F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)), *SEEDS, "context")
 
 
 def found_spans(docs: DataFrame, text_col: str, carry: list[str], rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
@@ -195,10 +232,12 @@ def found_spans(docs: DataFrame, text_col: str, carry: list[str], rounds: int =
     own = docs.select(*columns, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text")).withColumn("rid", F.monotonically_increasing_id())
     marked = mentions(base_spans(own, "__text"), "__text").drop("__text")
     marked = space.save(marked, "marked")
-    rows = marked.select("rid", F.explode(F.concat("seeds", "candidates")).alias("m")).where("m.pattern != ''").select("rid", "m.*")
+    rows = marked.select("rid", F.explode(F.concat("seeds", "candidates")).alias("m")).select("rid", "m.*")
+    rows = rows.select("rid", "start", "end", "kind", "instance", F.explode(F.array_distinct(patterns(F.col("left"), F.col("right"), F.col("instance")))).alias("pattern")).where("pattern != ''")
     edges = rows.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.count("*").alias("n"))
-    good = trusted(space.save(edges, "edges"), space, rounds, least_score, least_seeds)
-    found = rows.where("kind is null").join(good, ["pattern", "instance"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("context"))
+    good = trusted(space.save(edges, "edges"), own.select("__text"), space, rounds, least_score, least_seeds)
+    unseen = rows.where("kind is null").select("rid", "start", "end", "pattern")
+    found = salted_join(unseen, good, "pattern", F.struct("rid", "start")).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("context"))
     found = space.save(found, "found")
     space.keep("marked", "found")
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -206,7 +245,7 @@ def found_spans(docs: DataFrame, text_col: str, carry: list[str], rounds: int =
     some = marked.where("size(candidates) > 0").join(found, "rid", "left")
     most = marked.where("size(candidates) = 0").withColumn("context", none)
     both = some.withColumn("context", F.coalesce("context", none)).select(*most.columns).union(most)
-    return both.select(*(f"c_{k}" for k in range(len(carry))), *KINDS, "context")
+    return both.select(*(f"c_{k}" for k in range(len(carry))), *SEEDS, "context")
 
 
 def span_list(kinds: tuple[str, ...]) -> Column:
@@ -231,7 +270,7 @@ def masked(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span of their text replaced by [kind]; texts without a span are left as they are."""
     found = found_spans(docs, text_col, docs.columns)
-    kinds = (*KINDS, "context")
+    kinds = (*SEEDS, "context")
     out = found.withColumn("spans", F.array_sort(F.concat(*(of_kind(k, i) for i, k in enumerate(kinds)))))
     text = F.col(f"c_{docs.columns.index(text_col)}")
     new = F.when(F.size("spans") > 0, masked(text, F.col("spans"))).otherwise(text)
@@ -245,5 +284,5 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(span_list(KINDS), 256).alias("base_sha256"),
-        span_list((*KINDS, "context")).alias("spans"),
+        span_list((*SEEDS, "context")).alias("spans"),
     )

@@ -12,6 +12,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, importance, language_id, near_dedup, pieces, pii, quality_rules, queries, sharding, suffix_dedup, warc
@@ -298,6 +299,74 @@ def test_unseen_identifiers_with_blanks_are_found_whole(spark):
     assert text[200] == "do call me at [context] 12 people" and text[201] == "do call me at [context] 2nd floor"
 
 
+def bootstrap_by_brute_force(texts):
+    """Spans of kinds context and secret, by the definition in the module's docstring, one mention at a time."""
+    mentions, words = [], collections.Counter()
+    for d, text in enumerate(texts):
+        text = text or ""
+        for w in regex.split(r"\s+", text.lower(), flags=regex.A):
+            words["L1", w] += 1
+            if m := regex.match(r"[^\p{L}0-9]*(\p{L}+)", w):
+                words["R1", m[1]] += 1
+        seeds = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base_by_brute_force(text).split(",") if x)]
+        base = list(seeds)
+        seeds += [(*m.span(), "secret") for m in regex.finditer(pii.SECRET, text, flags=regex.A) if not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        found = seeds + [(*m.span(), None) for m in regex.finditer(pii.CANDIDATE, text, flags=regex.A) if not any(a < m.end() and m.start() < b for a, b, _ in seeds)]
+        for a, b, kind in found:
+            value = regex.sub(r"[\p{P}\p{S}]+$", "", text[a:b].lower())
+            before, after = regex.sub(r"\s+", " ", text[:a].lower(), flags=regex.A), text[b:].lower()
+            l2, l1 = (regex.search(rf"(?:^| )({r'[^ ]+ ' * k}[^ ]*)$", before) for k in (2, 1))
+            r1 = regex.match(r"[^\p{L}0-9]*(\p{L}+)", after)
+            shape = f"hex{len(value)}" if regex.fullmatch("[0-9a-f]{32,}", value) else regex.sub("[0-9]", "9", regex.sub(r"\p{L}+", "a", value))
+            own = {("S", shape)} if "9" in shape or shape.startswith("hex") else set()
+            own |= {("L2", l2[1])} if l2 else set()
+            own |= {("L1", l1[1])} if l1 else set()
+            own |= {("R1", r1[1])} if r1 else set()
+            own |= {("LR", f"{l1[1]}|{r1[1]}")} if l1 and r1 else set()
+            mentions.append((d, a, b, kind, value, own))
+    kinds = {}
+    for *_, kind, value, own in mentions:
+        for p in own:
+            kinds[p, value] = kinds.get((p, value)) or kind
+    weights = collections.Counter((p, m[4]) for m in mentions for p in m[5])
+    induced = {p for p, n in collections.Counter(p for (p, _), k in kinds.items() if k).items() if n >= pii.LEAST_SEEDS}
+    known, good = {}, set()
+    for _ in range(pii.ROUNDS):
+        score = {x: 1.0 if k else known.get(x[1], 0.0) for x, k in kinds.items() if x[0] in induced}
+        p_of = {}
+        for p in induced:
+            each = [x for x in score if x[0] == p]
+            n, sure = sum(weights[x] for x in each), sum(weights[x] for x in each if score[x] > 0)
+            seen = 0 if p[0] == "S" else words[p[0], p[1].split(" ")[0]] if p[0] in ("L1", "R1") else n
+            p_of[p] = sum(weights[x] * score[x] for x in each) / (max(seen, sure) + 1)
+        good = {p for p, v in p_of.items() if v >= pii.LEAST_SCORE}
+        known = {}
+        for (p, value), k in kinds.items():
+            if p in good and k is None:
+                known[value] = max(known.get(value, 0.0), p_of[p])
+    out = [set() for _ in texts]
+    for d, a, b, kind, _, own in mentions:
+        if kind == "secret" or kind is None and own & good:
+            out[d].add((a, b, kind or "context"))
+    return out
+
+
+def test_bootstrapping_by_brute_force(spark, sf):
+    rnd = random.Random(4)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    number = lambda: "".join(rnd.choice("0123456789") for _ in range(16))
+    for i in range(120):
+        w = words(rnd, 20)
+        w[10:10] = [rnd.choice(["write to me at", "my card is", "call", "the year", 'api_key: "', "Version"])]
+        w[11:11] = [rnd.choice([number(), f"a{i}@b{i % 9}.org", f"me{i}(at)x.org", f"+1 555 555 {1000 + i}", f"555-{1000 + i}", f"{1900 + i}", "2.0.", f"{rnd.random()}x{i:020d}", f"10.0.0.{i},", f"10.0.0.{i + 300}"])]
+        texts.append(" ".join(w))
+    want = bootstrap_by_brute_force(texts)
+    found = pii.personal_data(frame(spark, list(enumerate(texts)), False)).collect()
+    got = {r.doc_id: {(x.start, x.end, k) for k in ("context", "secret") for x in r[k]} for r in found}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(len({x for x in v if x[2] == "context"}) for v in want) > 10
+
+
 def classes_by_brute_force(docs):
     grams = {}
     for i, t in docs:
