@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.sources.syntax import symbol_reference
+
 # What is protected, in order of precedence.
 PATTERNS = (
     r"\\(?:\\|[%/@#nd]|[A-Za-z]+)",
@@ -19,6 +21,7 @@ PATTERNS = (
     r"<[^\r\n<>]+>",
     r"&(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);",
     r"(?<![\p{L}\p{N}_])[\p{L}_][\p{L}\p{N}_]*:\((?:[^()\r\n]|\([^()\r\n]*\))*\)",
+    symbol_reference(),
     r"\[\s*\d+\s*\]",
 )
 _COMPILED = tuple(regex.compile(p) for p in PATTERNS)
@@ -47,6 +50,12 @@ def protect(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, None) if t is None else protect_text(t) for t in text], columns=["text", "placeholders"])
 
 
+def protected(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """The rows with a column of the protected text and its placeholders; array functions may use it, since a generator
+    stands between, which keeps the optimizer from putting the Python function inside them."""
+    return rows.select("*", F.explode(F.array(protect(F.col(column)))).alias(out))
+
+
 def _indices(placeholders: Column) -> Column:
     return F.when(F.size(placeholders) > 0, F.sequence(F.lit(0), F.size(placeholders) - 1)).otherwise(F.array().cast("array<int>"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def lines(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
     """One row a line: line_no from 0, offset of its first character, and the line.
 
-    The offset is a running sum inside the document, so it is folded within the row: no shuffle is needed."""
+    The offset is a running sum over the lines of a document, one window by document."""
     carry = [id_col] if carry is None else carry
     parts = F.split(F.col(text_col), "\n", -1)
     rows = docs.select(*carry, F.posexplode(parts).alias("line_no", "line"))
@@ -18,17 +18,35 @@ def lines(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None =
 
 
 def non_overlapping(spans: Column) -> Column:
-    """Of an array of (start, length, ...): by start, longer first, those that begin at or after the last end taken."""
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], F.sign(a["start"] - b["start"]).cast("int")).otherwise(F.sign(b["length"] - a["length"]).cast("int")))
-    indexed = F.transform(ordered, lambda x, i: F.struct(i.alias("i"), x["start"].alias("start"), (x["start"] + x["length"]).alias("end")))
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<int>").alias("kept"))
-    kept = F.aggregate(
-        indexed,
-        zero,
-        lambda a, x: F.when(x["start"].cast("long") >= a["end"], F.struct(x["end"].cast("long").alias("end"), F.concat(a["kept"], F.array(x["i"])).alias("kept"))).otherwise(a),
-        lambda a: a["kept"],
-    )
-    return F.transform(kept, lambda i: F.get(ordered, i))
+    """Of an array of (start, length, ...): by start, longer first, those that begin at or after the last end taken.
+
+    A span is taken if it begins at or after the greatest end taken before it; the fold keeps the numbers of the spans
+    taken, and the sorted array is worked out once."""
+
+    def before(a: Column, b: Column) -> Column:
+        by_start = F.sign(a["start"] - b["start"]).cast("int")
+        return F.when(a["start"] != b["start"], by_start).otherwise(F.sign(b["length"] - a["length"]).cast("int"))
+
+    def chosen(ordered: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("end"), F.array().cast("array<int>").alias("kept"))
+
+        def step(a: Column, x: Column) -> Column:
+            free = x["start"].cast("long") >= a["end"]
+            end = F.when(free, (x["start"] + x["length"]).cast("long")).otherwise(a["end"])
+            return F.struct((a["i"] + 1).alias("i"), end.alias("end"), F.when(free, F.concat(a["kept"], F.array(a["i"]))).otherwise(a["kept"]).alias("kept"))
+
+        return F.transform(F.aggregate(ordered, zero, step, lambda a: a["kept"]), lambda i: F.get(ordered, i))
+
+    return F.element_at(F.transform(F.array(F.array_sort(spans, before)), chosen), 1)
+
+
+def last_per_place(spans: Column) -> Column:
+    """Of spans of equal (start, length), the last in the array only."""
+
+    def own(xs: Column) -> Column:
+        return F.filter(xs, lambda x, i: ~F.exists(F.slice(xs, i + 2, F.size(xs)), lambda y: (y["start"] == x["start"]) & (y["length"] == x["length"])))
+
+    return F.element_at(F.transform(F.array(spans), own), 1)
 
 
 def without_overlap(edits: DataFrame, taken: DataFrame, key: str, bucket: int = 4096) -> DataFrame:

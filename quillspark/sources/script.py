@@ -19,28 +19,31 @@ def code_of(line: str) -> str:
     return line[: len(line) - len(body)] + "   " + body[3:] if body[:3] in SPECIAL else line
 
 
-def opens_brace(text: str) -> bool:
-    """Whether a brace outside quotes is left open."""
-    depth = 0
-    for part in text.split('"')[::2]:
-        for c in part:
-            depth = depth + 1 if c == "{" else max(0, depth - 1) if c == "}" else depth
-    return depth > 0
+def brace_depth(line: str, depth: int, quoted: bool) -> tuple[int, bool]:
+    """How many braces outside quotes are open after a line, and whether a quote is, given both before it."""
+    for k, part in enumerate(line.split('"')):
+        quoted = quoted != (k > 0)
+        if not quoted:
+            for c in part:
+                depth = depth + 1 if c == "{" else max(0, depth - 1) if c == "}" else depth
+    return depth, quoted
 
 
 def assemble(text: str) -> Iterator[tuple[int, int, str]]:
     """(line number, place, text) of logical lines: lines with an open brace go on; comments inside are blanked."""
     held: list[str] = []
-    first = at = begin = 0
+    first = at = begin = depth = 0
+    quoted = False
     for n, raw in enumerate(text.split("\n")):
         line = code_of(raw.rstrip("\r"))
         if held and line.lstrip().startswith(";"):
             line = " " * len(line)
         if not held:
-            first, begin = n, at
+            first, begin, depth, quoted = n, at, 0, False
         held.append(line + " " * (len(raw) - len(raw.rstrip("\r"))))
         at += len(raw) + 1
-        if not opens_brace("\n".join(held)) or held[0].lstrip().startswith(";"):
+        depth, quoted = brace_depth(line, depth, quoted)
+        if not depth or held[0].lstrip().startswith(";"):
             yield first, begin, "\n".join(held).rstrip(" ") if len(held) == 1 else "\n".join(held)
             held = []
     if held:
