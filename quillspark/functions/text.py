@@ -13,6 +13,12 @@ TRANSLATABLE = r"\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{4E00}-\x{9FFF}\x{FF01}-\x{
 PLACEHOLDER = r"%[^%\r\n]+%|\{[^{}\r\n]+\}|<[^\r\n<>]+>"
 NUMERIC = r"^(?:0x[0-9A-Fa-f]+|[-+]?\p{Nd}+(?:\.\p{Nd}+)?(?:/\p{Nd}+)*(?:%|％)?|TRUE|FALSE|ON|OFF)$"
 DIGIT_CODAS = {"0": 1, "1": 8, "2": 0, "3": 1, "4": 0, "5": 0, "6": 1, "7": 8, "8": 8, "9": 0}
+#: Full-width marks that take no blanks around them.
+FULL_WIDTH_MARKS = "、。，．：；！？…‥・／＼｜【】〈〉《》「」『』（）［］｛｝＜＞％"
+# What makes a translation one for review.
+SLASH, ALTERNATIVES = "[/／]", r"\S+\s*(?:/|／)\s*\S+"
+PARENTHESES, ADDED_PARENTHESES = "[()（）]", r"[\(（][^)）\r\n]{2,}[\)）]"
+ASCII_WORD = r"(?<![A-Za-z])[A-Za-z][A-Za-z'-]{2,}(?![A-Za-z])"
 LANGUAGES = {"ja": JAPANESE, "ko": HANGUL, "en": LATIN}
 
 
@@ -100,10 +106,24 @@ def normalized_text(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
+def is_pattern(query: str) -> bool:
+    """Whether the engine can compile the pattern."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.sql import SparkSession
+
+    try:
+        SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(query)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def text_match(text: Column, query: str, regex: bool = False) -> Column:
-    """Case-insensitive substring or pattern; a blank query matches all."""
+    """Case-insensitive substring or pattern; a blank query matches all, a pattern that is none matches nothing."""
     if not query.strip():
         return F.lit(True)
+    if regex and not is_pattern(query):
+        return F.lit(False)
     own = F.coalesce(text, F.lit(""))
     return own.rlike(f"(?i){query}") if regex else F.contains(F.lower(own), F.lit(query.lower()))
 
@@ -129,18 +149,22 @@ def length_review(original: Column, translated: Column) -> Column:
 
 def review_reason(original: Column, translated: Column) -> Column:
     """The first reason for review: added alternatives, parentheses, ASCII words, or length."""
-    slash, parens, word = "[/／]", "[()（）]", "(?<![A-Za-z])[A-Za-z][A-Za-z'-]{2,}(?![A-Za-z])"
     return (
-        F.when(~original.rlike(slash) & translated.rlike(r"\S+\s*[/／]\s*\S+"), "alternatives")
-        .when(~original.rlike(parens) & translated.rlike(r"[(（][^)）\r\n]{2,}[)）]"), "parentheses")
-        .when(~original.rlike(word) & translated.rlike(word), "ascii_word")
+        F.when(~original.rlike(SLASH) & translated.rlike(ALTERNATIVES), "alternatives")
+        .when(~original.rlike(PARENTHESES) & translated.rlike(ADDED_PARENTHESES), "parentheses")
+        .when(~original.rlike(ASCII_WORD) & translated.rlike(ASCII_WORD), "ascii_word")
         .when(length_review(original, translated), "length")
     )
 
 
+def full_width_spacing(text: Column) -> Column:
+    """The text without blanks around full-width marks."""
+    return F.regexp_replace(text, rf"[\s\p{{Z}}]*([{FULL_WIDTH_MARKS}])[\s\p{{Z}}]*", "$1")
+
+
 def csv_text(text: Column, preserve: Column) -> Column:
     """Text of a CSV field: no ASCII comma, and no blanks unless they are to be preserved."""
-    own = F.replace(text, F.lit(","), F.lit("、"))
+    own = full_width_spacing(F.replace(text, F.lit(","), F.lit("、")))
     return F.when(is_blank(text), text).when(preserve, own).otherwise(F.regexp_replace(own, r"[ \t\x{3000}]+", ""))
 
 

@@ -49,22 +49,30 @@ def last_per_place(spans: Column) -> Column:
     return F.element_at(F.transform(F.array(spans), own), 1)
 
 
+def cells(start: Column, length: Column, bucket: int) -> Column:
+    """The buckets of ``bucket`` characters that a range lies in."""
+    return F.sequence(F.floor(start / bucket), F.floor((start + F.greatest(length, F.lit(1)) - 1) / bucket))
+
+
 def without_overlap(edits: DataFrame, taken: DataFrame, key: str, bucket: int = 4096) -> DataFrame:
-    """Edits (key, start, length) that meet no range of ``taken`` (key, start, length) of the same key.
+    """Edits (key, start, length, ...) that meet no range of ``taken`` (key, start, length) of the same key.
 
     Both sides are dealt to buckets of ``bucket`` characters, so that the interval condition is checked within equal
-    (key, bucket) pairs only, however many ranges a key has."""
-
-    def cells(df: DataFrame) -> Column:
-        first, last = F.floor(F.col("start") / bucket), F.floor((F.col("start") + F.greatest("length", F.lit(1)) - 1) / bucket)
-        return F.explode(F.sequence(first, last))
-
-    left = edits.withColumn("__id", F.monotonically_increasing_id())
-    a = left.select(F.col(key).alias("k"), F.col("start").alias("s"), F.col("length").alias("n"), "__id", cells(left).alias("cell"))
-    b = taken.select(F.col(key).alias("k2"), F.col("start").alias("s2"), F.col("length").alias("n2"), cells(taken).alias("cell2"))
-    meet = (F.col("k") == F.col("k2")) & (F.col("cell") == F.col("cell2")) & (F.col("s") < F.col("s2") + F.col("n2")) & (F.col("s2") < F.col("s") + F.col("n"))
-    grouped = a.join(b, meet, "left").groupBy("__id").agg(F.count("s2").alias("met"), F.first("k").alias(key), F.first("s").alias("start"), F.first("n").alias("length"))
-    return grouped.where("met = 0").select(key, "start", "length")
+    (key, bucket) pairs only, however many ranges a key has.  Equal edits are kept as often as they come."""
+    own = edits.groupBy(*edits.columns).agg(F.count("*").alias("__times"))
+    spread = own.withColumn("__cell", F.explode(cells(F.col("start"), F.col("length"), bucket)))
+    b = taken.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("length").alias("__n"), F.explode(cells(F.col("start"), F.col("length"), bucket)).alias("__c"))
+    meet = (F.col(key) == F.col("__k")) & (F.col("__cell") == F.col("__c")) & (F.col("start") < F.col("__s") + F.col("__n")) & (F.col("__s") < F.col("start") + F.col("length"))
+    free = spread.join(b, meet, "left").groupBy(*edits.columns, "__times").agg(F.count("__s").alias("__met")).where("__met = 0")
+    return free.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*edits.columns)
+
+
+def inside(ranges: DataFrame, outer: DataFrame, key: str, bucket: int = 4096) -> DataFrame:
+    """The distinct (key, start, length) of ranges that lie inside one of ``outer``: the one that holds the first cell does."""
+    a = ranges.select(key, "start", "length").distinct().withColumn("__cell", F.floor(F.col("start") / bucket))
+    b = outer.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("length").alias("__n"), F.explode(cells(F.col("start"), F.col("length"), bucket)).alias("__c"))
+    holds = (F.col(key) == F.col("__k")) & (F.col("__cell") == F.col("__c")) & (F.col("__s") <= F.col("start")) & (F.col("start") + F.col("length") <= F.col("__s") + F.col("__n"))
+    return a.join(b, holds, "left_semi").select(key, "start", "length")
 
 
 def apply_edits(text: Column, edits: Column) -> Column:
