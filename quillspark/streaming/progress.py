@@ -41,8 +41,27 @@ class VersionedTable:
         return self.write(keep_last(both, keys, [F.col(order)]))
 
     def delete(self, keys: DataFrame) -> int:
+        """Without the rows of the keys; where there is no version yet, there is nothing to delete (0)."""
         current = self.read()
-        return self.write(current.join(keys, keys.columns, "left_anti"))
+        return 0 if current is None else self.write(current.join(keys, keys.columns, "left_anti"))
+
+    def snapshot(self, rows: DataFrame, keys: list[str]) -> int:
+        """The rows in place of what there was: equal keys are updated, keys that are gone are deleted, in one version."""
+        return self.write(rows.dropDuplicates(keys))
+
+    def clear(self) -> int:
+        current = self.read()
+        return 0 if current is None else self.write(current.limit(0))
+
+    def vacuum(self, keep: int = 2) -> list[int]:
+        """Removes all versions but the newest ``keep``, pointers first, so that no pointer is left without its version."""
+        old = self._versions()[: -max(1, keep)]
+        jvm = self.spark._jvm
+        for number in old:
+            for part in ("pointers", "versions"):
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}/{number}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return old
 
     def follow(self, stream: DataFrame, keys: list[str], order: str, checkpoint: str):
         """Starts a streaming query that merges each micro-batch; a batch that is run again changes nothing more."""
