@@ -7,7 +7,12 @@ targets +1 and -1, closed form) is fitted on at most ``TRAINING_ROWS`` labelled
 Texts are scored in batches: presence matrix x landmark matrix x weights.
 
 Texts are presented to the kernel whole, whatever their length; n-grams are hashed to ``BITS`` positions, so presence
-is a bit vector of fixed size.
+is a bit vector of fixed size.  It is wide enough for texts of several MB: a text of 100,000 distinct n-grams sets about
+half of it.  As the product of the three matrices is associative, landmarks and weights are multiplied once (positions x
+languages), and a batch of texts is one sparse presence matrix times that.
+
+The rows of the fit are those of least seeded hash of (key, text) in each language, equal ones counted once, so the
+model depends on the table alone.
 
 Defined results: a text that is null or holds no letter is ``und`` with score 0; so is every text if no labelled row is
 there to learn from; with one language, that language is predicted; repeated rows are predicted alike; rows with a
@@ -21,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import _words as W
 
 MAX_N = 4
-BITS = 1 << 15
+BITS = 1 << 17
+_SHIFT = np.uint64(64 - 17)
 LANDMARKS = 256
 TRAINING_ROWS = 3000
 RIDGE = 1e-3
@@ -38,8 +44,8 @@ SEED = 11
 
 
 def presence(texts: list[str]) -> np.ndarray:
-    """The (texts x BITS) float32 presence matrix of hashed character n-grams."""
-    out = np.zeros((len(texts), BITS), dtype=np.float32)
+    """The (texts x BITS) boolean presence matrix of hashed character n-grams."""
+    out = np.zeros((len(texts), BITS), dtype=bool)
     lower = [t.lower() for t in texts]
     codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     lengths = np.array([len(t) for t in lower])
@@ -53,7 +59,7 @@ def presence(texts: list[str]) -> np.ndarray:
         h = h[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(1)
         whole = at[: len(h)] + n <= end[: len(h)]
         mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out[row[: len(h)][whole], (mixed >> np.uint64(64 - 15)).astype(np.int64)[whole]] = 1
+        out[row[: len(h)][whole], (mixed >> _SHIFT).astype(np.int64)[whole]] = True
     return out
 
 
@@ -64,17 +70,20 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages, the landmarks' presence as packed bits (a row each), and weights by landmark and language."""
+    """Languages, and landmarks x weights: the weight of each position for each language."""
 
     languages: list[str]
-    bits: np.ndarray
     weights: np.ndarray
-    landmarks: np.ndarray | None = None
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        if self.landmarks is None:
-            self.landmarks = unpacked(self.bits)
-        return (unit(presence(texts)) @ self.landmarks.T) @ self.weights
+        found = presence(texts)
+        counts = found.sum(axis=1)
+        at = np.flatnonzero(found.reshape(-1)) & (BITS - 1)
+        # rows of the sparse matrix, laid end to end, times the weights
+        starts = np.minimum(np.concatenate([[0], np.cumsum(counts)[:-1]]), max(len(at) - 1, 0))
+        sums = np.add.reduceat(self.weights[at], starts, axis=0) if len(at) else np.zeros((len(texts), len(self.languages)), np.float32)
+        sums[counts == 0] = 0
+        return sums / np.sqrt(np.maximum(counts, 1))[:, None]
 
 
 def unpacked(bits: np.ndarray) -> np.ndarray:
@@ -87,7 +96,7 @@ def has_letter(text: str | None) -> bool:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bits = [np.packbits(presence([t.as_py()])[0] > 0).tobytes() for t in batch.column("text")]
+        bits = [np.packbits(presence([t.as_py()])[0]).tobytes() for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(bits, pa.binary())], ["label", "bits"])
 
 
@@ -99,8 +108,12 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, key_col: str, rows:
     if not counts:
         return None
     each = max(1, rows // len(counts))
-    chance = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, each / n)))))[F.col("label")]
-    drawn = own.where((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < chance).transform(W.mapped, _pack, f"label {own.schema['label'].dataType.simpleString()}, bits binary").limit(2 * rows)
+    chance = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 2 * each / n + 100 / n)))))[F.col("label")]
+    # a draw of about twice the rows, of which the first by hash are taken, so no rank is over many rows
+    own = own.withColumn("h", F.xxhash64("h", "text")).where((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < chance)
+    own = own.groupBy("label", "h").agg(F.min("text").alias("text"))
+    ranked = own.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("n") <= each)
+    drawn = ranked.select("label", "text").transform(W.mapped, _pack, f"label {own.schema['label'].dataType.simpleString()}, bits binary")
     got = sorted((r["label"], bytes(r["bits"])) for r in drawn.collect())
     if not got:
         return None
@@ -114,11 +127,11 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, key_col: str, rows:
         picked += [i for i in order.tolist() if got[i][0] == lang][: max(1, landmarks // len(languages))]
     z = unpacked(bits[picked])
     # kernels by blocks of rows: the whole presence matrix would be large
-    knm = np.concatenate([unpacked(bits[k : k + 128]) @ z.T for k in range(0, len(bits), 128)]).astype(np.float64)
+    knm = np.concatenate([unpacked(bits[k : k + 64]) @ z.T for k in range(0, len(bits), 64)]).astype(np.float64)
     kmm = knm[picked]
     # ridge regression in the Nyström space: the penalty is w' K w
     weights = np.linalg.solve(knm.T @ knm + RIDGE * len(got) * kmm + 1e-8 * np.eye(len(picked)), knm.T @ y)
-    return Model(languages, bits[picked].copy(), weights.astype(np.float32))
+    return Model(languages, (z.T @ weights.astype(np.float32)).astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
