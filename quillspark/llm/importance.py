@@ -6,10 +6,10 @@ raw text (every document of the corpus).  A document's log importance is the sum
 log p_target - log p_raw, less what a good document of its length has on average, over the square root of its length,
 so that neither long nor short documents are favoured.  Gumbel noise, seeded by the document's key, is added to
 ``SHARPNESS`` times that, and the k documents of largest sum are kept: a sample without replacement in proportion to
-importance.  k is the number of documents, over the whole corpus, whose importance is at least what all but
-``LOST`` of the held-out good documents reach.
+importance.  k is the number of documents, over the whole corpus, whose importance is at least the exact
+quantile ``LOST`` of the held-out good documents.
 
-The target model and that level are fitted on at most about ``LABELLED_ROWS`` labelled documents drawn by a seeded
+The target model and that level are fitted on at most about ``LABELLED_ROWS`` labelled documents those of least seeded
 hash of the id (the documented bound; they are broadcast); raw counts, scores and k cover every document.
 
 Defined results: a text without a token (null or empty) has no importance and is rejected; without any labelled good
@@ -89,13 +89,16 @@ class Model:
 
 
 def labelled_sample(labels: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """(id, good, held): a seeded draw of about ``rows`` labelled ids; one in five is held out of the fit."""
+    """(id, good, held): a seeded draw of at most ``rows`` labelled ids; one in five is held out of the fit."""
     h = F.xxhash64(F.lit(SEED), F.col(id_col))
     own = labels.where(F.col(id_col).isNotNull())
-    chance = min(1.0, rows / max(own.count(), 1))
+    chance = min(1.0, (2 * rows + 1000) / max(own.count(), 1))
     drawn = own.where(F.pmod(h, F.lit(1 << 30)) / (1 << 30) < chance)
     good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
-    return drawn.groupBy(F.col(id_col).alias("__id")).agg(F.min(good).alias("good"), (F.pmod(F.xxhash64(F.lit(SEED + 1), F.first(id_col)), F.lit(5)) == 0).alias("held")).limit(2 * rows)
+    each = drawn.groupBy(F.col(id_col).alias("__id")).agg(F.min(good).alias("good"), (F.pmod(F.xxhash64(F.lit(SEED + 1), F.first(id_col)), F.lit(5)) == 0).alias("held"))
+    # the first by the seeded hash, so that the draw is the same however the table is dealt
+    h = F.xxhash64(F.lit(SEED), F.col("__id"))
+    return each.orderBy(F.pmod(h, F.lit(1 << 30)), h, "__id").limit(rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS) -> Model | None:
@@ -117,11 +120,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             total, n = shared.value.sums(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(n), batch.column("held")], ["total", "n", "held"])
 
-    seen = own.join(sample.where("good"), "__id").select("text", "held").transform(W.mapped, sums, "total double, n double, held boolean").limit(4 * rows).toPandas()
-    seen = seen[seen.n > 0]
-    seen = seen[seen.held] if seen.held.any() else seen
-    model.mean = float(seen.total.sum() / max(seen.n.sum(), 1))
-    model.level = float(np.quantile(model.importance(seen.total.to_numpy(), seen.n.to_numpy()), LOST, method="lower")) if len(seen) else float("-inf")
+    seen = own.join(sample.where("good"), "__id").select("text", "held").transform(W.mapped, sums, "total double, n double, held boolean").where("n > 0")
+    seen = space.save(seen, "seen")
+    any_held, all_total, all_n, held_total, held_n = seen.agg(F.coalesce(F.bool_or("held"), F.lit(False)), F.sum("total"), F.sum("n"), F.sum(F.when(F.col("held"), F.col("total"))), F.sum(F.when(F.col("held"), F.col("n")))).first()
+    if all_n is None:
+        return model
+    model.mean = held_total / held_n if any_held else all_total / all_n
+    value = (F.col("total") - model.mean * F.col("n")) / F.sqrt(F.col("n") + 1)
+    # repeated rows of a labelled document weigh as often as they come; the quantile is exact
+    model.level = seen.where("held" if any_held else "true").agg(F.percentile(value, LOST)).first()[0]
     return model
 
 
