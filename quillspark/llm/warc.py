@@ -122,10 +122,10 @@ def _write_streams(folder: str):
 
 
 class _Stream:
-    """A gzip file (of one member or many) inflated block by block."""
+    """A gzip file (of one member or many) inflated block by block; ``at`` is how far the bytes that are ready are used."""
 
     def __init__(self, file):
-        self.file, self.inflate, self.ready, self.over = file, zlib.decompressobj(wbits=31), b"", False
+        self.file, self.inflate, self.ready, self.at, self.over = file, zlib.decompressobj(wbits=31), b"", 0, False
 
     def more(self) -> bool:
         while not self.over:
@@ -140,26 +140,26 @@ class _Stream:
                 self.inflate = zlib.decompressobj(wbits=31)
             got = self.inflate.decompress(data, BLOCK)
             if got:
-                self.ready += got
+                self.ready, self.at = self.ready[self.at :] + got, 0
                 return True
         return False
 
     def head(self) -> bytes | None:
         """The header block of the next record, or None at the end."""
-        while (at := self.ready.find(b"\r\n\r\n")) < 0:
+        while (end := self.ready.find(b"\r\n\r\n", self.at)) < 0:
             if not self.more():
-                if self.ready.strip():
+                if self.ready[self.at :].strip():
                     raise EOFError("a record header is cut short")
                 return None
-        out, self.ready = self.ready[: at + 4], self.ready[at + 4 :]
+        out, self.at = self.ready[self.at : end + 4], end + 4
         return out
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:
-            if not self.ready and not self.more():
+            if self.at == len(self.ready) and not self.more():
                 raise EOFError("a record is cut short")
-            part, self.ready = self.ready[:n], self.ready[n:]
-            n -= len(part)
+            part = self.ready[self.at : self.at + n]
+            self.at, n = self.at + len(part), n - len(part)
             yield part
 
 
@@ -231,6 +231,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             if row["path"] != opened:
+                if file is not None:
+                    file.close()
                 fs, local = pyarrow.fs.FileSystem.from_uri(row["path"])
                 opened, file = row["path"], fs.open_input_file(local)
             file.seek(row["offset"])
@@ -239,13 +241,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held >= 4 * BLOCK or len(rows) >= 4096:
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 rows, held = [], 0
+    if file is not None:
+        file.close()
     yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """The pages with refers_to: the least page id of an equal payload, null for that page itself."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    own = pages.select("page_id", "url", "html", F.unhex(F.sha1(F.encode(payload, "UTF-8"))).alias("__key"), F.octet_length(payload).alias("__size"))
+    own = pages.select("page_id", "url", "html", F.unhex(F.sha2(F.encode(payload, "UTF-8"), 256)).alias("__key"), F.octet_length(payload).alias("__size"))
     groups = own.where(F.col("__size") >= least).groupBy(F.col("__key").alias("__k"), F.col("__size").alias("__s")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = Workspace(pages.sparkSession, "payloads").save(groups, "repeated")
     if groups.count() <= BROADCAST_GROUPS:
