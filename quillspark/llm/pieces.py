@@ -302,7 +302,8 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", mod
 
 
 def decode(rows: DataFrame, pieces_col: str = "pieces", out: str = "text", model: str = MODEL) -> DataFrame:
-    """The rows with the text of their pieces."""
+    """The rows with the text of their pieces; a null list is a null text, null ids and ids that the vocabulary does not
+    have are left out, and bytes that are no UTF-8 become U+FFFD."""
     columns = [c for c in rows.columns if c != out]
     own = rows.select(*(F.col(f"`{c}`") for c in columns))
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.read(model))
@@ -310,10 +311,12 @@ def decode(rows: DataFrame, pieces_col: str = "pieces", out: str = "text", model
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(pieces_col))
-            ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = (ids >= 0) & (ids < len(shared.value.at) - 1)
             stops = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            back, ends = shared.value.decode(ids)
-            texts = [None if null else back[ends[a] : ends[b]].tobytes().decode("utf-8") for a, b, null in zip(stops[:-1], stops[1:], column.is_null().to_pylist(), strict=True)]
+            stops = np.concatenate([[0], np.cumsum(known)])[stops]
+            back, ends = shared.value.decode(ids[known])
+            texts = [None if null else back[ends[a] : ends[b]].tobytes().decode("utf-8", "replace") for a, b, null in zip(stops[:-1], stops[1:], column.is_null().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*columns, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
