@@ -124,6 +124,50 @@ def test_shards_are_even_seeded_and_independent_of_partitions(spark, sf):
     assert [r.doc_id for r in sorted(a, key=lambda r: (r.shard, r.slot))] != sorted(r.doc_id for r in a)
 
 
+def test_buckets_are_shuffled_by_fisher_yates(spark, sf):
+    """The whole result again in plain Python: canonical order, the seeded inside-out Fisher-Yates pass, the law."""
+    docs, seed = spark.read.parquet(f"{sf}/documents.parquet"), sharding.SEED
+    record = [F.col(c) for c in docs.columns]
+    total = sum(len((r.text or "").encode()) + 1 for r in docs.collect())
+    buckets = -(-total // 100_000)
+    own = docs.withColumn("h", F.xxhash64(F.lit(seed), *record))
+    rows = collections.defaultdict(list)
+    for r in own.select("doc_id", F.pmod("h", F.lit(buckets)).alias("b"), F.xxhash64(F.lit(~seed), "h").alias("key")).collect():
+        rows[r.b].append((r.key, r.doc_id))
+    order = []
+    for b in range(buckets):
+        state = np.random.RandomState([(seed + b) >> 32, (seed + b) & 0xFFFFFFFF])
+
+        def below(n, state=state):
+            while True:
+                bits = int(state.randint(0, 1 << 32, dtype=np.uint32)) >> 1
+                if n & (n - 1) == 0:
+                    return (n * bits) >> 31
+                if bits - bits % n + (n - 1) < 1 << 31:
+                    return bits % n
+
+        places = []
+        for i in range(len(rows[b])):
+            j = below(i + 1)
+            places.append(i)
+            if j != i:
+                places[i] = places[j]
+            places[j] = i
+        ordered = sorted(rows[b])
+        order += [ordered[i][1] for i in places]
+    got = sharding.external_shuffle(docs, bucket_bytes=100_000).select("doc_id", "shard", "slot").collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))] == order
+
+
+def test_many_equal_records_share_no_bucket(spark):
+    docs = spark.createDataFrame([(1, "x" * 100)] * 5000 + [(i, "y") for i in range(2, 100)], "bucket long, text string")
+    got = sharding.external_shuffle(docs, shards=4, bucket_bytes=20_000)
+    rows = got.collect()
+    assert len(rows) == 5098 and sum(r.bucket == 1 for r in rows) == 5000
+    # other rows lie between the copies everywhere
+    assert len({(r.shard, r.slot // 200) for r in rows if r.bucket != 1}) > 15
+
+
 def test_language_held_out_accuracy(spark, sf):
     got = queries.QUERIES["op1_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert got.where("lang = lang_pred").count() >= 0.98 * got.count()
@@ -134,7 +178,68 @@ def test_kernel_counts_shared_grams():
     grams = [{t.lower()[i : i + n] for n in range(1, language_id.MAX_N + 1) for i in range(len(t) - n + 1)} for t in (a, b)]
     x = language_id.presence([a, b])
     assert x.sum(axis=1).tolist() == [len(g) for g in grams]
-    assert x[0] @ x[1] == len(grams[0] & grams[1])
+    assert (x[0] & x[1]).sum() == len(grams[0] & grams[1])
+
+
+def test_languages_by_exact_kernels(spark, sf):
+    """The model again without hashing: n-gram sets, Nyström landmarks and ridge regression in plain linear algebra."""
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect() if r.lang and language_id.has_letter(r.text)]
+    train, test = docs[::2][:60], docs[1::2][:40]
+    grams = {r.doc_id: {r.text.lower()[i : i + n] for n in range(1, language_id.MAX_N + 1) for i in range(len(r.text.lower()) - n + 1)} for r in train + test}
+    kernel = lambda a, b: len(grams[a.doc_id] & grams[b.doc_id]) / math.sqrt(len(grams[a.doc_id]) * len(grams[b.doc_id]))
+    langs = sorted({r.lang for r in train})
+    model = language_id.fit(spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in train], "doc_id long, text string, lang string"), "lang", "text", "doc_id", rows=60 * len(langs), landmarks=60 * len(langs))
+    knm = np.array([[kernel(a, b) for b in train] for a in train])
+    y = np.array([[1.0 if r.lang == x else -1.0 for x in langs] for r in train])
+    weights = np.linalg.solve(knm.T @ knm + language_id.RIDGE * len(train) * knm + 1e-8 * np.eye(len(train)), knm.T @ y)
+    want = np.array([[kernel(a, b) for b in train] for a in test]) @ weights
+    got = model.scores([r.text for r in test])
+    assert model.languages == langs and (got.argmax(axis=1) == want.argmax(axis=1)).mean() >= 0.95 and np.abs(got - want).max() < 0.3
+
+
+def test_language_of_texts_of_several_megabytes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text is not null")
+    model = language_id.fit(docs, "lang", "text", "doc_id")
+    for lang in model.languages:
+        text = " ".join(r.text for r in docs.where(F.col("lang") == lang).collect())
+        long = (text * (3_000_000 // len(text) + 1))[:3_000_000]
+        assert model.languages[int(model.scores([long]).argmax())] == lang
+
+
+def test_importance_by_brute_force(spark):
+    """Counts, log ratios and sums of hashed 1- and 2-grams again, word by word."""
+    rnd = random.Random(8)
+    docs = [(i, " ".join(words(rnd, rnd.randint(1, 40), "abc" if i % 2 else "xyz")) + ("!" if i % 3 else "")) for i in range(60)] + [(100, None), (101, ""), (102, docs_text := "abc abc"), (103, docs_text)]
+    labels = [(i, i % 2, 0) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = importance.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    sample = {r["__id"]: (r.good, r.held) for r in importance.labelled_sample(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", 20_000).collect()}
+    cut = {}
+
+    def buckets(text):
+        out = []
+        tokens = re.findall(r"[a-z]+|[!-/:-@\[-`{-~]+", (text or "").lower())
+        for gram in [(t,) for t in tokens] + list(zip(tokens, tokens[1:], strict=False)):
+            key = " ".join(gram)
+            if key not in cut:
+                got = [b.tolist() for _, _, b, _ in importance.features(pa.array([key]))][0]
+                cut[key] = got[-1] if len(gram) == 2 else got[0]
+            out.append(cut[key])
+        return out
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in docs:
+        raw.update(buckets(t))
+        if sample.get(i, (False, True)) == (True, False):
+            target.update(buckets(t))
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = {b: math.log((target[b] + importance.SMOOTHING) / (raw[b] * scale + importance.SMOOTHING)) for b in raw}
+    held = {i: buckets(t) for i, t in docs if sample.get(i) == (True, True)}
+    mean = sum(ratio[b] for x in held.values() for b in x) / sum(map(len, held.values()))
+    want = {i: (sum(ratio[b] for b in x) - mean * len(x)) / math.sqrt(len(x) + 1) if (x := buckets(t)) else None for i, t in docs}
+    got = {r.doc_id: r.importance for r in importance.score(df, model).collect()}
+    assert got.keys() == want.keys() and all(got[i] is None if want[i] is None else abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert model.level == pytest.approx(float(np.quantile([want[i] for i in held], importance.LOST)))
 
 
 def test_importance_rejects_junk_and_keeps_prose(spark, sf):
@@ -256,6 +361,8 @@ def test_pieces_are_reproducible_and_lossless(spark, sf):
     a = pieces.encode(docs)
     b = pieces.encode(docs.repartition(7))
     assert sorted((r.doc_id, r.pieces) for r in a.collect()) == sorted((r.doc_id, r.pieces) for r in b.collect())
+    odd = spark.createDataFrame([([None, 5, -1, 10**9],), (None,), ([],), ([int(pieces.Vocabulary.read().byte_id[0xE3])],)], "pieces array<int>")
+    assert [r.text is None for r in pieces.decode(odd).collect()] == [False, True, False, False]
     back = pieces.decode(a.withColumnRenamed("text", "was"))
     assert back.where("not was <=> text").count() == 0
 
