@@ -6,15 +6,18 @@ string's bytes alone, so equal strings have equal anchors at equal distances, an
 An anchor at p stands for the strings that begin d bytes before it, lo <= d <= hi; its *context* is their union.
 
 1. Anchors whose leading gram occurs once in the corpus are left out (counted exactly; a bounded bitmap spares rows).
-2. A context that occurs twice or more, by 128 bits of hash, has all its strings repeated.
+2. A context that occurs twice or more (by two independent 64-bit hashes besides that of its gram) is one suffix of the
+   array; all its strings are repeated.
 3. Contexts that differ but share their leading gram are compared byte by byte: sampled splitters range-partition their
-   suffixes by the leading token (16 bytes), each bucket sorts the suffixes by multikey quicksort, once by what follows
-   the anchor and once by what precedes it, backwards.  Strings at distance d are equal if and only if the contexts
-   share d bytes before and LENGTH - d bytes from the anchor on, which the two orders' common-prefix lengths tell.
-   Splitters fall between different leading tokens, so equal strings never lie on two sides of a bucket's boundary; a
-   bucket read in parts compares its last token with the next part's first before it lets go of it.
-4. Leading grams with more than ``CROWD`` different contexts are compared by counting the 128-bit hashes of their single
-   strings instead, which any number of tasks share.
+   suffixes by the leading token, each bucket sorts the suffixes by multikey quicksort, once by what follows the anchor
+   and once by what precedes it, backwards.  Strings at distance d are equal if and only if the contexts share d bytes
+   before and LENGTH - d bytes from the anchor on, which the two orders' common-prefix lengths tell.  A bucket that is
+   read in parts compares its last token with the next part's first before it lets go of it; splitters fall between
+   different tokens, so equal strings never lie on two sides of a boundary.
+4. The leading token is the gram.  A token that more than ``SPLIT`` contexts share is replaced by longer ones: the
+   distances are halved, and all strings of distance a to b share the bytes from a before the anchor to LENGTH - b after
+   it, which are the new token.  Halving goes on where tokens stay crowded; at a single distance the token is the whole
+   string, so its contexts are equal and nothing is left to sort.  So no task holds more than SPLIT contexts of a token.
 5. The strings found are united to spans by text, and the bytes that are left are hashed.
 
 Equal texts are worked on by their MD5 as one text.  Nothing is dropped, capped or sampled.
@@ -36,17 +39,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _words as W
-from quillspark.llm._shared import Workspace, membership
+from quillspark.llm._shared import Workspace, membership, salted_join
 
 LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM
-LEAD = 16
-CROWD = 50_000
+#: Contexts of one leading token that are sorted together at most.
+SPLIT = 1000
 #: Bytes of contexts sorted at a time, or one leading token's.
 SORT_BYTES = 12 << 20
 
 
+BYTES = W.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
 @dataclass
 class Anchors:
     """Anchors of a chunk: place, distances of their strings, document, hash of the leading gram and of the context."""
@@ -57,6 +63,7 @@ class Anchors:
     doc: np.ndarray
     gram: np.ndarray
     context: np.ndarray
+    check: np.ndarray
     data: np.ndarray
     sums: np.ndarray
 
@@ -77,7 +84,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
     start = np.flatnonzero(np.cumsum(valid[:n]) > 0)
     none = np.zeros(0, np.int64)
     if not len(start):
-        return Anchors(none, none, none, none, none.view(np.uint64), none.view(np.uint64), data, sums)
+        return Anchors(none, none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), data, sums)
     gram = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
     gram = (gram ^ (gram >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     bits = np.uint64(max(16, n.bit_length()))
@@ -89,9 +96,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
     p = at[head]
     hi, lo = p - start[head], p - start[tail]
     doc = np.searchsorted(offsets, p, "right") - 1
-    out = Anchors(p, lo, hi, doc, W.mix(gram[p]), none.view(np.uint64), data, sums)
+    out = Anchors(p, lo, hi, doc, W.mix(gram[p]), none.view(np.uint64), none.view(np.uint64), data, sums)
     shape = (lo * 1024 + hi).astype(np.uint64)
-    out.context = W.mix(out.window(start[head], start[tail] + LENGTH - start[head]) + shape * np.uint64(0x9E3779B97F4A7C15))
+    begin, size = start[head], start[tail] + LENGTH - start[head]
+    out.context = W.mix(out.window(begin, size) + shape * np.uint64(0x9E3779B97F4A7C15))
+    # another hash of the same bytes, each byte as a random value
+    other = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTES[data] * up[:n], out=other[1:])
+    out.check = W.mix((other[begin + size] - other[begin]) * down[begin])
     return out
 
 
@@ -120,7 +132,7 @@ def _repeated_anchors(bitmap):
                 k = np.flatnonzero(bitmap.value.has(a.gram))
                 fp = batch.column("fp").take(pa.array(lo + a.doc[k]))
                 place = (a.at[k] - at[a.doc[k]]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([signed(a.gram[k]), signed(a.context[k]), fp, pa.array(place), pa.array(a.lo[k], pa.int32()), pa.array(a.hi[k], pa.int32())], ["gram", "context", "fp", "at", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([signed(a.gram[k]), signed(a.context[k]), signed(a.check[k]), fp, pa.array(place), pa.array(a.lo[k], pa.int32()), pa.array(a.hi[k], pa.int32())], ["gram", "context", "check", "fp", "at", "lo", "hi"])
 
     return run
 
@@ -131,13 +143,13 @@ def _contexts(bitmap):
             for _, _, _, a in chunked(batch.column("text")):
                 k = np.flatnonzero(bitmap.value.has(a.context))
                 # one of each in a chunk
-                k = k[np.unique(a.context[k] ^ W.mix(a.gram[k]), return_index=True)[1]]
+                k = k[np.unique(a.context[k] ^ W.mix(a.gram[k] ^ W.mix(a.check[k])), return_index=True)[1]]
                 begin, end = a.at[k] - a.hi[k], a.at[k] - a.lo[k] + LENGTH
                 sizes = end - begin
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 flat = a.data[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])]
                 bodies = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([signed(a.gram[k]), signed(a.context[k]), pa.array(a.lo[k], pa.int32()), pa.array(a.hi[k], pa.int32()), bodies], ["gram", "context", "lo", "hi", "body"])
+                yield pa.RecordBatch.from_arrays([signed(a.gram[k]), signed(a.context[k]), signed(a.check[k]), pa.array(a.lo[k], pa.int32()), pa.array(a.hi[k], pa.int32()), bodies], ["gram", "context", "check", "lo", "hi", "body"])
 
     return run
 
@@ -231,7 +243,7 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         near, far = repeated_strings(rows["body"].to_pylist(), rows["lo"].to_numpy(), rows["hi"].to_numpy())
         keep = np.flatnonzero(near >= 0)
         some = rows.take(pa.array(keep)).combine_chunks()
-        return pa.RecordBatch.from_pydict({"gram": some["gram"].combine_chunks(), "context": some["context"].combine_chunks(), "near": pa.array(near[keep], pa.int32()), "far": pa.array(far[keep], pa.int32())})
+        return pa.RecordBatch.from_pydict({"gram": some["gram"].combine_chunks(), "context": some["context"].combine_chunks(), "check": some["check"].combine_chunks(), "near": pa.array(near[keep], pa.int32()), "far": pa.array(far[keep], pa.int32())})
 
     size = 0
     for batch in batches:
@@ -241,7 +253,7 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         size += batch.nbytes
         if size >= SORT_BYTES:
             rows = pa.Table.from_batches(held)
-            lead = rows["lead"]
+            lead = rows["token"]
             last = lead[len(rows) - 1]
             # the last token may go on in the next batch
             stop = len(rows) - 1
@@ -260,28 +272,6 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield result(pa.Table.from_batches(held))
 
 
-def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            part = batch.slice(k, 1000)
-            bodies = part.column("body").to_pylist()
-            data = np.frombuffer(b"".join(bodies), np.uint8)
-            sizes = np.array([len(x) for x in bodies])
-            begin = np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(bodies)), sizes - LENGTH + 1)
-            shift = np.arange(len(row)) - np.repeat(np.cumsum(sizes - LENGTH + 1) - (sizes - LENGTH + 1), sizes - LENGTH + 1)
-            hashes = []
-            for kind in (1, 3):
-                _, down = W.powers(len(data) + 1)
-                up, _ = W.powers(len(data) + 1)
-                value = W.mix(data.astype(np.uint64) * np.uint64(kind) + np.uint64(kind))
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[: len(data)], dtype=np.uint64)])
-                at = begin[row] + shift
-                hashes.append(signed(W.mix((sums[at + LENGTH] - sums[at]) * down[at])))
-            d = part.column("hi").to_numpy()[row] - shift
-            yield pa.RecordBatch.from_arrays([*hashes, part.column("gram").take(pa.array(row)), part.column("context").take(pa.array(row)), pa.array(d, pa.int32())], ["s1", "s2", "gram", "context", "d"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left = []
@@ -304,20 +294,62 @@ def _sift(bitmap):
     return run
 
 
-def united(intervals: str) -> Column:
-    """The union of an array of (begin, end), as a sorted array of disjoint spans that do not touch."""
-    empty = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-    start = F.struct(empty.alias("done"), F.lit(-1).cast("long").alias("begin"), F.lit(-1).cast("long").alias("end"))
+def united(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of intervals, as sorted disjoint spans that do not touch."""
+    order = np.argsort(begin, kind="stable")
+    begin, most = begin[order], np.maximum.accumulate(end[order])
+    fresh = np.concatenate([[True], begin[1:] > most[:-1]])
+    return begin[fresh], most[np.append(fresh[1:], True)]
 
-    def step(a: Column, x: Column) -> Column:
-        apart = F.struct(
-            F.when(a["begin"] >= 0, F.concat(a["done"], F.array(F.struct(a["begin"].alias("begin"), a["end"].alias("end"))))).otherwise(a["done"]).alias("done"),
-            x["begin"].alias("begin"),
-            x["end"].alias("end"),
-        )
-        return F.when(x["begin"] > a["end"], apart).otherwise(F.struct(a["done"].alias("done"), a["begin"].alias("begin"), F.greatest(a["end"], x["end"]).alias("end")))
 
-    return F.aggregate(F.array_sort(intervals), start, step, lambda a: F.when(a["begin"] >= 0, F.concat(a["done"], F.array(F.struct(a["begin"].alias("begin"), a["end"].alias("end"))))).otherwise(a["done"]))
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        spans = []
+        for row in batch.column("x"):
+            x = row.values
+            begin, end = united(x.field("begin").to_numpy(zero_copy_only=False), x.field("end").to_numpy(zero_copy_only=False))
+            spans.append([{"begin": i, "end": j} for i, j in zip(begin.tolist(), end.tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(spans, kind)], ["fp", "spans"])
+
+
+def token(body: str, hi: str, a: str, b: str) -> Column:
+    """The bytes that all strings of distances a to b of a context share, after the number a."""
+    return F.expr(f"concat(unhex(lpad(hex({a}), 2, '0')), substring({body}, {hi} - {a} + 1, {LENGTH} - {b} + {a}))")
+
+
+def halved(rows: DataFrame) -> DataFrame:
+    """The contexts (lo, hi, body, a, b) for each half of their distances a to b that they have strings in."""
+    middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+    both = F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b")))
+    own = rows.select("gram", "context", "check", F.col("lo").alias("l"), F.col("hi").alias("h"), "body", F.explode(both).alias("r"))
+    own = own.select("*", F.greatest("l", "r.a").alias("lo"), F.least("h", "r.b").alias("hi"), "r.a", "r.b").where("lo <= hi")
+    cut = F.expr(f"substring(body, h - hi + 1, hi - lo + {LENGTH})")
+    return own.select("gram", "context", "check", "lo", "hi", cut.alias("body"), "a", "b")
+
+
+def matched(bodies: DataFrame, space: Workspace) -> DataFrame:
+    """(gram, context, check, near, far): the least and greatest distance of a string that another context has too."""
+    rows = bodies.select("*", F.lit(0).alias("a"), F.lit(REACH).alias("b"))
+    sorted_parts, alike = None, None
+    level = 0
+    while True:
+        rows = space.save(rows.withColumn("token", token("body", "hi", "a", "b")), f"suffixes-{level}")
+        counts = space.save(rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), f"tokens-{level}")
+        sized = salted_join(rows, counts, "token", F.col("context"), counts=counts)
+        few = sized.where((F.col("n") <= SPLIT) & (F.col("a") < F.col("b")))
+        whole = sized.where("a = b").select("gram", "context", "check", F.col("a").alias("near"), F.col("a").alias("far"))
+        sorted_parts = few if sorted_parts is None else sorted_parts.unionByName(few)
+        alike = whole if alike is None else alike.unionByName(whole)
+        crowded = counts.where(F.col("n") > SPLIT)
+        if crowded.isEmpty() or level == REACH.bit_length():
+            break
+        rows = halved(sized.where((F.col("n") > SPLIT) & (F.col("a") < F.col("b"))))
+        level += 1
+    schema = "gram long, context long, check long, near int, far int"
+    columns = ["gram", "context", "check", "lo", "hi", "body", "token"]
+    found = sorted_parts.select(columns).repartitionByRange("token").sortWithinPartitions("token").transform(W.mapped, _sorted_bucket, schema)
+    return found.union(alike).groupBy("gram", "context", "check").agg(F.min("near").alias("near"), F.max("far").alias("far"))
 
 
 def repeated_spans(own: DataFrame, space: Workspace) -> DataFrame:
@@ -325,29 +357,27 @@ def repeated_spans(own: DataFrame, space: Workspace) -> DataFrame:
     spark = own.sparkSession
     share = spark.sparkContext.broadcast
     texts = own.select("text")
+    key = ["gram", "context", "check"]
     grams = texts.transform(W.mapped, _gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     grams = space.save(grams, "grams")
-    found = own.select("fp", "text").transform(W.mapped, _repeated_anchors(share(membership(grams, F.col("gram")))), "gram long, context long, fp binary, at long, lo int, hi int")
+    found = own.select("fp", "text").transform(W.mapped, _repeated_anchors(share(membership(grams, F.col("gram")))), "gram long, context long, check long, fp binary, at long, lo int, hi int")
     found = space.save(found, "anchors")
-    kinds = space.save(found.groupBy("gram", "context").agg(F.count("*").alias("n")), "kinds")
+    kinds = space.save(found.groupBy(*key).agg(F.count("*").alias("n")), "kinds")
     several = kinds.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
-    differing = space.save(kinds.join(several, "gram").select("gram", "context", "m"), "differing")
-    bodies = texts.transform(W.mapped, _contexts(share(membership(differing, F.col("context")))), "gram long, context long, lo int, hi int, body binary")
-    bodies = bodies.groupBy("gram", "context").agg(F.min(F.struct("lo", "hi", "body")).alias("x")).join(differing, ["gram", "context"]).select("gram", "context", "m", "x.*")
-    bodies = space.save(bodies.withColumn("lead", F.expr(f"substring(body, hi + 1, {LEAD})")), "bodies")
-    schema = "gram long, context long, near int, far int"
-    few = bodies.where(F.col("m") <= CROWD).drop("m").repartitionByRange("lead").sortWithinPartitions("lead").transform(W.mapped, _sorted_bucket, schema)
-    single = bodies.where(F.col("m") > CROWD).select("gram", "context", "hi", "body").transform(W.mapped, _single_strings, "s1 long, s2 long, gram long, context long, d int")
-    twice = single.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1")
-    many = single.join(twice, ["s1", "s2"]).groupBy("gram", "context").agg(F.min("d").alias("near"), F.max("d").alias("far"))
-    partly = space.save(few.union(many), "partly")
-    whole = kinds.where("n > 1").select("gram", "context", F.lit(None).cast("int").alias("near"), F.lit(None).cast("int").alias("far"))
-    hits = whole.unionByName(partly.join(whole, ["gram", "context"], "left_anti"))
-    covered = found.join(hits, ["gram", "context"]).select(
+    differing = space.save(salted_join(kinds.select(*key), several, "gram", F.col("context")).select(*key), "differing")
+    bodies = texts.transform(W.mapped, _contexts(share(membership(differing, F.col("context")))), "gram long, context long, check long, lo int, hi int, body binary")
+    bodies = bodies.groupBy(*key).agg(F.min(F.struct("lo", "hi", "body")).alias("x")).join(differing, key, "left_semi").select(*key, "x.*")
+    partly = space.save(matched(space.save(bodies, "bodies"), space), "partly")
+    whole = kinds.where("n > 1").select(*key, F.lit(None).cast("int").alias("near"), F.lit(None).cast("int").alias("far"))
+    hits = whole.unionByName(partly.join(whole, key, "left_anti"))
+    named = F.struct(*key).alias("k")
+    parts = hits.select(named, "near", "far")
+    covered = salted_join(found.select(named, "fp", "at", "lo", "hi"), parts, "k", F.struct("fp", "at"), counts=kinds.select(named, "n")).select(
         "fp",
         F.struct((F.col("at") - F.coalesce("far", "hi")).alias("begin"), (F.col("at") - F.coalesce("near", "lo") + LENGTH).alias("end")).alias("x"),
     )
-    spans = space.save(covered.groupBy("fp").agg(F.collect_set("x").alias("x")).select("fp", united("x").alias("spans")), "spans")
+    spans = covered.groupBy("fp").agg(F.collect_set("x").alias("x")).transform(W.mapped, _united, "fp binary, spans array<struct<begin:bigint,end:bigint>>")
+    spans = space.save(spans, "spans")
     space.keep("spans")
     return spans
 
@@ -370,7 +400,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", carry: list[str] | N
     space.keep("done")
     rows = own.select(*(f"c_{k}" for k in range(len(carry))), "fp", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("own_sha256"))
     empty = F.array().cast(spans.schema["spans"].dataType)
-    return rows.join(done, "fp", "left").select(
+    return salted_join(rows, done, "fp", F.monotonically_increasing_id(), "left").select(
         *(F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)),
         "n_bytes",
         F.coalesce("spans", empty).alias("spans"),

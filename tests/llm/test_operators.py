@@ -286,9 +286,9 @@ def spans_by_brute_force(texts):
     return out
 
 
-@pytest.mark.parametrize("crowd", [50_000, 3])
-def test_suffix_dedup_by_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+@pytest.mark.parametrize("split", [1000, 3])
+def test_suffix_dedup_by_brute_force(spark, monkeypatch, split):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
     rnd = random.Random(3)
     base = [" ".join(words(rnd, 150, "abcdeé")) for _ in range(5)]
     texts = []
@@ -316,7 +316,7 @@ def test_buckets_are_cut_between_leading_tokens(monkeypatch):
     lo = np.zeros(len(rows), np.int64)
     order = sorted(range(len(rows)), key=lambda i: rows[i][60:76])
     column = [rows[i] for i in order]
-    batch = pa.RecordBatch.from_pydict({"gram": pa.array(order, pa.int64()), "context": pa.array(order, pa.int64()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32()), "body": pa.array(column, pa.binary()), "lead": pa.array([x[60:76] for x in column], pa.binary())})
+    batch = pa.RecordBatch.from_pydict({"gram": pa.array(order, pa.int64()), "context": pa.array(order, pa.int64()), "check": pa.array(order, pa.int64()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32()), "body": pa.array(column, pa.binary()), "token": pa.array([x[60:76] for x in column], pa.binary())})
     results = []
     for limit in (1 << 30, 3000):
         monkeypatch.setattr(suffix_dedup, "SORT_BYTES", limit)
