@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The character classes that decide results.
@@ -108,12 +110,9 @@ def normalized_text(text: Column) -> Column:
 
 def is_pattern(query: str) -> bool:
     """Whether the engine can compile the pattern."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.sql import SparkSession
-
     try:
         SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(query)
-    except Py4JJavaError:
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return True
 

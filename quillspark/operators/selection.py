@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import text_match
+from quillspark.operators.grouping import keep_first
 
 
 def matching(items: DataFrame, fields: list[str], query: str = "", regex: bool = False, file_type: str | None = None, status: str | None = None, warnings_only: bool = False) -> DataFrame:
@@ -47,6 +48,12 @@ def union_first_wins(first: DataFrame, second: DataFrame, keys: list[str]) -> Da
     return first.unionByName(second.join(first.select(*keys), keys, "left_anti"))
 
 
+def union_first(first: DataFrame, second: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row a key of both sides: of the first side if it has the key, then the first in order."""
+    both = first.withColumn("__side", F.lit(0)).unionByName(second.withColumn("__side", F.lit(1)))
+    return keep_first(both, keys, [F.col("__side"), *order]).drop("__side")
+
+
 def except_keys(items: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return items.join(gone.select(*keys), keys, "left_anti")
 
