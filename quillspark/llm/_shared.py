@@ -18,7 +18,11 @@ HOT_SHARE = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK).rstrip("/")
+    """The folder in spark.checkpoint.dir; a session on a cluster must name one, a local one may do without."""
+    named, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or FALLBACK).rstrip("/")
 
 
 class Workspace:

@@ -184,13 +184,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     return decontaminate(plain, benchmark, name[text_col]).where(~is_contaminated()).select(*plain.columns).toDF(*docs.columns)
 
 
-_LIST = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The words of a text in SQL.
+LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP4_SQL = f"""
-WITH b AS (SELECT CAST(item_id AS VARCHAR) AS id, {_LIST} AS w FROM benchmark),
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS id, {LOWER_WORDS} AS w FROM benchmark),
 w AS (SELECT DISTINCT id, least(13, len(w)) AS k, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS g
       FROM b, unnest(generate_series(1, greatest(1, len(w) - 12))) AS s(i) WHERE len(w) > 0),
 ks AS (SELECT DISTINCT k FROM w),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_LIST}, []) AS w FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({LOWER_WORDS}, []) AS w FROM documents),
 h AS (SELECT DISTINCT r, i, w.k, id
       FROM (SELECT r, k, i, array_to_string(list_slice(d.w, i, i + k - 1), ' ') AS g
             FROM d, ks, unnest(generate_series(1, len(d.w) - k + 1)) AS s(i)) x

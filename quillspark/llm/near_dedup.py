@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import _words as W
 from quillspark.llm._shared import Workspace, membership, positional, salted_join
+from quillspark.llm.decontamination import LOWER_WORDS
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -348,3 +349,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
+#: Classes by all pairs that share a labelled shingle; a shared chain is a shared set where copies keep their order.
+OP10_SQL = f"""
+WITH RECURSIVE x AS (SELECT text, min(doc_id) AS first, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text),
+t AS (SELECT row_number() OVER (ORDER BY first, text) AS t, text, first, copies, {LOWER_WORDS} AS w FROM x),
+g AS (SELECT t, i, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS g FROM t, unnest(generate_series(1, greatest(1, len(w) - 4))) s(i) WHERE len(w) > 0),
+k AS (SELECT t, g, row_number() OVER (PARTITION BY t, g ORDER BY i) AS o FROM g),
+n AS (SELECT t, count(*) AS n FROM k GROUP BY t),
+p AS (SELECT a.t AS a, b.t AS b, count(*) AS c FROM k a JOIN k b ON a.g = b.g AND a.o = b.o AND a.t < b.t GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.t = a JOIN n y ON y.t = b WHERE 9 * c >= 4 * (x.n + y.n)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT t, t AS r FROM t UNION SELECT b, r FROM reach JOIN both_ways ON a = reach.t),
+m AS (SELECT t, min(r) AS c FROM reach GROUP BY t),
+c AS (SELECT c, min(first) AS class_id, sum(copies) AS class_size FROM m JOIN t USING (t) GROUP BY c)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, CAST(coalesce(class_size, 1) AS BIGINT) AS class_size
+FROM documents d LEFT JOIN t ON d.text = t.text LEFT JOIN m USING (t) LEFT JOIN c USING (c)
+"""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from quillspark.llm.decontamination import OP4_SQL, op4_decontaminate
 from quillspark.llm.importance import op5_quality_classifier
 from quillspark.llm.language_id import op1_language_id
-from quillspark.llm.near_dedup import op10_near_dedup
+from quillspark.llm.near_dedup import OP10_SQL, op10_near_dedup
 from quillspark.llm.pieces import op8_sampled_pieces
 from quillspark.llm.pii import op9_personal_data
 from quillspark.llm.quality_rules import OP2_SQL, op2_quality_rules
 from quillspark.llm.sharding import op3_external_shuffle
-from quillspark.llm.suffix_dedup import op7_suffix_dedup
+from quillspark.llm.suffix_dedup import OP7_SQL, op7_suffix_dedup
 from quillspark.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -26,7 +26,9 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLE_SQL = {
-    "op6_warc": OP6_SQL,
     "op2_quality_rules": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op6_warc": OP6_SQL,
+    "op7_suffix_dedup": OP7_SQL,
+    "op10_near_dedup": OP10_SQL,
 }

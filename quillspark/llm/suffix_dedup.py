@@ -413,3 +413,21 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", carry: list[str] | N
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, carry=["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Bytes as hexadecimal digits, read by pieces of 1024 bytes so that no long text is scanned again and again.
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT r, j, substr(h, 2048 * j + 1, 2446) AS h FROM d, unnest(generate_series(0, length(h) // 2048)) s(j)),
+w AS (SELECT r, 1024 * j + i AS i, md5_number(substr(h, 2 * i + 1, 400)) AS m FROM x, unnest(generate_series(0, length(h) // 2 - 200)) s(i)),
+c AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+t AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM w JOIN c USING (m)),
+g AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM t),
+s AS (SELECT r, k, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, k),
+e AS (SELECT r, a, b, lag(b) OVER (PARTITION BY r ORDER BY a) AS before FROM s),
+k AS (SELECT r, sum(b - a) AS n, count(*) AS m, string_agg(substr(h, 2 * coalesce(before, 0) + 1, 2 * (a - coalesce(before, 0))), '' ORDER BY a) AS head, max(b) AS last
+      FROM e JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(m, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
