@@ -27,11 +27,11 @@ def contained_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, ter
 
 
 def term_runs(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
-    """(key, term, n) of terms that are runs of whole words of a text: word n-grams up to the longest term's length."""
-    most = terms.agg(F.coalesce(F.max(F.size(F.split(term, " "))), F.lit(1))).first()[0]
+    """(key, term, n) of terms that are runs of whole words of a text: word n-grams of the lengths that terms have."""
+    lengths = terms.agg(F.sort_array(F.collect_set(F.size(F.split(term, " "))))).first()[0] or [1]
     words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
     rows = texts.select(key, words.alias("w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    grams = F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
     return rows.select(key, F.explode(grams).alias(term)).join(terms.select(term).distinct(), term).groupBy(key, term).agg(F.count("*").alias("n"))
 
 
