@@ -7,7 +7,9 @@ extended to the longest equal run; runs that hold a window of an item are its oc
 words is one window; its whole-item hash is its only fingerprint (winnowing of width 1 at that length).
 
 The benchmark is the small side: it is measured first and dealt into blocks of at most ``block_bytes`` of text, each
-broadcast on its own, and the documents flow through one join after the other.  Documents are never shuffled.
+broadcast on its own, and the documents flow through one join after the other.  Documents are never shuffled.  After
+``AT_ONCE`` blocks the marked documents are written and read again and the blocks are let go of, so that an executor
+never holds more of the benchmark than that, whatever its size.
 
 Defined results: null and empty texts have no words, no hits and no items; items without words never occur; null item
 ids are left out of the item list; repeated items or documents each count as themselves (item ids are listed once);
@@ -26,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import _words as W
-from quillspark.llm._shared import positional
+from quillspark.llm._shared import Workspace, positional
 
 WINDOW = 13
 GRAM = 5
 BLOCK_BYTES = 8 << 20
+AT_ONCE = 8
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _FOLD = {c: c + 32 for c in range(65, 91)}
 ADDED = "n_words long, n_hit long, hit_spans array<struct<start: long, end: long>>, items array<string>"
@@ -153,9 +156,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     added = T.StructType.fromDDL(ADDED)
     kept = [c for c in docs.columns if c not in added.names]
     out = docs.select(*(F.col(f"`{c}`") for c in kept))
+    space, held = Workspace(spark, "decontaminate"), []
     for k in range(blocks):
+        if len(held) == AT_ONCE:
+            out = space.save(out, f"marked-{k}")
+            for old in held:
+                old.unpersist()
+            space.keep(f"marked-{k}")
+            held = []
         rows = [(r.id, r.text) for r in bench.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).toLocalIterator()]
         table = spark.sparkContext.broadcast(Fingerprints(rows, window, gram))
+        held.append(table)
         schema = T.StructType([*(f for f in out.schema.fields if f.name not in added.names), *added.fields])
         out = out.transform(W.mapped, _marker(table, text_col, k == 0), schema)
     return out

@@ -74,7 +74,8 @@ def test_every_operator_takes_odd_rows(spark):
     assert near_dedup.keep_one(docs).count() == n - 1
 
 
-def test_decontamination_by_brute_force(spark):
+def test_decontamination_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "AT_ONCE", 2)
     rnd = random.Random(1)
     items = [(i, " ".join(words(rnd, k))) for i, k in enumerate([40, 40, 13, 14, 12, 5, 1, 0])]
     docs = []
@@ -98,7 +99,7 @@ def test_decontamination_by_brute_force(spark):
                     which.add(str(item))
         expected[i] = (len(w), len(hit), sorted(which))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (1 << 20, 300):  # one block, and several
+    for block in (1 << 20, 300):  # one block, and several, written in between
         got = decontamination.decontaminate(frame(spark, docs), bench, block_bytes=block).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in got} == expected
 
