@@ -35,7 +35,7 @@ def marked(text: Column, placeholders: Column, style: str) -> Column:
 
     def marker(i: Column) -> Column:
         n = i.cast("string")
-        return F.concat(F.lit('<era-ph idx="'), n, F.lit('"/>')) if style == "xml" else F.concat(F.lit("ERAPHTOKEN"), n, F.lit("SAFE"))
+        return F.concat(F.lit('<ph idx="'), n, F.lit('"/>')) if style == "xml" else F.concat(F.lit("PHTOKEN"), n, F.lit("SAFE"))
 
     return F.aggregate(numbers(placeholders), own, lambda a, i: F.replace(a, token(i), marker(i)))
 
@@ -46,8 +46,8 @@ def unmarked(text: Column, placeholders: Column, style: str) -> Column:
     def one(a: Column, i: Column) -> Column:
         n = i.cast("string")
         if style != "xml":
-            return F.replace(a, F.concat(F.lit("ERAPHTOKEN"), n, F.lit("SAFE")), token(i))
-        pattern = F.concat(F.lit("<era-ph idx=(?:\""), n, F.lit("\"|'"), n, F.lit("')(?:/>|></era-ph>)"))
+            return F.replace(a, F.concat(F.lit("PHTOKEN"), n, F.lit("SAFE")), token(i))
+        pattern = F.concat(F.lit("<ph idx=(?:\""), n, F.lit("\"|'"), n, F.lit("')(?:/>|></ph>)"))
         return F.regexp_replace(a, pattern, token(i))
 
     return F.aggregate(numbers(placeholders), text, one)

@@ -70,8 +70,8 @@ cases("argument_separators", "Ideographic commas in calls.", [("F(a、b)、c", "
 cases("rendered_lengths", "Room that a hint takes.", [("ab", "cde", "9"), ("", "", "4"), ("@w", "x", "7")], T.rendered_length)
 cases("tag_priorities", "Scores of priority tags.", [("news1,ichi2", "500"), ("nf05", "195"), ("nf300", "1"), ("zz", "100"), ("gai2,spec2", "250"), (" news2 ", "300")], lambda t: rules.tag_priority(F.split(t, ",")))
 cases("hint_scores", "Static scores of hints by kind.", [("@w", "bundle", str(6 + 55 + 10 + 2)), ("ab", "plain", "106"), ("abc", "manual", "129"), ("@w", "review", "81")], lambda t, k: rules.hint_score(t, k == "bundle", F.lit(False), F.lit(False), F.lit(False), F.lit(1000), F.lit(False), F.when(k == "manual", "MANUAL").when(k == "review", "NEEDS_REVIEW").otherwise("DONE")))
-cases("marked_tokens", "Tokens as markers of two styles.", [("a __PH0__ & __PH1__", 'a <era-ph idx="0"/> &amp; <era-ph idx="1"/>#a ERAPHTOKEN0SAFE & ERAPHTOKEN1SAFE'), ("<@w>", "&lt;@w&gt;#<@w>")], lambda t: F.concat_ws("#", responses.marked(t, F.array(F.lit("x"), F.lit("y")), "xml"), responses.marked(t, F.array(F.lit("x"), F.lit("y")), "word")))
-cases("unmarked_tokens", "Markers back to tokens.", [('a <era-ph idx="0"/><era-ph idx=\'1\'></era-ph>', "a __PH0____PH1__"), ("@w ERAPHTOKEN1SAFE", "@w __PH1__"), ("ERAPHTOKEN9SAFE", "ERAPHTOKEN9SAFE")], lambda t: responses.unmarked(responses.unmarked(t, F.array(F.lit("x"), F.lit("y")), "xml"), F.array(F.lit("x"), F.lit("y")), "word"))
+cases("marked_tokens", "Tokens as markers of two styles.", [("a __PH0__ & __PH1__", 'a <ph idx="0"/> &amp; <ph idx="1"/>#a PHTOKEN0SAFE & PHTOKEN1SAFE'), ("<@w>", "&lt;@w&gt;#<@w>")], lambda t: F.concat_ws("#", responses.marked(t, F.array(F.lit("x"), F.lit("y")), "xml"), responses.marked(t, F.array(F.lit("x"), F.lit("y")), "word")))
+cases("unmarked_tokens", "Markers back to tokens.", [('a <ph idx="0"/><ph idx=\'1\'></ph>', "a __PH0____PH1__"), ("@w PHTOKEN1SAFE", "@w __PH1__"), ("PHTOKEN9SAFE", "PHTOKEN9SAFE")], lambda t: responses.unmarked(responses.unmarked(t, F.array(F.lit("x"), F.lit("y")), "xml"), F.array(F.lit("x"), F.lit("y")), "word"))
 cases("restored_tokens", "Tokens repaired and restored.", [("a__PH0__b__PH1__", "aXbY"), ("_PH0__ __PH1_", "X Y"), ("_PH7_ @w", "_PH7_ @w"), ("__PH 0_", "X")], lambda t: placeholders.restore(t, F.array(F.lit("X"), F.lit("Y"))))
 cases("token_errors", "Whether all tokens are there, in order.", [("__PH0__ @w __PH1__", None), ("__PH0__", "count"), ("__PH1__ __PH0__", "order"), ("__PH0__ __PH0__", "order"), ("@n", "count")], lambda t: placeholders.token_error(t, F.array(F.lit("X"), F.lit("Y"))))
 _ANSWER = lambda ids, tokenized: (lambda t: F.array_join(F.transform(responses.finalized(responses.translations(t, F.array(*map(F.lit, ids)), tokenized), F.array(*map(F.lit, ids))), lambda x: F.concat_ws("=", x["id"], x["translated"])), ";"))
