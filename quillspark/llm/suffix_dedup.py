@@ -15,8 +15,8 @@ An anchor at p stands for the strings that begin d bytes before it, lo <= d <= h
    read in parts compares its last token with the next part's first before it lets go of it; splitters fall between
    different tokens, so equal strings never lie on two sides of a boundary.
 4. The leading token is the gram.  A token that more than ``SPLIT`` contexts share is replaced by longer ones: the
-   distances are halved, and all strings of distance a to b share the bytes from a before the anchor to LENGTH - b after
-   it, which are the new token.  Halving goes on where tokens stay crowded; at a single distance the token is the whole
+   distances are quartered, and all strings of distance a to b share the bytes from a before the anchor to LENGTH - b after
+   it, which are the new token.  That goes on where tokens stay crowded; at a single distance the token is the whole
    string, so its contexts are equal and nothing is left to sort.  So no task holds more than SPLIT contexts of a token.
 5. The strings found are united to spans by text, and the bytes that are left are hashed.
 
@@ -318,38 +318,41 @@ def token(body: str, hi: str, a: str, b: str) -> Column:
     return F.expr(f"concat(unhex(lpad(hex({a}), 2, '0')), substring({body}, {hi} - {a} + 1, {LENGTH} - {b} + {a}))")
 
 
-def halved(rows: DataFrame) -> DataFrame:
-    """The contexts (lo, hi, body, a, b) for each half of their distances a to b that they have strings in."""
-    middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
-    both = F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b")))
-    own = rows.select("gram", "context", "check", F.col("lo").alias("l"), F.col("hi").alias("h"), "body", F.explode(both).alias("r"))
+def parted(rows: DataFrame) -> DataFrame:
+    """The contexts (lo, hi, body, a, b) for each quarter of their distances a to b that they have strings in."""
+
+    def quarter(k: Column) -> Column:
+        # of n distances, those from k * n / 4 to (k + 1) * n / 4; none of them if the two are equal
+        n = F.col("b") - F.col("a") + 1
+        return F.struct((F.col("a") + F.floor(k * n / 4)).cast("int").alias("a"), (F.col("a") + F.floor((k + 1) * n / 4) - 1).cast("int").alias("b"))
+
+    ranges = F.transform(F.array(*map(F.lit, range(4))), quarter)
+    own = rows.select("gram", "context", "check", F.col("lo").alias("l"), F.col("hi").alias("h"), "body", F.explode(ranges).alias("r")).where("r.a <= r.b")
     own = own.select("*", F.greatest("l", "r.a").alias("lo"), F.least("h", "r.b").alias("hi"), "r.a", "r.b").where("lo <= hi")
     cut = F.expr(f"substring(body, h - hi + 1, hi - lo + {LENGTH})")
     return own.select("gram", "context", "check", "lo", "hi", cut.alias("body"), "a", "b")
 
 
 def matched(bodies: DataFrame, space: Workspace) -> DataFrame:
-    """(gram, context, check, near, far): the least and greatest distance of a string that another context has too."""
-    rows = bodies.select("*", F.lit(0).alias("a"), F.lit(REACH).alias("b"))
-    sorted_parts, alike = None, None
-    level = 0
-    while True:
-        rows = space.save(rows.withColumn("token", token("body", "hi", "a", "b")), f"suffixes-{level}")
+    """(gram, context, check, near, far): the least and greatest distance of a string that another context has too, of
+    contexts with n, how many share their gram."""
+    columns = ["gram", "context", "check", "lo", "hi", "body", "token"]
+    rows = bodies.withColumn("a", F.lit(0)).withColumn("b", F.lit(REACH)).withColumn("token", token("body", "hi", "a", "b"))
+    to_sort, alike = rows.where(F.col("n") <= SPLIT).select(columns), None
+    crowded, level = rows.where(F.col("n") > SPLIT), 0
+    while not crowded.isEmpty():
+        level += 1
+        rows = space.save(parted(crowded).withColumn("token", token("body", "hi", "a", "b")), f"suffixes-{level}")
         counts = space.save(rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), f"tokens-{level}")
-        sized = salted_join(rows, counts, "token", F.col("context"), counts=counts)
-        few = sized.where((F.col("n") <= SPLIT) & (F.col("a") < F.col("b")))
-        whole = sized.where("a = b").select("gram", "context", "check", F.col("a").alias("near"), F.col("a").alias("far"))
-        sorted_parts = few if sorted_parts is None else sorted_parts.unionByName(few)
+        rows = space.save(salted_join(rows, counts, "token", F.col("context"), counts=counts), f"sized-{level}")
+        whole = rows.where("a = b").select("gram", "context", "check", F.col("a").alias("near"), F.col("a").alias("far"))
+        to_sort = to_sort.unionByName(rows.where((F.col("n") <= SPLIT) & (F.col("a") < F.col("b"))).select(columns))
         alike = whole if alike is None else alike.unionByName(whole)
-        crowded = counts.where(F.col("n") > SPLIT)
-        if crowded.isEmpty() or level == REACH.bit_length():
-            break
-        rows = halved(sized.where((F.col("n") > SPLIT) & (F.col("a") < F.col("b"))))
-        level += 1
+        crowded = rows.where((F.col("n") > SPLIT) & (F.col("a") < F.col("b")))
     schema = "gram long, context long, check long, near int, far int"
-    columns = ["gram", "context", "check", "lo", "hi", "body", "token"]
-    found = sorted_parts.select(columns).repartitionByRange("token").sortWithinPartitions("token").transform(W.mapped, _sorted_bucket, schema)
-    return found.union(alike).groupBy("gram", "context", "check").agg(F.min("near").alias("near"), F.max("far").alias("far"))
+    found = to_sort.repartitionByRange("token").sortWithinPartitions("token").transform(W.mapped, _sorted_bucket, schema)
+    found = found if alike is None else found.union(alike)
+    return found.groupBy("gram", "context", "check").agg(F.min("near").alias("near"), F.max("far").alias("far"))
 
 
 def repeated_spans(own: DataFrame, space: Workspace) -> DataFrame:
@@ -364,9 +367,9 @@ def repeated_spans(own: DataFrame, space: Workspace) -> DataFrame:
     found = space.save(found, "anchors")
     kinds = space.save(found.groupBy(*key).agg(F.count("*").alias("n")), "kinds")
     several = kinds.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
-    differing = space.save(salted_join(kinds.select(*key), several, "gram", F.col("context")).select(*key), "differing")
+    differing = space.save(salted_join(kinds.select(*key), several, "gram", F.col("context")).select(*key, "m"), "differing")
     bodies = texts.transform(W.mapped, _contexts(share(membership(differing, F.col("context")))), "gram long, context long, check long, lo int, hi int, body binary")
-    bodies = bodies.groupBy(*key).agg(F.min(F.struct("lo", "hi", "body")).alias("x")).join(differing, key, "left_semi").select(*key, "x.*")
+    bodies = bodies.groupBy(*key).agg(F.min(F.struct("lo", "hi", "body")).alias("x")).join(differing, key).select(*key, "x.*", F.col("m").alias("n"))
     partly = space.save(matched(space.save(bodies, "bodies"), space), "partly")
     whole = kinds.where("n > 1").select(*key, F.lit(None).cast("int").alias("near"), F.lit(None).cast("int").alias("far"))
     hits = whole.unionByName(partly.join(whole, key, "left_anti"))
