@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import carry_over as C
 from quillspark.operators import items as M
 from quillspark.operators import selection as S
 from quillspark.plans.frames import SEGMENTS, segments, table
@@ -160,3 +161,16 @@ def pattern_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pattern that is none matches nothing; a good one matches whatever its case."""
     rows = table(spark, sf_dir, "part")
     return rows.select(N, T.text_match(F.col("p_name"), "(", regex=True).alias("bad"), T.text_match(F.col("p_name"), "A", regex=True).alias("good"))
+
+
+@query(f"""SELECT {N} AS segment_id, {N} AS previous_id, p_type AS translated_text FROM part WHERE {N} % 4 IN (0, 1)""")
+def renamed_key_restores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys restored whose files hold their translation already; others must have the same text and key."""
+    n, rows = F.col(N), table(spark, sf_dir, "part")
+    fixed = {"relative_path": F.lit("a"), "segment_type": F.lit("t"), "source_key": F.lit(None).cast("string"), "field_index": F.lit(0), "field_role": F.lit("key"), "symbol_namespace": F.lit("ITEM")}
+
+    def snapshot(text, reference):
+        return rows.select(n.alias("segment_id"), *(v.alias(k) for k, v in fixed.items()), text.alias("original_text"), text.alias("symbol_key"), reference.alias("is_reference_key"))
+
+    now = F.when(n % 4 == 0, F.col("p_name")).when(n % 4 == 3, F.col("p_brand")).otherwise(F.col("p_type"))
+    return C.exact(snapshot(now, n % 4 != 2), snapshot(F.col("p_name"), F.lit(True)), rows.select(n.alias("segment_id"), F.col("p_type").alias("translated_text")))

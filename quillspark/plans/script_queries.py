@@ -234,3 +234,41 @@ def inline_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(n, symbols.rewritten_references(text, renames).alias("text"), symbols.in_string_lookup(place, F.length(place)).alias("lookup"))
 
 
+
+
+LOOKUPS = [
+    "@検索@n(要素, 名前)",
+    '#DIMS 表@n = "甲", "@w"',
+    "X = FINDELEMENT(表@n, 名前)",
+    'IF 表@n:0 == "@w" || A == "他"',
+    "SELECTCASE 表@n:ARG",
+    'CASE "甲", "@w"',
+    "ENDSELECT",
+    "SELECTCASE ITEMNAME:ARG",
+    'CASE "@w"',
+    "ENDSELECT",
+    'CALL F(FINDELEMENT(表@n, "乙"))',
+    'Y = 検索@n(1, "丙@n")',
+    'Z = GET("ITEM", "@w", "12")',
+]
+
+
+def _key(namespace: str) -> dict[str, str]:
+    return {"namespace": namespace, "key": "@value"}
+
+
+_DIMS = "'DIMS:表' || CAST(p_partkey AS VARCHAR)"
+
+
+@query(places_sql(LOOKUPS, "p_partkey", "part", [
+    (3, 'IF 表@n:0 == "', "@w", _key(_DIMS)),
+    (5, 'CASE "', "甲", _key(_DIMS)),
+    (5, 'CASE "甲", "', "@w", _key(_DIMS)),
+    (8, 'CASE "', "@w", _key("'ITEM'")),
+    (10, 'CALL F(FINDELEMENT(表@n, "', "乙", _key(_DIMS)),
+    (11, 'Y = 検索@n(1, "', "丙@n", _key(_DIMS)),
+    (12, 'Z = GET("ITEM", "', "@w", _key("'ITEM'")),
+]))
+def lookup_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings that name keys by where they stand: compared, labels, searched for, key arguments."""
+    return symbols.lookup_references(script.logical_lines(scripts(table(spark, sf_dir, "part"), "p_partkey", LOOKUPS)))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions.places import bound, found, replaced
 from quillspark.operators.references import propagate_keys
-from quillspark.sources.script import without_comment
+from quillspark.sources.script import logical_lines, without_comment
+from quillspark.sources.segments import with_state
 from quillspark.sources.syntax import KEY, NAME, NAMESPACES, QUOTED, symbol_reference
 
 VALUES, ROUNDS = 32, 8
@@ -198,6 +199,54 @@ def references(lines: DataFrame, namespaces: list[str] | None = None) -> DataFra
     ).distinct()
 
 
+def lookup_references(lines: DataFrame, lookups: DataFrame | None = None, keys: DataFrame | None = None, namespaces: list[str] | None = None) -> DataFrame:
+    """(document_id, line_number, start, length, namespace, key) of quoted strings that name a key by where they stand:
+    compared with an element of a lookup array (``lookups``: name), labels of a SELECTCASE over one or over the names of a
+    namespace, searched for in one, given to a key argument (``keys``: function, argument, namespace), or given after the
+    name of a namespace.  Registries are those of the lines where none are given."""
+    lookups = lookup_arrays(lines) if lookups is None else lookups
+    keys = key_arguments(lines) if keys is None else keys
+    spaces = NAMESPACES if namespaces is None else namespaces
+    code = F.col("code")
+    rows = with_state(lines).where(~F.ltrim(code).startswith(";") & ~F.ltrim(code).startswith("#")).select("document_id", "line_number", "start", "code", "selected")
+    known = lookups.select(F.col("name").alias("array"), F.lit(True).alias("is_lookup")).distinct()
+
+    def content(m: Column) -> Column:
+        """(at, key) of the last quoted string of a match."""
+        own = F.regexp_extract(m["value"], r'@?"((?:[^"]|"")*)"[^"]*$', 1)
+        at = m["start"] + m["length"] - F.length(F.regexp_extract(m["value"], r'(?:[^"]|"")*"[^"]*$', 0))
+        return F.struct(at.alias("at"), own.alias("key"))
+
+    def listed(df: DataFrame, found_: Column, space: Column) -> DataFrame:
+        each = df.select("document_id", "line_number", "start", space.alias("space"), F.explode(found_).alias("m"))
+        return each.select("document_id", "line_number", (F.col("start") + F.col("m.at")).alias("start"), "space", F.col("m.key").alias("key"))
+
+    compare = rf"""({NAME})\s*:[^"'\r\n=<>!]+\s*(?:==|!=|<>)\s*{QUOTED}"""
+    compared = rows.select("document_id", "line_number", "start", F.explode(found(code, compare)).alias("m"))
+    compared = compared.select("document_id", "line_number", "start", F.upper(F.regexp_extract("m.value", rf"^({NAME})", 1)).alias("array"), F.array(content(F.col("m"))).alias("f")).join(known, "array")
+    labels = rows.where(code.rlike(r"(?i)^\s*CASE\b")).select("document_id", "line_number", "start", F.col("selected").alias("array"), F.transform(found(code, QUOTED), content).alias("f"))
+    of_arrays = labels.join(known, "array")
+    named = labels.withColumn("space", F.regexp_extract("array", "^(.+)NAME$", 1)).where(F.col("space").isin(spaces))
+    own = calls(rows)
+    literals = own.select("document_id", "line_number", "start", "function", F.get("arguments", F.lit(0))["value"].alias("first"), F.posexplode("arguments").alias("argument", "a"), "arguments")
+    text = literal(F.col("a.value"))
+    literals = literals.where(text != "").withColumn("f", F.array(F.struct((F.col("a.start") + F.instr("a.value", '"')).alias("at"), text.alias("key"))))
+    searched = literals.where(F.col("function").isin(LOOKUP_FUNCTIONS) & (F.col("argument") == 1)).withColumn("array", F.upper("first")).join(known, "array")
+    given = literals.join(keys, ["function", "argument"])
+    before = F.upper(literal(F.get("arguments", F.col("argument") - 1)["value"]))
+    after = literals.where(before.isin(spaces)).withColumn("space", before)
+    dims = F.concat(F.lit("DIMS:"), F.col("array"))
+    out = listed(compared, F.col("f"), dims).union(listed(of_arrays, F.col("f"), dims)).union(listed(named, F.col("f"), F.col("space")))
+    out = out.union(listed(searched, F.col("f"), dims)).union(listed(given, F.col("f"), F.col("namespace"))).union(listed(after, F.col("f"), F.col("space")))
+    out = out.where((F.trim("key") != "") & ~T.is_numeric_like(F.col("key")))
+    return out.select("document_id", "line_number", "start", F.length("key").alias("length"), F.col("space").alias("namespace"), "key").distinct()
+
+
+def refreshed_references(docs: DataFrame, namespaces: list[str] | None = None) -> DataFrame:
+    """The references of documents (document_id, text) as they are now; a plan of renames starts from these."""
+    return references(logical_lines(docs), namespaces)
+
+
 def in_string_lookup(text: Column, start: Column) -> Column:
     """Whether a place is in the key argument of GETNUM: GETNUM and a comma in the 64 characters before, on its line."""
     head = F.substring(text, F.greatest(start - 64, F.lit(0)) + 1, F.least(start, F.lit(64)))

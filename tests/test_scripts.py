@@ -12,6 +12,7 @@ from quillspark.functions.places import found, replaced
 from quillspark.operators import intervals as I
 from quillspark.operators import items as M
 from quillspark.operators import phases as H
+from quillspark.operators import providers
 from quillspark.sources import exchange as E
 from quillspark.sources import script, segments, symbols
 from quillspark.streaming.progress import VersionedTable
@@ -102,3 +103,14 @@ def test_versions_that_are_not_there(spark, tmp_path):
 def test_restored_states_of_nulls(spark, status):
     row = spark.createDataFrame([(status, None, None, None)], "a string, b string, c boolean, d string").select(M.restored_state(*map(F.col, "abcd")).alias("s")).first().s
     assert row.status == {"DONE": "FAILED", "TRANSLATING": "STOPPED", None: None}[status]
+
+
+def test_providers_and_sources_of_hints(spark):
+    providers.register("upper", lambda suffix: providers.by_batches(lambda texts: [t.upper() + suffix for t in texts]))
+    requests = spark.createDataFrame([("a", "x", 0, 0)], "segment_id string, text string, batch int, attempt int")
+    assert [tuple(r) for r in providers.create("UPPER", suffix="!")(requests).collect()] == [("a", "X!", None)]
+    assert providers.create("same")(requests).first().translated == "x"
+    with pytest.raises(ValueError, match="no provider"):
+        providers.create("none")
+    a, b = (spark.createDataFrame([(s, t)], "source string, target string") for s, t in (("k", "1"), ("k", "2")))
+    assert [r.target for r in providers.composite(lambda _: a, lambda _: b)(requests).collect()] == ["2"]
