@@ -3,11 +3,9 @@
 Tokens are runs of letters and digits, or of punctuation, of the lower-cased text; features are their 1- and 2-grams,
 hashed to ``BUCKETS`` buckets.  Two generative models share the buckets: the target (documents labelled good) and the
 raw text (every document of the corpus).  A document's log importance is the sum over its features of
-log p_target - log p_raw, less what a good document of its length has on average, over the square root of its length,
-so that neither long nor short documents are favoured.  Gumbel noise, seeded by the document's key, is added to
-``SHARPNESS`` times that, and the k documents of largest sum are kept: a sample without replacement in proportion to
-importance.  k is the number of documents, over the whole corpus, whose importance is at least the exact
-quantile ``LOST`` of the held-out good documents.
+log p_target - log p_raw.  Gumbel noise, seeded by the document's key, is added, and the k documents of largest sum are
+kept: a sample without replacement in proportion to importance.  k is the number of documents, over the whole corpus,
+whose log importance is at least the exact quantile ``LOST`` of the held-out good documents.
 
 The target model and that level are fitted on at most about ``LABELLED_ROWS`` labelled documents those of least seeded
 hash of the id (the documented bound; they are broadcast); raw counts, scores and k cover every document.
@@ -35,7 +33,6 @@ BUCKETS = 1 << BITS
 SMOOTHING = 5.0
 LABELLED_ROWS = 20_000
 LOST = 0.01
-SHARPNESS = 10.0
 SEED = 5
 ADDED = ("importance", "gumbel_key")
 
@@ -71,10 +68,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """log ratio of each bucket; mean of a feature of a good document; importance that counts as good."""
+    """log ratio of each bucket, and the log importance that counts as good."""
 
     ratio: np.ndarray
-    mean: float = 0.0
     level: float = float("-inf")
 
     def sums(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +80,6 @@ class Model:
             n[lo:hi] = np.bincount(row, minlength=hi - lo)
         return total, n
 
-    def importance(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (total - self.mean * n) / np.sqrt(n + 1)
-
 
 def labelled_sample(labels: DataFrame, id_col: str, rows: int) -> DataFrame:
     """(id, good, held): a seeded draw of at most ``rows`` labelled ids; one in five is held out of the fit."""
@@ -122,13 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     seen = own.join(sample.where("good"), "__id").select("text", "held").transform(W.mapped, sums, "total double, n double, held boolean").where("n > 0")
     seen = space.save(seen, "seen")
-    any_held, all_total, all_n, held_total, held_n = seen.agg(F.coalesce(F.bool_or("held"), F.lit(False)), F.sum("total"), F.sum("n"), F.sum(F.when(F.col("held"), F.col("total"))), F.sum(F.when(F.col("held"), F.col("n")))).first()
-    if all_n is None:
-        return model
-    model.mean = held_total / held_n if any_held else all_total / all_n
-    value = (F.col("total") - model.mean * F.col("n")) / F.sqrt(F.col("n") + 1)
+    any_held = seen.agg(F.coalesce(F.bool_or("held"), F.lit(False))).first()[0]
     # repeated rows of a labelled document weigh as often as they come; the quantile is exact
-    model.level = seen.where("held" if any_held else "true").agg(F.percentile(value, LOST)).first()[0]
+    level = seen.where("held" if any_held else "true").agg(F.percentile("total", LOST)).first()[0]
+    model.level = float("-inf") if level is None else level
     return model
 
 
@@ -142,11 +132,10 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, n = shared.value.sums(batch.column(batch.schema.get_field_index(text_col)))
-            value = shared.value.importance(total, n)
             bits = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)
             noise = -np.log(-np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)))
             none = n == 0
-            out = [pa.array(value, mask=none), pa.array(SHARPNESS * value + noise, mask=none)]
+            out = [pa.array(total, mask=none), pa.array(total + noise, mask=none)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*columns, *ADDED])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
