@@ -48,4 +48,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = space.save(stage(spark, docs, sf_dir), name)
+        # the table of the stage before has been read
+        space.keep(name)
     return STAGES[-1][1](spark, docs, sf_dir)
