@@ -597,3 +597,16 @@ def test_pipeline_against_its_stages(spark, sf):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] <= sizes[2] and sizes[3] == sizes[4] == sizes[5]
     assert corpus_pipeline.run(spark, sf).count() == sizes[-1]
+
+
+@pytest.mark.parametrize("rows", [0, len(ODD)])
+def test_pipeline_takes_empty_and_odd_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    docs = frame(spark, ODD[:rows], False).select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (5, 1, None), (None, 0, 0)][:rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "word"), (None, None)][:rows], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # the null, the empty and the blank text have no token; "word" is a benchmark item; equal texts are one
+    assert len({r.doc_id for r in got}) == len(got) and all(r.lossless for r in got) and {r.doc_id for r in got} <= {None, 5, 7, 8, 9}
