@@ -72,7 +72,7 @@ def first_in_phase_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT DISTINCT o_orderpriority, o_custkey % 40 AS f FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY 'f' || CAST(f AS VARCHAR)) AS n FROM x)
-  SELECT o.p AS o_orderpriority, o.chars, r.files, r.more FROM (SELECT o_orderpriority AS p, sum(length(o_orderstatus)) AS chars FROM orders GROUP BY 1) o
+  SELECT o.p AS o_orderpriority, o.chars, r.files, r.more FROM (SELECT o_orderpriority AS p, CAST(sum(length(o_orderstatus)) AS BIGINT) AS chars FROM orders GROUP BY 1) o
   JOIN (SELECT o_orderpriority AS p, string_agg('f' || CAST(f AS VARCHAR), ', ' ORDER BY n) FILTER (n <= 2) AS files, count(*) > 2 AS more FROM r GROUP BY 1) r USING (p)""")
 def batch_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").withColumn("path", F.concat(F.lit("f"), (F.col("o_custkey") % 40).cast("string")))
