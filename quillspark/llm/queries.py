@@ -9,8 +9,10 @@ from quillspark.llm.near_dedup import OP10_SQL, op10_near_dedup
 from quillspark.llm.pieces import op8_sampled_pieces
 from quillspark.llm.pii import op9_personal_data
 from quillspark.llm.quality_rules import OP2_SQL, op2_quality_rules
+from quillspark.llm.resampling import OP13_SQL, op13_importance_resampling
 from quillspark.llm.sharding import op3_external_shuffle
 from quillspark.llm.suffix_dedup import OP7_SQL, op7_suffix_dedup
+from quillspark.llm.vector_codes import OP12_SQL, op12_vector_codes
 from quillspark.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_sampled_pieces": op8_sampled_pieces,
     "op9_personal_data": op9_personal_data,
     "op10_near_dedup": op10_near_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL = {
     "op2_quality_rules": OP2_SQL,
@@ -31,4 +35,6 @@ ORACLE_SQL = {
     "op6_warc": OP6_SQL,
     "op7_suffix_dedup": OP7_SQL,
     "op10_near_dedup": OP10_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
