@@ -133,11 +133,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), short], ["id", "fp", "n", "keys", "labels"])
 
 
-def prefix_keys(texts: DataFrame) -> DataFrame:
+def prefix_keys(texts: DataFrame, space: Workspace) -> DataFrame:
     """(fp, n, key) of the rarest labelled k-mers of the short texts (fp, n, labels), as many as one must be shared."""
     each = texts.where("size(labels) > 0").select("fp", "n", F.explode("labels").alias("label"))
-    counts = each.groupBy("label").agg(F.count("*").alias("texts")).where("texts > 1")
-    common = each.join(counts, "label").groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "label"))).alias("common"))
+    counts = space.save(each.groupBy("label").agg(F.count("*").alias("texts")).where("texts > 1"), "labels")
+    found = salted_join(each, counts, "label", F.col("fp"), counts=counts.select("label", F.col("texts").alias("n")))
+    common = found.groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "label"))).alias("common"))
     # k-mers of one text come first and link nothing
     left = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1 - (F.col("n") - F.size("common"))
     first = F.slice("common", 1, F.greatest(left, F.lit(0)).cast("int"))
@@ -239,19 +240,20 @@ def settle(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b))], ["fp", "c"])
 
 
-def settled(members: DataFrame, words: DataFrame, verified: Callable[[DataFrame], DataFrame], space: Workspace) -> DataFrame:
-    """Links (fp, c) between classes that share a bucket, of members (key, fp, n, root)."""
+def settled(members: DataFrame, words: DataFrame, verified: Callable[[DataFrame], DataFrame], space: Workspace, settle=settle, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (fp, c) between classes that share a bucket, of members (key, fp, n, root); ``settle`` compares a block."""
     members = space.save(members, "members")
     about = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct("fp", "n")).alias("x"), F.max(F.struct("fp", "n")).alias("y"), F.count("*").alias("m"), F.sum("n").alias("all_n"))
     mixed = space.save(about.where("a != b"), "mixed")
     # a pair that shares several buckets of two is aligned once
-    twos = mixed.where((F.col("m") == 2) & (F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n") - 1e-9))
+    twos = mixed.where((F.col("m") == 2) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9))
     twos = twos.select(F.col("x.fp").alias("fp"), F.col("y.fp").alias("c")).distinct()
     parts = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("all_n") / BLOCK_SHINGLES)).cast("int")
     own = salted_join(members, mixed.where("m > 2").select("key", parts.alias("parts")), "key", F.col("fp")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root")
-    blocks = salted_join(own, words, "fp", F.struct("key", "i", "j")).groupBy("key", "i", "j").applyInArrow(settle, "fp binary, c binary")
+    kind = members.schema["fp"].dataType.simpleString()
+    blocks = salted_join(own, words, "fp", F.struct("key", "i", "j")).groupBy("key", "i", "j").applyInArrow(settle, f"fp {kind}, c {kind}")
     return verified(twos).union(blocks)
 
 
@@ -270,7 +272,7 @@ def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataF
         large = space.save(large.where("u != v").distinct(), f"{name}-large-{step}")
         # small-star: all edges now point from the greater node to the lesser
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = salted_join(large, low, "u", F.col("v")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         step += 1
         now = space.save(small.select("e.u", "e.v").where("u != v").distinct(), f"{name}-{step}")
         space.drop(f"{name}-{step - 1}")
@@ -285,16 +287,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = own.schema["id"].dataType.simpleString()
     rows = space.save(own.transform(W.mapped, _sketch, f"id {id_type}, fp binary, n long, keys array<long>, labels array<long>"), "rows")
     texts = rows.where("fp is not null and n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("labels").alias("labels"), F.min("id").alias("first_id"))
-    plain = texts.select("fp", "n", F.explode("keys").alias("key")).union(space.save(prefix_keys(texts), "prefixes"))
+    plain = texts.select("fp", "n", F.explode("keys").alias("key")).union(space.save(prefix_keys(texts, space), "prefixes"))
     finer = F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda i: F.xxhash64(F.element_at("keys", i + 1), F.element_at("keys", (i + 1) % HASHES + 1)))
     keys = plain.union(texts.select("fp", "n", F.explode(finer)))
-    centres = keys.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
-    pairs = keys.join(centres, "key").where("fp != least.fp").select("fp", "n", F.col("least.fp").alias("c"), F.col("least.n").alias("n_c"))
+    centres = space.save(keys.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("least"), F.count("*").alias("members")).where("members > 1"), "centres")
+    pairs = salted_join(keys, centres.select("key", "least"), "key", F.col("fp"), counts=centres.select("key", F.col("members").alias("n"))).where("fp != least.fp").select("fp", "n", F.col("least.fp").alias("c"), F.col("least.n").alias("n_c"))
     # the similarity is at most the ratio of the shingle counts
     pairs = pairs.where(F.least("n", "n_c") >= THRESHOLD * F.greatest("n", "n_c") - 1e-9)
     pairs = space.save(pairs.groupBy("fp", "c").agg(F.count("*").alias("shared")), "pairs")
-    crowded = plain.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = space.save(plain.join(crowded.select("key"), "key"), "shared")
+    crowded = space.save(plain.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
+    shared = space.save(salted_join(plain, crowded.select("key"), "key", F.col("fp"), counts=crowded), "shared")
     wanted = space.save(shared.select("fp").distinct(), "wanted")
     bitmap = membership(wanted, F.xxhash64("fp"))
     likely = own.where("fp is not null").select("fp", "text", F.xxhash64("fp").alias("h"))

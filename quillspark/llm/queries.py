@@ -6,6 +6,7 @@ from quillspark.llm.decontamination import OP4_SQL, op4_decontaminate
 from quillspark.llm.importance import op5_quality_classifier
 from quillspark.llm.language_id import op1_language_id
 from quillspark.llm.near_dedup import OP10_SQL, op10_near_dedup
+from quillspark.llm.ngram_join import OP11_SQL, op11_ngram_join
 from quillspark.llm.pieces import op8_sampled_pieces
 from quillspark.llm.pii import op9_personal_data
 from quillspark.llm.quality_rules import OP2_SQL, op2_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sampled_pieces": op8_sampled_pieces,
     "op9_personal_data": op9_personal_data,
     "op10_near_dedup": op10_near_dedup,
+    "op11_ngram_join": op11_ngram_join,
     "op12_vector_codes": op12_vector_codes,
     "op13_importance_resampling": op13_importance_resampling,
 }
@@ -35,6 +37,7 @@ ORACLE_SQL = {
     "op6_warc": OP6_SQL,
     "op7_suffix_dedup": OP7_SQL,
     "op10_near_dedup": OP10_SQL,
+    "op11_ngram_join": OP11_SQL,
     "op12_vector_codes": OP12_SQL,
     "op13_importance_resampling": OP13_SQL,
 }
