@@ -63,7 +63,7 @@ def bucket_counts(texts: DataFrame, text: Column, longest: int, buckets: int, na
 def gains(docs: DataFrame, text: Column, target: DataFrame, target_text: Column, space: Workspace, longest: int, buckets: int) -> DataFrame:
     """(bucket, gain) of the buckets that the corpus or the target uses."""
     counts = bucket_counts(docs, text, longest, buckets, "s").join(bucket_counts(target, target_text, longest, buckets, "t"), "bucket", "full")
-    counts = space.save(counts.select("bucket", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("s", "t"))).coalesce(1), "counts")
+    counts = space.save(counts.select("bucket", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("s", "t"))), "counts")
     s_all, t_all = counts.agg(F.coalesce(F.sum("s"), F.lit(0.0)), F.coalesce(F.sum("t"), F.lit(0.0))).first()
     ratio = (F.col("t") + 1) * F.lit(s_all + buckets) / ((F.col("s") + 1) * F.lit(t_all + buckets))
     return counts.select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
