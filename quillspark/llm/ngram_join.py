@@ -26,7 +26,7 @@ further columns are ignored.  Sets and shingles are compared by hashes of 128 an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import _words as W
 from quillspark.llm._shared import Bitmap, Workspace, membership, salted_join
-from quillspark.llm.near_dedup import connected_components, parities, settled, shingles
+from quillspark.llm.near_dedup import BLOCK_MEMBERS, BLOCK_SHINGLES, PARITY_BITS, connected_components, shingles
 
 SHINGLE = 4
 PERCENT = 85
@@ -45,6 +45,8 @@ PERCENT = 85
 BAND = 1.38
 SINGLE = 5
 LEVELS = 4
+#: Places of a key in the bitmap of crowded keys, each a rotation of its bits.
+TURNS = (0, 16, 32, 48)
 #: Bytes of everything but blanks.
 KINDS = np.ones(256, dtype=bool)
 KINDS[[9, 10, 11, 12, 13, 32]] = False
@@ -199,6 +201,27 @@ def _chosen(marks: Bitmap, batch: pa.RecordBatch) -> Iterator[tuple[Sets, np.nda
         yield s, own, keys, text
 
 
+def has_all(bitmap: Bitmap, keys: np.ndarray) -> np.ndarray:
+    """Whether the keys seem to be in a bitmap of all their rotations."""
+    out = bitmap.has(keys)
+    for turn in TURNS[1:]:
+        out &= bitmap.has((keys >> np.uint64(turn)) | (keys << np.uint64(64 - turn)))
+    return out
+
+
+def turned(keys: DataFrame) -> DataFrame:
+    """(h): the rotations of the keys."""
+    key = F.col("key")
+    return keys.select(F.explode(F.array(key, *(F.shiftrightunsigned(key, t).bitwiseOR(F.shiftleft(key, 64 - t)) for t in TURNS[1:]))).alias("h"))
+
+
+def parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(texts x longs) sketches whose bits are the parities of hashed shingles: two differ in at most as many bits as sets."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    odd = np.bincount(text * PARITY_BITS + (hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=len(counts) * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(counts), -1)
+
+
 def _list(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
 
@@ -218,7 +241,7 @@ def _likely(marks, crowded):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, own, keys, text in _chosen(marks.value, batch):
-                some = crowded.value.has(keys)
+                some = has_all(crowded.value, keys)
                 keys, text = keys[some], text[some]
                 order = np.argsort(text, kind="stable")
                 n_keys = np.bincount(text, minlength=len(own))
@@ -228,7 +251,9 @@ def _likely(marks, crowded):
                 picked = np.zeros(len(s.counts), bool)
                 picked[own] = True
                 words = s.words.hashes[np.repeat(picked, s.words.counts())].astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([fp, pa.array(s.counts[own]), _list(keys[order].view(np.int64), n_keys), _list(words, n_words)], ["fp", "n", "keys", "words"])
+                odd = parities(s.hashes[np.repeat(picked, s.counts)], s.counts[own])
+                columns = [fp, pa.array(s.counts[own]), _list(keys[order].view(np.int64), n_keys), _list(odd.reshape(-1), np.full(len(own), odd.shape[1])), _list(words, n_words)]
+                yield pa.RecordBatch.from_arrays(columns, ["fp", "n", "keys", "odd", "words"])
 
     return run
 
@@ -260,28 +285,71 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([out.column("fp"), out.column("c")], ["fp", "c"])
 
 
+def far(n: np.ndarray, odd: np.ndarray, label: np.ndarray, blocks: np.ndarray, i: int) -> np.ndarray:
+    """The later members of other classes (and, of two blocks, of the other one) that the i-th could link with by the sizes
+    and the sketches."""
+    to = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+    if blocks[0] != blocks[-1]:
+        to = to[blocks[to] != blocks[i]]
+    to = to[100 * np.minimum(n[to], n[i]) >= PERCENT * np.maximum(n[to], n[i])]
+    return to[np.bitwise_count(odd[to] ^ odd[i]).sum(axis=1, dtype=np.int64) <= most_apart(n[to] + n[i])]
+
+
+def _block(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A group's members in order of their blocks: sizes, sketches, classes and blocks."""
+    table = table.sort_by("block").combine_chunks()
+    odd = table.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+    label = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
+    return table, table.column("n").to_numpy(), odd, label, table.column("block").to_numpy()
+
+
+def near(table: pa.Table) -> pa.Table:
+    """The members of a signature (or of two blocks of it) that could link with one of another class."""
+    table, n, odd, label, blocks = _block(table)
+    wanted = np.zeros(len(n), bool)
+    for i in range(len(n) - 1):
+        to = far(n, odd, label, blocks, i)
+        wanted[to] = True
+        wanted[i] |= len(to) > 0
+    return table.filter(pa.array(wanted))
+
+
 def settle(table: pa.Table) -> pa.Table:
-    """Links of members (fp, words, root, block) between the classes of a signature, or of two blocks of it."""
-    fps, blocks = table.column("fp").combine_chunks(), table.column("block").to_numpy()
+    """Links between the classes of a signature, or of two blocks of it."""
+    table, n, odd, label, blocks = _block(table)
     own = [word_set(x.values.to_numpy(zero_copy_only=False)) for x in table.column("words").combine_chunks()]
-    label = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
-    n, odd = np.array([len(x) for x in own]), parities(own)
-    across = (blocks != blocks[0]).any()
     links = []
-    for i in range(len(own) - 1):
-        to = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        if across:
-            to = to[blocks[to] != blocks[i]]
-        to = to[100 * np.minimum(n[to], n[i]) >= PERCENT * np.maximum(n[to], n[i])]
-        to = to[np.bitwise_count(odd[to] ^ odd[i]).sum(axis=1, dtype=np.int64) <= most_apart(n[to] + n[i])]
-        for j in to.tolist():
+    for i in range(len(n) - 1):
+        for j in far(n, odd, label, blocks, i).tolist():
             if label[j] != label[i] and linked(own[i], own[j]):
                 links.append((i, j))
                 label[label == label[j]] = label[i]
     a, b = np.array(links, np.int64).reshape(-1, 2).T
+    fps = table.column("fp").combine_chunks()
     return pa.Table.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b))], ["fp", "c"])
 
 
+def settled(members: DataFrame, likely: DataFrame, verified: Callable[[DataFrame], DataFrame], space: Workspace) -> DataFrame:
+    """Links (fp, c) between classes that share a signature, of members (key, fp, n, root).
+
+    Signatures of the same members are settled once.  Only members that sizes and sketches let pass bring their words."""
+    members = space.save(members, "members")
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"x{k}") for k in (1, 2)]
+    about = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("fp").alias("x"), F.max("fp").alias("y"), F.count("*").alias("m"), F.sum("n").alias("all_n"), *same)
+    mixed = about.where("a != b").groupBy("m", "all_n", "x", "y", "x1", "x2").agg(F.min("key").alias("key"))
+    mixed = space.save(mixed, "mixed")
+    parts = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("all_n") / BLOCK_SHINGLES)).cast("int")
+    own = salted_join(members, mixed.where("m > 2").select("key", parts.alias("parts")), "key", F.col("fp")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root")
+    own = salted_join(own, likely.select(F.col("t").alias("fp"), "n", "odd"), "fp", F.struct("key", "i", "j"))
+    row = "key long, i int, j int, block int, fp long, root long, n long, odd array<long>"
+    close = space.save(own.select("key", "i", "j", "block", "fp", "root", "n", "odd").groupBy("key", "i", "j").applyInArrow(near, row), "close")
+    words = likely.select(F.col("t").alias("fp"), "words")
+    links = salted_join(close, words, "fp", F.struct("key", "i", "j")).groupBy("key", "i", "j").applyInArrow(settle, "fp long, c long")
+    return verified(mixed.where("m = 2").select(F.col("x").alias("fp"), F.col("y").alias("c")).distinct()).union(links)
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
@@ -294,9 +362,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # one of each kind of text gives its signatures
     keys = own.where("text is not null").select("h", "text").transform(W.mapped, _signatures(marks), "key long")
     crowded = space.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "crowded")
-    bitmap = spark.sparkContext.broadcast(membership(crowded, F.col("key")))
-    likely = own.where("text is not null").select("h", "text").transform(W.mapped, _likely(marks, bitmap), "fp binary, n long, keys array<long>, words array<int>")
-    likely = likely.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("words").alias("words"))
+    bitmap = spark.sparkContext.broadcast(membership(turned(crowded), F.col("h")))
+    likely = own.where("text is not null").select("h", "text").transform(W.mapped, _likely(marks, bitmap), "fp binary, n long, keys array<long>, odd array<long>, words array<int>")
+    likely = likely.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "keys", "odd", "words")))
     # a number for each text; the table is written once and read from then on
     likely = space.save(likely.withColumn("t", F.monotonically_increasing_id()), "likely")
     words = likely.select(F.col("t").alias("fp"), "words")
@@ -313,7 +381,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = space.save(verified(space.save(best, "best")), "links")
     roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, "first")
     members = salted_join(shared.select("key", "fp", "n"), roots.withColumnRenamed("node", "fp"), "fp", F.col("key"), "left").withColumn("root", F.coalesce("root", "fp"))
-    links = links.union(space.save(settled(members, words, verified, space, settle, PERCENT / 100), "settled"))
+    links = links.union(space.save(settled(members, likely, verified, space), "settled"))
     roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, "all")
     named = likely.select("fp", "t").join(roots.withColumnRenamed("node", "t"), "t", "left").select("fp", F.coalesce("root", "t").alias("root"))
     whole = texts.join(named, "fp", "left")
