@@ -219,7 +219,7 @@ def parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """(texts x longs) sketches whose bits are the parities of hashed shingles: two differ in at most as many bits as sets."""
     text = np.repeat(np.arange(len(counts)), counts)
     odd = np.bincount(text * PARITY_BITS + (hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=len(counts) * PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(counts), -1)
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(counts), PARITY_BITS // 64)
 
 
 def _list(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
