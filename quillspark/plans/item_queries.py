@@ -99,12 +99,9 @@ _AT = f"length({filled_sql(SYMBOLS[0], N)}) + 1 + length({filled_sql(SYMBOLS[1],
 def indirect_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys renamed where variables get them: the literals of LOCALS for TALENT, one of those of ARGS for BASE."""
     lines = script.logical_lines(scripts(table(spark, sf_dir, "part"), N, SYMBOLS))
-    pattern = r'^\s*(\w+)\s*='
-    literals = lines.where(F.col("code").rlike(r"^(?:LOCALS|ARGS) =")).select("document_id", F.regexp_extract("code", pattern, 1).alias("variable"), "start", F.explode(symbols.found(F.col("code"), r'"[^"]*"')).alias("m"))
-    sites = literals.select("document_id", "variable", F.expr("substring(m.value, 2, length(m.value) - 2)").alias("key"), (F.col("start") + F.col("m.start") + 1).alias("start"), (F.col("m.length") - 2).alias("length"))
     words = table(spark, sf_dir, "part").select(filled("@w", F.col(N)).alias("key")).distinct()
     renames = words.select(F.lit("TALENT").alias("namespace"), "key").union(spark.createDataFrame([("BASE", "甲")], "namespace string, key string")).withColumn("value", F.concat(F.lit("새"), "key"))
-    edits, _ = M.indirect_edits(symbols.references(lines), sites, renames)
+    edits, _ = M.indirect_edits(symbols.references(lines), symbols.variable_literals(lines), renames)
     return edits
 
 
@@ -112,9 +109,8 @@ def indirect_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def renames_for_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Renames of keys that a variable of several values, or an unresolved reference, may mean."""
     lines = script.logical_lines(scripts(table(spark, sf_dir, "part"), N, SYMBOLS))
-    sites = lines.where(F.col("code").startswith("ARGS =")).select("document_id", F.lit("args").alias("variable"), F.lit("甲").alias("key"), "start", F.lit(1).alias("length"))
     renames = spark.createDataFrame([("BASE", "甲", "새")], "namespace string, key string, value string")
-    return M.indirect_edits(symbols.references(lines), sites, renames)[1]
+    return M.indirect_edits(symbols.references(lines), symbols.variable_literals(lines), renames)[1]
 
 
 @query(f"""SELECT count(*) AS documents, sum(CASE WHEN {N} % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS warnings, sum({N} % 3)::BIGINT AS particle_patterns, count(*) AS items, count(*) FILTER ({N} % 5 <> 0 AND {N} % 2 = 0) AS script_items, count(*) FILTER ({N} % 5 <> 0 AND {N} % 2 = 1) AS csv_items, count(*) FILTER ({N} % 5 = 0) AS identifier_items FROM part""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,21 +30,35 @@ def brace_depth(line: str, depth: int, quoted: bool) -> tuple[int, bool]:
     return depth, quoted
 
 
+DECLARES = re.compile(r"\s*#DIMS?\b", re.I)
+
+
+def list_goes_on(line: str, depth: int) -> tuple[bool, int]:
+    """Whether a declaration's list goes on after a line, and how many parentheses outside quotes are open then."""
+    for part in line.split('"')[::2]:
+        for c in part:
+            depth = depth + 1 if c == "(" else max(0, depth - 1) if c == ")" else depth
+    return depth > 0 or line.rstrip().endswith(("=", ",")), depth
+
+
 def assemble(text: str) -> Iterator[tuple[int, int, str]]:
-    """(line number, place, text) of logical lines: lines with an open brace go on; comments inside are blanked."""
+    """(line number, place, text) of logical lines: lines with an open brace go on, and so do declarations that end with a
+    comma, an equals sign or an open parenthesis; comments inside are blanked."""
     held: list[str] = []
-    first = at = begin = depth = 0
-    quoted = False
+    first = at = begin = depth = parentheses = 0
+    quoted = goes_on = False
     for n, raw in enumerate(text.split("\n")):
         line = code_of(raw.rstrip("\r"))
-        if held and line.lstrip().startswith(";"):
-            line = " " * len(line)
+        comment = bool(held) and line.lstrip().startswith(";")
+        line = " " * len(line) if comment else line
         if not held:
-            first, begin, depth, quoted = n, at, 0, False
+            first, begin, depth, parentheses, quoted = n, at, 0, 0, False
         held.append(line + " " * (len(raw) - len(raw.rstrip("\r"))))
         at += len(raw) + 1
         depth, quoted = brace_depth(line, depth, quoted)
-        if not depth or held[0].lstrip().startswith(";"):
+        if not comment:
+            goes_on, parentheses = list_goes_on(line, parentheses) if DECLARES.match(held[0]) else (False, 0)
+        if not (depth or goes_on) or held[0].lstrip().startswith(";"):
             yield first, begin, "\n".join(held).rstrip(" ") if len(held) == 1 else "\n".join(held)
             held = []
     if held:

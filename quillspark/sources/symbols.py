@@ -1,14 +1,15 @@
 """Symbol references, variable values and identifiers of script lines, and the registries of lookup arrays.
 
-Everything works on the logical lines of ``script.logical_lines``; places are exact.  Function calls are read as name and
-arguments by one pattern (arguments hold no nested call with a comma of its own beyond two levels)."""
+Everything works on the logical lines of ``script.logical_lines``; places are exact.  Calls and their arguments come from
+the token table (``tokens``), so they may be nested to any depth."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +17,33 @@ from quillspark.functions import text as T
 from quillspark.functions.places import bound, found, replaced
 from quillspark.operators.references import propagate_keys
 from quillspark.sources.script import logical_lines, without_comment
-from quillspark.sources.segments import with_state
+from quillspark.sources.segments import segments, with_state
 from quillspark.sources.syntax import KEY, NAME, NAMESPACES, QUOTED, symbol_reference
+from quillspark.sources.tokens import choice, outer, token_table
 
 VALUES, ROUNDS = 32, 8
-INNER = r'(?:[^()"]|"[^"]*"|\((?:[^()"]|"[^"]*"|\((?:[^()"]|"[^"]*")*\))*\))*'
-CALL = rf"(?<![\p{{L}}\p{{N}}_]){NAME}\s*\({INNER}\)"
-ARGUMENT = r'((?:[^,()"]|"[^"]*"|\((?:[^()"]|"[^"]*"|\([^()]*\))*\))+)'
+ASSIGNS = rf"(?i)^\s*(?:(?:VARI|VARS)\s+)?({NAME})\s*(?:'=|=)\s*(.+?)\s*$"
+LITERAL = re.compile(r'@?"((?:[^"\\]|\\.)*)"')
 # Names that are no identifiers of a project.
 RESERVED = "LOCAL LOCALS ARG ARGS RESULT RESULTS".split()
 INFLECTIONS = ["から", "まで", "より", "なら", "です", "ます", "した", "して", "する"]
 LOOKUP_FUNCTIONS = ["FINDELEMENT", "FINDLASTELEMENT"]
+#: Functions that take a list of keys: the argument that names the namespace (or the namespace), and that of the list.
+KEY_LISTS = [
+    ("CALC_CHARA_SINGLE_DATA", 0, None, 2),
+    ("CALC_CHARA_SINGLE_DATA_RULED", 0, None, 2),
+    ("CALC_CHARA_MULTIPLE_DATA", 0, None, 2),
+    ("CALC_CHARA_RANGED_DATA", 0, None, 2),
+    ("GET_NONEXISTABLE_CHARA_NO_DEFAULTABLE_SINGLE_DATA", 0, None, 2),
+    ("GET_NONEXISTABLE_VALUES_BYNAME", 0, None, 1),
+    ("GET_NONEXISTABLE_CHARA_VALUES_NO_DEFAULTABLE", 0, None, 2),
+    ("CALC_CHARA_MULTIPLE_DATA_BASE", 1, None, 3),
+    ("GET_NONEXISTABLE_TALENT_BYNAME", None, "TALENT", 0),
+    ("GET_NONEXISTABLE_ABL_BYNAME", None, "ABL", 0),
+    ("GET_NONEXISTABLE_CFLAG_BYNAME", None, "CFLAG", 0),
+    ("GET_NONEXISTABLE_EXP_BYNAME", None, "EXP", 0),
+    ("GET_NONEXISTABLE_CSTR_BYNAME", None, "CSTR", 0),
+]
 
 
 def code_lines(lines: DataFrame) -> DataFrame:
@@ -34,29 +51,10 @@ def code_lines(lines: DataFrame) -> DataFrame:
 
 
 def calls(lines: DataFrame) -> DataFrame:
-    """(document_id, line_number, at, function, arguments): every call outside quotes, calls inside arguments as well;
-    arguments are (start, value) without the blanks around."""
-    code = F.col("code")
-
-    def arguments(m: Column) -> Column:
-        head = F.length(F.regexp_extract(m["value"], rf"^{NAME}\s*\(", 0))
-        inner = F.substring(m["value"], head + 1, F.length(m["value"]) - head - 1)
-
-        def one(p: Column) -> Column:
-            lead = F.length(F.regexp_extract(p["value"], r"^\s*", 0))
-            return F.struct((m["start"] + head + p["start"] + lead).alias("start"), F.trim(p["value"]).alias("value"))
-
-        return F.struct(m["start"].alias("at"), F.upper(F.regexp_extract(m["value"], rf"^({NAME})", 1)).alias("function"), F.transform(found(inner, ARGUMENT), one).alias("arguments"))
-
-    def nested(m: Column) -> Column:
-        head = F.length(F.regexp_extract(m["value"], rf"^{NAME}\s*\(", 0))
-        inner = F.substring(m["value"], head + 1, F.length(m["value"]) - head - 1)
-        return F.transform(found(inner, CALL), lambda x: x.withField("start", x["start"] + m["start"] + head))
-
-    outer = found(code, CALL)
-    both = bound(outer, lambda o: F.concat(o, F.flatten(F.transform(o, nested))))
-    rows = code_lines(lines).where(code.contains("("))
-    return rows.select("document_id", "line_number", "start", F.explode(F.transform(both, arguments)).alias("c")).select("document_id", "line_number", "start", "c.*")
+    """(document_id, line_number, start, at, function, arguments): every call outside plain strings, those in arguments
+    and in the script inside raw strings as well; arguments are (start, value) without the blanks around."""
+    own = token_table(lines).where("kind = 'call'")
+    return own.select("document_id", "line_number", "start", "at", F.upper("name").alias("function"), "arguments")
 
 
 def literal(argument: Column) -> Column:
@@ -114,48 +112,55 @@ def key_arguments(lines: DataFrame) -> DataFrame:
     return propagate_keys(known.distinct(), passed)
 
 
-def values_of(assignments: list[tuple[str, str]]) -> dict[str, set[str]]:
-    """The strings that variables can hold: literals, both sides of a choice, sums (VALUES at most, in order), variables."""
-    known: dict[str, set[str]] = {}
-    pieces = regex.compile(r'"(?:[^"\\]|\\.)*"|[?#+]|[^"?#+]+')
-
-    def of(expression: str) -> set[str]:
-        own = expression.strip()
-        quoted = regex.fullmatch(r'@?"((?:[^"\\]|\\.)*)"', own)
-        if quoted:
-            return {quoted[1]}
-        parts = pieces.findall(own)
-        if "?" in parts and "#" in parts:
-            at = parts.index("?")
-            to = len(parts) - 1 - parts[::-1].index("#")
-            return of("".join(parts[at + 1 : to])) | of("".join(parts[to + 1 :])) if to > at else set()
-        if "+" in parts:
-            out, term = [""], ""
-            for p in [*parts, "+"]:
-                if p != "+":
-                    term += p
-                    continue
-                more = sorted(of(term))
-                out, term = list(dict.fromkeys(a + b for a in out for b in more))[:VALUES], ""
-            return set(out)
-        return known.get(own.lower(), set())
-
+def expression_values(expression: str, at: int, known: dict[str, dict[str, None]]) -> tuple[dict[str, None], list[tuple[str, int]]]:
+    """The strings that an expression can hold, in the order they are met, and its literals with their places.
+
+    A literal is itself, a choice both its sides, a sum the sums of its terms (VALUES at most, first ones first, and no
+    literal is the whole value then), a variable what is known of it."""
+    own = expression.strip()
+    at += len(expression) - len(expression.lstrip())
+    quoted = LITERAL.fullmatch(own)
+    if quoted:
+        return {quoted[1]: None}, [(quoted[1], at + quoted.start(1))]
+    sides = choice(own)
+    if sides:
+        left = expression_values(own[sides[0] + 1 : sides[1]], at + sides[0] + 1, known)
+        right = expression_values(own[sides[1] + 1 :], at + sides[1] + 1, known)
+        return left[0] | right[0], left[1] + right[1]
+    edges = [k for k, _ in outer(own, "+")]
+    terms = [(lo + 1, own[lo + 1 : hi]) for lo, hi in zip([-1, *edges], [*edges, len(own)], strict=True) if own[lo + 1 : hi].strip()]
+    if len(terms) > 1:
+        out = {"": None}
+        for _, term in terms:
+            more = expression_values(term, 0, known)[0]
+            out = dict.fromkeys(islice(dict.fromkeys(a + b for a in out for b in more), VALUES))
+        return out, []
+    return known.get(own.lower(), {}), []
+
+
+def values_of(assignments: list[tuple[str, str]]) -> dict[str, dict[str, None]]:
+    """The strings that variables (lower-cased) can hold, in the order they are met, by a fix-point of ROUNDS rounds."""
+    known: dict[str, dict[str, None]] = {}
     for _ in range(ROUNDS):
         before = sum(map(len, known.values()))
         for variable, expression in assignments:
-            if got := of(expression):
-                known[variable.lower()] = known.get(variable.lower(), set()) | got
+            if got := expression_values(expression, 0, known)[0]:
+                known[variable.lower()] = known.get(variable.lower(), {}) | got
         if before == sum(map(len, known.values())):
             break
     return known
 
 
+def assignments(lines: DataFrame) -> DataFrame:
+    """(document_id, line_number, start, at, variable, expression) of the lines that assign; ``at`` is the expression's place."""
+    own = code_lines(lines).where(~F.ltrim("code").startswith("#") & F.col("code").rlike(ASSIGNS))
+    lead = F.length("code") - F.length(F.regexp_extract("code", ASSIGNS, 2)) - F.length(F.regexp_extract("code", r"\s*$", 0))
+    return own.select("document_id", "line_number", "start", lead.alias("at"), F.regexp_extract("code", ASSIGNS, 1).alias("variable"), F.regexp_extract("code", ASSIGNS, 2).alias("expression"))
+
+
 def variable_values(lines: DataFrame) -> DataFrame:
     """(document_id, variable, keys): the strings that the variables of a document can hold, lower-cased names."""
-    pattern = rf"(?i)^\s*(?:(?:VARI|VARS)\s+)?({NAME})\s*(?:'=|=)\s*(.+?)\s*$"
-    own = code_lines(lines).where(~F.ltrim("code").startswith("#") & F.col("code").rlike(pattern))
-    own = own.select("document_id", "start", F.regexp_extract("code", pattern, 1).alias("variable"), F.regexp_extract("code", pattern, 2).alias("expression"))
-    grouped = own.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("start", "variable", "expression"))).alias("a"))
+    grouped = assignments(lines).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("start", "variable", "expression"))).alias("a"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -165,11 +170,27 @@ def variable_values(lines: DataFrame) -> DataFrame:
     return grouped.mapInPandas(run, "document_id string, variable string, keys array<string>")
 
 
+def variable_literals(lines: DataFrame) -> DataFrame:
+    """(document_id, line_number, start, length, variable, key): where a document's variables (lower-cased) get a string
+    as it is, alone or as a side of a choice; a rename of an indirect reference is written there."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for d, n, s, at, v, e in part.itertuples(index=False):
+                rows += [(d, n, s + place, len(value), v.lower(), value) for value, place in expression_values(e, at, {})[1]]
+            yield pd.DataFrame(rows, columns=["document_id", "line_number", "start", "length", "variable", "key"])
+
+    own = assignments(lines).where(F.col("expression").contains('"')).select("document_id", "line_number", "start", "at", "variable", "expression")
+    return own.mapInPandas(run, "document_id string, line_number int, start int, length int, variable string, key string")
+
+
 def references(lines: DataFrame, namespaces: list[str] | None = None) -> DataFrame:
     """(document_id, line_number, start, length, namespace, kind, key, variable, candidates, resolution) of lines.
 
     namespace:key and namespace:variable:key name a key; a component that is a variable stands for its values, of which
-    there are none (unresolved), one (resolved) or several (ambiguous).  GETNUM(namespace, "key") names a key as well."""
+    there are none (unresolved), one (resolved) or several (ambiguous).  GETNUM(namespace, "key") names a key as well,
+    and GETNUM(namespace, variable) what the variable holds."""
     own = NAMESPACES if namespaces is None else namespaces
     pattern = symbol_reference(own)
     code = F.col("code")
@@ -182,12 +203,17 @@ def references(lines: DataFrame, namespaces: list[str] | None = None) -> DataFra
     rows = code_lines(lines).where(~F.ltrim(code).startswith("#"))
     plain = rows.select("document_id", "line_number", "start", F.explode(F.transform(found(code, pattern), direct)).alias("r")).select("document_id", "line_number", (F.col("start") + F.col("r.at")).alias("start"), "r.namespace", "r.key")
     argument = lambda k: F.get(F.col("arguments"), F.lit(k))
-    getnum = calls(rows.select("document_id", "line_number", "start", "code")).where((F.col("function") == "GETNUM") & F.upper(argument(0)["value"]).isin(own) & (literal(argument(1)["value"]) != ""))
-    getnum = getnum.select("document_id", "line_number", (F.col("start") + argument(1)["start"] + F.instr(argument(1)["value"], '"')).alias("start"), F.upper(argument(0)["value"]).alias("namespace"), literal(argument(1)["value"]).alias("key"), F.lit(True).alias("is_literal"))
+    # the namespace may carry a number of characters, as in ITEM@2
+    space = F.upper(F.regexp_extract(argument(0)["value"], r"^(.+?)(?:@[0-9]+)?$", 1))
+    asked = calls(rows.select("document_id", "line_number", "start", "code")).where((F.col("function") == "GETNUM") & space.isin(own))
+    key = argument(1)["value"]
+    named = asked.where(literal(key) != "").select("document_id", "line_number", (F.col("start") + argument(1)["start"] + F.instr(key, '"')).alias("start"), space.alias("namespace"), literal(key).alias("key"), F.lit(True).alias("is_literal"))
+    held = asked.where(key.rlike(f"^{NAME}$")).select("document_id", "line_number", (F.col("start") + argument(1)["start"]).alias("start"), space.alias("namespace"), key.alias("key"), F.lit(None).cast("boolean").alias("is_literal"))
+    getnum = named.unionByName(held)
     every = plain.withColumn("is_literal", F.lit(False)).unionByName(getnum).where(~T.is_numeric_like(F.col("key")))
     values = variable_values(lines).withColumnRenamed("variable", "v")
     # a name of ASCII letters is a variable: keys of a project hold other characters, or are assigned nowhere
-    variable = ~F.col("is_literal") & F.col("key").rlike("^[A-Za-z_][A-Za-z0-9_]*$")
+    variable = F.coalesce(~F.col("is_literal"), F.lit(True)) & F.col("key").rlike("^[A-Za-z_][A-Za-z0-9_]*$") | F.col("is_literal").isNull()
     out = every.withColumn("v", F.when(variable, F.lower("key"))).join(values, ["document_id", "v"], "left")
     candidates = F.when(F.col("v").isNull(), F.array("key")).otherwise(F.coalesce("keys", F.array().cast("array<string>")))
     resolution = F.when(F.col("v").isNull(), "direct").when(F.size(candidates) == 0, "unresolved").when(F.size(candidates) == 1, "resolved").otherwise("ambiguous")
@@ -242,6 +268,37 @@ def lookup_references(lines: DataFrame, lookups: DataFrame | None = None, keys:
     return out.select("document_id", "line_number", "start", F.length("key").alias("length"), F.col("space").alias("namespace"), "key").distinct()
 
 
+def key_list_references(lines: DataFrame, namespaces: list[str] | None = None) -> DataFrame:
+    """(document_id, line_number, start, length, namespace, key) of the keys in the lists that KEY_LISTS functions take:
+    entries between commas (between bars for functions named ..._RULED), each a key with a weight after an asterisk."""
+    spaces = NAMESPACES if namespaces is None else namespaces
+    table = F.broadcast(lines.sparkSession.createDataFrame(KEY_LISTS, "function string, space_argument int, space string, list_argument int"))
+    own = calls(lines).join(table, "function")
+    value = lambda k: F.get("arguments", F.col(k))
+    own = own.withColumn("namespace", F.upper(F.coalesce("space", literal(value("space_argument")["value"])))).where(F.col("namespace").isin(spaces))
+    taken = value("list_argument")
+    own = own.withColumn("list", literal(taken["value"])).withColumn("first", taken["start"] + F.instr(taken["value"], '"')).where("list != ''")
+    mark = F.when(F.col("function").endswith("_RULED"), r"\|").otherwise(",")
+    own = own.withColumn("entries", F.split("list", mark, -1)).select("*", F.posexplode("entries").alias("n", "entry"))
+    before = F.aggregate(F.slice("entries", F.lit(1), F.col("n")), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    lead = F.length(F.regexp_extract("entry", r"^\s*", 0))
+    key = F.regexp_extract("entry", r"^\s*([^*,|]*?)\s*(?:[*,|].*)?$", 1)
+    out = own.select("document_id", "line_number", (F.col("start") + F.col("first") + before + lead).alias("start"), F.length(key).alias("length"), "namespace", key.alias("key"))
+    return out.where(is_symbol_key(F.col("key"))).distinct()
+
+
+def split_key_references(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """(document_id, line_number, start, length, namespace, key) of the fields of declared split arrays that are keys;
+    ``splits`` is the registry of ``split_lookups``."""
+    own = segments(lines, splits=splits).where("segment_type = 'split-lookup-key'")
+    return own.select("document_id", "line_number", "start", "length", "namespace", F.col("text").alias("key")).where(is_symbol_key(F.col("key")))
+
+
+def is_symbol_key(key: Column) -> Column:
+    """Not blank, no number, not in parentheses."""
+    return ~T.is_blank(key) & ~T.is_numeric_like(key) & ~key.startswith("(")
+
+
 def refreshed_references(docs: DataFrame, namespaces: list[str] | None = None) -> DataFrame:
     """The references of documents (document_id, text) as they are now; a plan of renames starts from these."""
     return references(logical_lines(docs), namespaces)

@@ -22,6 +22,8 @@ LOADTEXT SAVETEXT PLAYSOUND PLAYBGM OUTPUTLOG PRINT_IMG PRINT_RECT PRINT_SPACE G
 XML_OPEN XML_LOAD XML_SAVE MAP_CREATE DATATABLE_CREATE DATATABLE_LOAD DATATABLE_SAVE
 """.split()
 PALETTE_FUNCTIONS = "BARCOLORSET BARCOLORSET_HTML カラーパレット カラーパレット_透明度込 カラーパレット_HTML".split()
+#: A line that holds one of these names images.
+IMAGE_MARKS = ["EXIST画像FILE(", "ENUMFILES(", "顔グラ表示用文字列関数(", "任意顔グラ表示用文字列関数(", "GCREATE_拡張子(", "GCREATE_拡張子F(", "IMAGEPATH_", ":画像フォルダ%/", '"ダンジョン用_', "/ダンジョン用_"]
 NAMESPACES = """
 CALLNAME NAME NICKNAME MASTERNAME CFLAG TFLAG FLAG CSTR STR TSTR SAVESTR GLOBALS GLOBAL ITEM ITEMPRICE ITEMSALES BASE
 MAXBASE DOWNBASE ABL CUP UP DOWN PALAM JUEL GOTJUEL CDOWN EXP MARK TALENT SOURCE EX NOWEX TEQUIP EQUIP STAIN RELATION
@@ -42,7 +44,8 @@ def symbol_reference(namespaces: list[str] | None = None) -> str:
 
 
 SYMBOL = symbol_reference()
-SCRIPT_TOKEN = rf"(?:%[^%\r\n]+%|\{{[^{{}}\r\n]+\}}|<[^\r\n<>]+>|{SYMBOL}|{INDEXED_CALL})"
+#: A percent expression, braces, a mark-up tag, a call without parentheses inside, or a name with keys.
+SCRIPT_TOKEN = rf"(?:%[^%\r\n]+%|\{{[^{{}}\r\n]+\}}|<[^\r\n<>]+>|(?<![\p{{L}}\p{{N}}_]){NAME}(?:\s*\([^()\r\n]*\)|(?::(?:\{{[^{{}}\r\n]+\}}|{KEY}))+))"
 
 
 def looks_like_symbol_expression(text: Column) -> Column:

@@ -32,8 +32,9 @@ def test_segments_lie_where_they_say(spark):
 
 def test_values_of_variables():
     known = symbols.values_of([("A", '"x"'), ("B", 'A ? A # "y"'), ("C", 'B + "-" + B'), ("D", "D"), ("E", "1 + 2"), ("F", " ")])
-    assert known == {"a": {"x"}, "b": {"x", "y"}, "c": {"x-x", "x-y", "y-x", "y-y"}}
+    assert {k: {*v} for k, v in known.items()} == {"a": {"x"}, "b": {"x", "y"}, "c": {"x-x", "x-y", "y-x", "y-y"}}
     many = [("A", f'"{i}"') for i in range(40)] + [("B", "A + A")]
+    assert [*symbols.values_of([("A", '"b"'), ("A", '"a"'), ("B", 'A + "!"')])["b"]] == ["b!", "a!"]
     assert len(symbols.values_of(many)["a"]) == 40 and len(symbols.values_of(many)["b"]) >= symbols.VALUES
 
 
