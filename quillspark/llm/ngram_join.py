@@ -15,8 +15,9 @@ the signatures of another partition (``LEVELS`` of them, the last one with its e
 each pair that links shares a signature; there is no chance in it.
 
 Equal sets are one text from the start.  Signatures are counted; only texts with one that another text has too are kept
-with their words.  A signature first links its texts to the one of least number only; signatures whose texts are then in
-several classes are settled by comparing all members of different classes, in blocks, first by a parity sketch, then
+with their words.  A signature first links its texts to the one of least number only (each text is compared with its most
+frequent such centre, then with the others that are of another class); signatures whose texts are then in several classes
+are settled by comparing all members of different classes, in blocks, first by a parity sketch, then
 exactly.  Classes are connected components (large-star, small-star).
 
 Defined results: a text that is null or has no word has the empty set and links with nothing; repeated rows and equal
@@ -345,8 +346,12 @@ def settled(members: DataFrame, likely: DataFrame, verified: Callable[[DataFrame
     own = salted_join(own, likely.select(F.col("t").alias("fp"), "n", "odd"), "fp", F.struct("key", "i", "j"))
     row = "key long, i int, j int, block int, fp long, root long, n long, odd array<long>"
     close = space.save(own.select("key", "i", "j", "block", "fp", "root", "n", "odd").groupBy("key", "i", "j").applyInArrow(near, row), "close")
+    # most signatures of a family leave the same members
+    group = close.groupBy("key", "i", "j").agg(F.count("*").alias("m"), F.min("fp").alias("x"), F.max("fp").alias("y"), *same)
+    group = group.groupBy("m", "x", "y", "x1", "x2").agg(F.min(F.struct("key", "i", "j")).alias("g"), F.max("m").alias("n")).select("g.*", "n")
+    close = salted_join(close.withColumn("g", F.xxhash64("key", "i", "j")), group.select(F.xxhash64("key", "i", "j").alias("g")), "g", F.col("fp"), counts=group.select(F.xxhash64("key", "i", "j").alias("g"), "n"))
     words = likely.select(F.col("t").alias("fp"), "words")
-    links = salted_join(close, words, "fp", F.struct("key", "i", "j")).groupBy("key", "i", "j").applyInArrow(settle, "fp long, c long")
+    links = salted_join(space.save(close.drop("g"), "groups"), words, "fp", F.struct("key", "i", "j")).groupBy("key", "i", "j").applyInArrow(settle, "fp long, c long")
     return verified(mixed.where("m = 2").select(F.col("x").alias("fp"), F.col("y").alias("c")).distinct()).union(links)
 
 
@@ -371,16 +376,33 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each = likely.select(F.col("t").alias("fp"), "n", F.explode("keys").alias("key"))
     about = space.save(each.groupBy("key").agg(F.min("fp").alias("c"), F.max("fp").alias("d"), F.count("*").alias("m")).where("c != d"), "about")
     shared = space.save(salted_join(each, about.select("key", "c"), "key", F.col("fp"), counts=about.select("key", F.col("m").alias("n"))), "shared")
-    pairs = shared.where("fp != c").groupBy("fp", "c").agg(F.count("*").alias("n"))
+    pairs = space.save(shared.where("fp != c").groupBy("fp", "c").agg(F.count("*").alias("n")), "pairs")
     best = pairs.groupBy("fp").agg(F.max(F.struct("n", "c")).alias("best")).select("fp", F.col("best.c").alias("c"))
 
     def verified(some: DataFrame) -> DataFrame:
         full = salted_join(some.join(words, "fp"), words.select(F.col("fp").alias("c"), F.col("words").alias("words_c")), "c", F.col("fp"), counts=some.groupBy("c").agg(F.count("*").alias("n")))
         return full.transform(W.mapped, _verify, "fp long, c long")
 
-    links = space.save(verified(space.save(best, "best")), "links")
-    roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, "first")
-    members = salted_join(shared.select("key", "fp", "n"), roots.withColumnRenamed("node", "fp"), "fp", F.col("key"), "left").withColumn("root", F.coalesce("root", "fp"))
+    def rooted(some: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """(node, root) by the links, where a root is a node as well."""
+        roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, name)
+        return some.join(roots, some["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+    # the most frequent centre of each text first, then all others of other classes that sizes and sketches let pass
+    best = space.save(best, "best")
+    links = space.save(verified(best), "links")
+    about_texts = likely.select(F.col("t").alias("fp"), "n", "odd")
+    roots = space.save(rooted(about_texts.select("fp"), links, "first"), "roots")
+    placed = about_texts.join(roots, "fp")
+    centre = placed.select(F.col("fp").alias("c"), F.col("n").alias("n_c"), F.col("odd").alias("odd_c"), F.col("root").alias("root_c"))
+    rest = pairs.select("fp", "c").join(best, ["fp", "c"], "left_anti").join(placed, "fp")
+    rest = salted_join(rest, centre, "c", F.col("fp"))
+    differ = F.aggregate(F.zip_with("odd", "odd_c", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    sizes = 100 * F.least("n", "n_c") >= PERCENT * F.greatest("n", "n_c")
+    rest = space.save(rest.where((F.col("root") != F.col("root_c")) & sizes & (differ <= F.floor(F.lit(100 - PERCENT) * (F.col("n") + F.col("n_c")) / (100 + PERCENT)))).select("fp", "c"), "rest")
+    links = links.union(space.save(verified(rest), "more"))
+    roots = space.save(rooted(about_texts.select("fp"), links, "second"), "roots-2")
+    members = salted_join(shared.select("key", "fp", "n"), roots, "fp", F.col("key"))
     links = links.union(space.save(settled(members, likely, verified, space), "settled"))
     roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, "all")
     named = likely.select("fp", "t").join(roots.withColumnRenamed("node", "t"), "t", "left").select("fp", F.coalesce("root", "t").alias("root"))
