@@ -44,11 +44,12 @@ def word_array(text: Column) -> Column:
 
 def ngrams(words: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` words, repeats included."""
-    out = [words]
-    for n in range(2, longest + 1):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*out) if longest > 1 else words
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.concat(words, *map(runs, range(2, longest + 1))) if longest > 1 else words
 
 
 def bucket(feature: Column, buckets: int) -> Column:
