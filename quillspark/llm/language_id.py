@@ -11,8 +11,8 @@ is a bit vector of fixed size.  It is wide enough for texts of several MB: a tex
 half of it.  As the product of the three matrices is associative, landmarks and weights are multiplied once (positions x
 languages), and a batch of texts is one sparse presence matrix times that.
 
-The rows of the fit are those of least seeded hash of (key, text) in each language, equal ones counted once, so the
-model depends on the table alone.
+The rows of the fit are those of least seeded hash of (key, text) in each language, equal ones counted once and rows that
+cannot be learned from not counted, so the model depends on the usable rows alone, however many others there are.
 
 Defined results: a text that is null or holds no letter is ``und`` with score 0; so is every text if no labelled row is
 there to learn from; with one language, that language is predicted; repeated rows are predicted alike; rows with a
@@ -36,6 +36,8 @@ BITS = 1 << 17
 _SHIFT = np.uint64(64 - 17)
 LANDMARKS = 256
 TRAINING_ROWS = 3000
+#: The languages with most distinct rows are learned, so many at most.
+LANGUAGES = 1000
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Characters and rows of a scored batch.
@@ -101,16 +103,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, label_col: str, text_col: str, key_col: str, rows: int = TRAINING_ROWS, landmarks: int = LANDMARKS) -> Model | None:
-    """The model of at most ``rows`` labelled rows, drawn evenly over the languages by a seeded hash of the key."""
+    """The model of at most ``rows`` labelled rows, drawn evenly over the languages by a seeded hash of the key and the text."""
+    spark = labelled.sparkSession
     own = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    own = own.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.lit(SEED), F.col(key_col)).alias("h"))
-    counts = {r["label"]: r["n"] for r in labelled.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    own = own.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.lit(SEED), F.col(key_col), F.col(text_col)).alias("h"))
+    # what can be drawn are distinct usable rows; a sketch of them decides how many are looked at, never which are the first
+    known = own.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.col("n").desc(), "label").limit(LANGUAGES).collect()
+    if not known:
         return None
-    each = max(1, rows // len(counts))
-    chance = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 2 * each / n + 100 / n)))))[F.col("label")]
-    # a draw of about twice the rows, of which the first by hash are taken, so no rank is over many rows
-    own = own.withColumn("h", F.xxhash64("h", "text")).where((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < chance)
+    each = max(1, rows // len(known))
+    chances = spark.createDataFrame([(r["label"], min(1.0, (2 * each + 1000) / r["n"])) for r in known], f"label {own.schema['label'].dataType.simpleString()}, chance double")
+    own = own.join(F.broadcast(chances), "label").where(F.pmod("h", F.lit(1 << 30)) / (1 << 30) < F.col("chance"))
     own = own.groupBy("label", "h").agg(F.min("text").alias("text"))
     ranked = own.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("n") <= each)
     drawn = ranked.select("label", "text").transform(W.mapped, _pack, f"label {own.schema['label'].dataType.simpleString()}, bits binary")
