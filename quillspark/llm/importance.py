@@ -7,8 +7,8 @@ log p_target - log p_raw.  Gumbel noise, seeded by the document's key, is added,
 kept: a sample without replacement in proportion to importance.  k is the number of documents, over the whole corpus,
 whose log importance is at least the exact quantile ``LOST`` of the held-out good documents.
 
-The target model and that level are fitted on at most about ``LABELLED_ROWS`` labelled documents those of least seeded
-hash of the id (the documented bound; they are broadcast); raw counts, scores and k cover every document.
+The target model and that level are fitted on at most ``LABELLED_ROWS`` documents labelled good, those of least seeded hash
+of the id (the documented bound; they are broadcast); raw counts, scores and k cover every document.
 
 Defined results: a text without a token (null or empty) has no importance and is rejected; without any labelled good
 document every other document is kept with importance 0; ties at the k-th place are all kept; repeated rows are scored
@@ -81,24 +81,24 @@ class Model:
         return total, n
 
 
-def labelled_sample(labels: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """(id, good, held): a seeded draw of at most ``rows`` labelled ids; one in five is held out of the fit."""
-    h = F.xxhash64(F.lit(SEED), F.col(id_col))
-    own = labels.where(F.col(id_col).isNotNull())
-    chance = min(1.0, (2 * rows + 1000) / max(own.count(), 1))
-    drawn = own.where(F.pmod(h, F.lit(1 << 30)) / (1 << 30) < chance)
+def labelled_sample(labels: DataFrame, id_col: str, rows: int, space: Workspace) -> DataFrame:
+    """(id, held): of the ids that all their labels call good, at most ``rows``, those of least seeded hash; one in five is
+    held out of the fit.  Labels are put together by id before anything is counted, so repeats change nothing."""
     good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
-    each = drawn.groupBy(F.col(id_col).alias("__id")).agg(F.min(good).alias("good"), (F.pmod(F.xxhash64(F.lit(SEED + 1), F.first(id_col)), F.lit(5)) == 0).alias("held"))
-    # the first by the seeded hash, so that the draw is the same however the table is dealt
+    each = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(good).alias("good"))
+    each = space.save(each.where("good").select("__id"), "good")
+    # about twice the rows are sorted, of which the first are taken
     h = F.xxhash64(F.lit(SEED), F.col("__id"))
-    return each.orderBy(F.pmod(h, F.lit(1 << 30)), h, "__id").limit(rows)
+    chance = min(1.0, (2 * rows + 1000) / max(each.count(), 1))
+    drawn = each.where(F.pmod(h, F.lit(1 << 30)) / (1 << 30) < chance).orderBy(F.pmod(h, F.lit(1 << 30)), h, "__id").limit(rows)
+    return drawn.withColumn("held", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("__id")), F.lit(5)) == 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS) -> Model | None:
     space = Workspace(docs.sparkSession, "importance")
-    sample = F.broadcast(space.save(labelled_sample(labels, id_col, rows), "sample"))
+    sample = F.broadcast(space.save(labelled_sample(labels, id_col, rows, space), "sample"))
     own = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))
-    fitted = own.join(sample, "__id", "left").select("text", F.coalesce(F.col("good") & ~F.col("held"), F.lit(False)).alias("target"))
+    fitted = own.join(sample, "__id", "left").select("text", F.coalesce(~F.col("held"), F.lit(False)).alias("target"))
     counts = fitted.transform(W.mapped, _count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
@@ -113,12 +113,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             total, n = shared.value.sums(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(n), batch.column("held")], ["total", "n", "held"])
 
-    seen = own.join(sample.where("good"), "__id").select("text", "held").transform(W.mapped, sums, "total double, n double, held boolean").where("n > 0")
+    seen = own.join(sample, "__id").select("text", "held").transform(W.mapped, sums, "total double, n double, held boolean").where("n > 0")
     seen = space.save(seen, "seen")
     any_held = seen.agg(F.coalesce(F.bool_or("held"), F.lit(False))).first()[0]
     # repeated rows of a labelled document weigh as often as they come; the quantile is exact
     level = seen.where("held" if any_held else "true").agg(F.percentile("total", LOST)).first()[0]
     model.level = float("-inf") if level is None else level
+    space.keep()
     return model
 
 
