@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, importance, language_id, near_dedup, pieces, pii, quality_rules, queries, sharding, suffix_dedup, warc
+from quillspark.llm._shared import Workspace
 from tests.oracle import differences
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "é😀 x"), (None, "no id"), (7, "same"), (7, "same"), (8, "a" * 50_000), (9, "!!! ???")]
@@ -207,6 +208,26 @@ def test_language_of_texts_of_several_megabytes(spark, sf):
         assert model.languages[int(model.scores([long]).argmax())] == lang
 
 
+@pytest.mark.parametrize("more", ["empty", "repeated"])
+def test_languages_beside_many_rows_of_one(spark, more):
+    """Rows that cannot be learned from, or that repeat, take no other language's place and change no model."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(words(rnd, 30, "abcdefg" if i % 2 else "tuvwxyz")), "en" if i % 2 else "de") for i in range(80)]
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plain = language_id.fit(few, "lang", "text", "doc_id")
+    many = spark.range(400_000).select((F.col("id") + 1000 if more == "empty" else F.lit(0)).alias("doc_id"), F.lit("" if more == "empty" else rows[0][1]).alias("text"), F.lit("de").alias("lang"))
+    model = language_id.fit(few.union(many), "lang", "text", "doc_id")
+    assert model.languages == plain.languages == ["de", "en"] and (model.weights == plain.weights).all()
+
+
+def test_labels_beside_many_repeats(spark):
+    labels = spark.range(400).select("id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    many = spark.range(2_000_000).select(F.lit(7).cast("long").alias("id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    bad = spark.range(1000, 200_000).select("id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
+    drawn = [importance.labelled_sample(x.withColumnRenamed("id", "doc_id"), "doc_id", 300, Workspace(spark, "test")).collect() for x in (labels, labels.union(many).union(bad))]
+    assert len(drawn[0]) == 300 and sorted(drawn[0]) == sorted(drawn[1])
+
+
 def test_importance_by_brute_force(spark):
     """Counts, log ratios and sums of hashed 1- and 2-grams again, word by word."""
     rnd = random.Random(8)
@@ -214,7 +235,9 @@ def test_importance_by_brute_force(spark):
     labels = [(i, i % 2, 0) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     model = importance.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    sample = {r["__id"]: (r.good, r.held) for r in importance.labelled_sample(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", 20_000).collect()}
+    drawn = importance.labelled_sample(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", 20_000, Workspace(spark, "test"))
+    sample = {r["__id"]: r.held for r in drawn.collect()}
+    assert sorted(sample) == [i for i, good, _ in labels if good]
     cut = {}
 
     def buckets(text):
@@ -231,12 +254,12 @@ def test_importance_by_brute_force(spark):
     raw, target = collections.Counter(), collections.Counter()
     for i, t in docs:
         raw.update(buckets(t))
-        if sample.get(i, (False, True)) == (True, False):
+        if sample.get(i) is False:
             target.update(buckets(t))
     scale = sum(target.values()) / sum(raw.values())
     ratio = {b: math.log((target[b] + importance.SMOOTHING) / (raw[b] * scale + importance.SMOOTHING)) for b in raw}
     want = {i: sum(ratio[b] for b in buckets(t)) if buckets(t) else None for i, t in docs}
-    held = [want[i] for i, _ in docs if sample.get(i) == (True, True)]
+    held = [want[i] for i, _ in docs if sample.get(i)]
     got = {r.doc_id: r.importance for r in importance.score(df, model).collect()}
     assert got.keys() == want.keys() and all(got[i] is None if want[i] is None else abs(got[i] - want[i]) < 1e-9 for i in want)
     assert model.level == pytest.approx(float(np.quantile(held, importance.LOST)))
