@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import item_queries, script_queries, server_queries, source_queries, text_queries  # noqa: F401  (registers its queries)
+from quillspark.plans import item_queries, script_queries, server_queries, session_queries, source_queries, text_queries  # noqa: F401  (registers its queries)
 from quillspark.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "carry_over_tiers"

@@ -213,14 +213,28 @@ def replaced_at(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
+def _led(text: Column) -> tuple[Column, Column, Column]:
+    """The blanks a text begins with, the particle after them (null: none), and the rest."""
+    body = F.regexp_replace(text, r"^[\s\p{Z}]+", "")
+    particle = F.coalesce(*(F.when(body.rlike(rf"^{re.escape(p)}{BOUNDARY}"), F.lit(p)) for p in BY_LENGTH))
+    return F.left(text, F.length(text) - F.length(body)), particle, F.substring(body, F.length(particle) + 1, F.length(body))
+
+
+TRAILING_EXPRESSION = rf"%({EXPRESSION})%\s*$"
+TRAILING_TOKEN = r"(?<![\p{L}\p{Nd}_])([가-힣0-9]+)\s*$"
+
+
 def leading_particle(previous: Column, current: Column) -> Column:
     """A text that begins with a particle of the text before it, with the form (or the helper call) that that one asks for."""
-    body = F.regexp_replace(current, r"^[\s\p{Z}]+", "")
-    blank = F.left(current, F.length(current) - F.length(body))
-    particle = F.coalesce(*(F.when(body.rlike(rf"^{re.escape(p)}{BOUNDARY}"), F.lit(p)) for p in BY_LENGTH))
-    rest = F.substring(body, F.length(particle) + 1, F.length(body))
-    expression = F.regexp_extract(previous, rf"%({EXPRESSION})%\s*$", 1)
-    token = F.regexp_extract(previous, r"(?<![\p{L}\p{Nd}_])([가-힣0-9]+)\s*$", 1)
+    blank, particle, rest = _led(current)
+    expression = F.regexp_extract(previous, TRAILING_EXPRESSION, 1)
+    token = F.regexp_extract(previous, TRAILING_TOKEN, 1)
     new = F.when(expression != "", call("조사만처리", F.trim(expression), particle)).when(token != "", surface(particle, token))
     usable = particle.isNotNull() & (_of(6, particle) != "pass") & (F.trim(previous) != "")
     return F.coalesce(F.when(usable, F.concat(blank, new, rest)), current)
+
+
+def ends_in_leading(text: Column) -> Column:
+    """Whether nothing follows a text's leading particle that a next one could ask for: the text ends in that particle."""
+    _, particle, rest = _led(text)
+    return F.coalesce(particle.isNotNull() & ~rest.rlike(TRAILING_EXPRESSION) & ~rest.rlike(TRAILING_TOKEN), F.lit(False))

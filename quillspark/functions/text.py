@@ -28,6 +28,11 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(r"[^\s\p{Z}]")
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind around."""
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def utf16_length(text: Column) -> Column:
     """UTF-16 units, where length() counts code points."""
     return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
@@ -47,11 +52,11 @@ def looks_like_code_only(text: Column) -> Column:
 
 
 def is_numeric_like(text: Column) -> Column:
-    return F.trim(text).rlike(NUMERIC)
+    return trimmed(text).rlike(NUMERIC)
 
 
 def looks_like_lookup_key(text: Column) -> Column:
-    own = F.trim(text)
+    own = trimmed(text)
     plain = own.rlike(r"^[\p{L}\p{N}_\-]+$") & ~contains_translatable(own)
     return (own != "") & (is_numeric_like(own) | own.contains("/") | own.contains("／") | plain)
 
@@ -97,7 +102,7 @@ def particle(token: Column, with_coda: str, without: str, rieul_as_none: bool =
 
 def preview(text: Column) -> Column:
     """One line: the trimmed lines that are not empty, with a return mark between."""
-    return F.array_join(F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != ""), " ↵ ")
+    return F.array_join(F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: trimmed(x)), lambda x: x != ""), " ↵ ")
 
 
 def normalized_path(path: Column) -> Column:

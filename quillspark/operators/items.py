@@ -74,7 +74,7 @@ def looked_up(terms: DataFrame, key: str, term: str, lexicon: DataFrame) -> Data
     entries = lexicon.select("surface", "reading", "target", "is_name", "priority", "row_id")
     by_surface = best_entry(entries, "surface", order).select(F.col("surface").alias("__term"), F.struct("target").alias("__a"))
     by_reading = best_entry(entries.where("reading != ''"), "reading", order).select(F.col("reading").alias("__term"), F.struct("target").alias("__b"))
-    own = terms.select(key, F.trim(term).alias("__term")).join(by_surface, "__term", "left").join(by_reading, "__term", "left")
+    own = terms.select(key, T.trimmed(F.col(term)).alias("__term")).join(by_surface, "__term", "left").join(by_reading, "__term", "left")
     tier = F.when(F.col("__a").isNotNull(), "surface").when(F.col("__b").isNotNull(), "reading")
     return own.select(key, F.when(F.col("__a").isNotNull(), F.col("__a.target")).otherwise(F.col("__b.target")).alias("target"), tier.alias("tier"))
 

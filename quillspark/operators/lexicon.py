@@ -19,11 +19,21 @@ def ngrams(text: Column, longest: int, shortest: int = 1) -> Column:
 
 
 def contained_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, longest: int) -> DataFrame:
-    """(key, start, term) of every occurrence of a term in a text: n-grams of the text's words joined with the terms.
+    """(key, start, term) of every occurrence of a term of at most ``longest`` characters in a text.
 
-    A term is found from the start of a word on, so the join is one of equal strings whatever the number of terms."""
-    rows = texts.select(key, F.explode(ngrams(F.col(text), longest)).alias("g")).select(key, "g.start", F.col("g.gram").alias(term))
-    return rows.join(terms.select(term).distinct(), term)
+    Substrings of the lengths that terms have, and only those, are joined with the terms as equal strings, whatever the
+    number of terms; the lengths are ``longest`` numbers at most."""
+    own = terms.select(F.col(term)).where(F.length(term).between(1, longest)).distinct()
+    lengths = sorted(r[0] for r in own.select(F.length(term)).distinct().collect())
+    size = F.length(text)
+
+    def of_length(n: int) -> Column:
+        places = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(i.alias("start"), F.substring(F.col(text), i + 1, F.lit(n)).alias(term)))
+
+    none = F.array().cast(f"array<struct<start: int, `{term}`: string>>")
+    rows = texts.select(key, F.explode(F.concat(none, *map(of_length, lengths))).alias("g")).select(key, "g.*")
+    return rows.join(own, term)
 
 
 def term_runs(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:

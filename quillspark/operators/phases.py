@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import placeholders
 from quillspark.functions import text as T
 from quillspark.functions.rules import normalized, resolved
+from quillspark.operators.grouping import only_one
+from quillspark.operators.lexicon import budgeted, contained_terms
 from quillspark.plans.shared import saved
 from quillspark.sources.syntax import looks_like_symbol_expression
 
@@ -22,7 +24,8 @@ MASKS = {phase: 1 << k for k, phase in enumerate(PHASES)}
 SOURCE_CHARS, TARGET_CHARS = 40, 80
 SENTENCE = "[。！？!?'\"]"
 SUCCESS = ["DONE", "NEEDS_REVIEW", "MANUAL"]
-OPEN = ["PENDING", "FAILED", "STOPPED"]
+STOPPED = "STOPPED"
+OPEN = ["PENDING", "FAILED", STOPPED]
 
 
 def is_identifier(segment_type: Column) -> Column:
@@ -40,7 +43,7 @@ def is_success(status: Column, validation: Column, can_save: Column, translated:
 
 def looked_up_first(original: Column, is_reference_key: Column, longest: int = 12) -> Column:
     """Whether a dictionary is asked before a provider: keys, and short terms that are no sentences."""
-    own = F.trim(original)
+    own = T.trimmed(original)
     plain = ~T.is_blank(own) & ~own.rlike(r"[\r\n]") & ~T.is_numeric_like(own) & ~T.looks_like_code_only(own) & ~looks_like_symbol_expression(own) & T.contains_translatable(own)
     term = ~own.rlike(SENTENCE) & ~own.rlike(r"[\s\p{Z}]") & (T.visible_length(own) <= max(1, min(longest, 12)))
     return plain & (is_reference_key | term)
@@ -55,7 +58,7 @@ def glossary_mask(file_type: Column, segment_type: Column, is_reference_key: Col
 def glossary_source(original: Column, translated: Column, success: Column) -> Column:
     """Whether an item may be a hint: translated, on one line, short, and no markup, code or number."""
     broken = r"[\r\n]"
-    fits = (F.length(F.trim(original)) <= SOURCE_CHARS) & (F.length(F.trim(translated)) <= TARGET_CHARS) & ~original.rlike(broken) & ~translated.rlike(broken)
+    fits = (F.length(T.trimmed(original)) <= SOURCE_CHARS) & (F.length(T.trimmed(translated)) <= TARGET_CHARS) & ~original.rlike(broken) & ~translated.rlike(broken)
     no_markup = ~original.rlike("|".join(f"(?:{p})" for p in placeholders.PATTERNS))
     return success & ~T.is_blank(original) & ~T.is_blank(translated) & fits & no_markup & ~T.looks_like_code_only(original) & ~looks_like_symbol_expression(original) & ~T.is_numeric_like(original)
 
@@ -76,9 +79,11 @@ def phase_counts(items: DataFrame) -> DataFrame:
 
 def batch_summary(items: DataFrame, keys: list[str], text: str, path: str) -> DataFrame:
     """(keys, chars, files, more): characters of a batch, its first two files by name, and whether there are more."""
-    files = F.array_sort(F.collect_set(path))
-    out = items.groupBy(*keys).agg(F.sum(F.length(text)).alias("chars"), files.alias("f"))
-    return out.select(*keys, "chars", F.array_join(F.slice("f", 1, 2), ", ").alias("files"), (F.size("f") > 2).alias("more"))
+    each = items.groupBy(*keys, path).agg(F.sum(F.length(text)).alias("chars"))
+    first = each.groupBy(*keys).agg(F.sum("chars").alias("chars"), F.min(path).alias("__first"), F.count(path).alias("__files"))
+    second = each.join(first.select(*keys, "__first"), keys).where(F.col(path) > F.col("__first")).groupBy(*keys).agg(F.min(path).alias("__second"))
+    files = F.concat_ws(", ", "__first", "__second")
+    return first.join(second, keys, "left").select(*keys, "chars", files.alias("files"), (F.col("__files") > 2).alias("more"))
 
 
 def representatives(items: DataFrame) -> DataFrame:
@@ -91,19 +96,24 @@ def representatives(items: DataFrame) -> DataFrame:
 Provider = Callable[[DataFrame], DataFrame]
 
 
-def translated(items: DataFrame, provider: Provider, source: str, target: str, batch_size: int = 10, retries: int = 1) -> DataFrame:
+def translated(items: DataFrame, provider: Provider, source: str, target: str, batch_size: int = 10, retries: int = 1, hints: DataFrame | None = None, most_hints: int = 8, hint_chars: int = 360) -> DataFrame:
     """The items with status, reason and translated_text after a run of the loop.
 
     One item of each text is asked for.  ``provider`` is a function from requests (segment_id, text, batch, attempt) to
     answers (segment_id, translated, error), run on the cluster, for instance by mapInPandas.  An answer that is missing,
     is an error or has lost a token is asked for again, ``retries`` times at most; what is left then failed.  Answers are
-    restored, normalised and validated for every item of their text."""
+    restored, normalised and validated for every item of their text.  An answer with the error STOPPED (``providers.Ledger``)
+    leaves its items STOPPED, and a later run asks for them.
+
+    With ``hints`` (source, target) requests have a column hints besides: (source, target) of the terms that their text
+    holds, at most ``most_hints`` of at most ``hint_chars`` characters, longest first."""
     asked = placeholders.protected(representatives(items), "original_text", "p")
     w = Window.partitionBy("relative_path").orderBy("line_number", "segment_id")
     asked = saved(asked.select("segment_id", "original_text", "p.text", "p.placeholders", F.floor((F.row_number().over(w) - 1) / batch_size).alias("batch")), "requests")
     left, done = asked, None
     for attempt in range(max(0, min(retries, 10)) + 1):
-        answers = provider(left.select("segment_id", "text", "batch", F.lit(attempt).alias("attempt")))
+        requests = left.select("segment_id", "text", "batch", F.lit(attempt).alias("attempt"))
+        answers = provider(requests if hints is None else with_hints(requests, asked, hints, most_hints, hint_chars))
         got = left.join(answers, "segment_id", "left")
         repaired = placeholders.repair_tokens(F.col("translated"), F.col("placeholders"))
         lost = placeholders.token_error(repaired, F.col("placeholders"))
@@ -111,9 +121,10 @@ def translated(items: DataFrame, provider: Provider, source: str, target: str, b
         reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("translated").isNull(), "missing result").when(lost.isNotNull(), F.when(percent, "damaged variable").otherwise("lost token"))
         got = saved(got.select(*left.columns, reason.alias("reason"), placeholders.restore(F.col("translated"), F.col("placeholders")).alias("translated")), f"answers-{attempt}")
         last = attempt == max(0, min(retries, 10))
-        settled = got if last else got.where("reason is null")
+        # what was stopped is not asked for again in this run
+        settled = got if last else got.where(F.col("reason").isNull() | (F.col("reason") == STOPPED))
         done = settled if done is None else done.unionByName(settled)
-        left = got.where("reason is not null").select(*left.columns)
+        left = got.where(F.col("reason") != STOPPED).select(*left.columns)
     found = done.select("original_text", F.col("reason").alias("failure"), "translated", F.lit(True).alias("asked"))
     out = items.join(found, "original_text", "left")
     own = normalized(F.col("translated"), F.col("file_type"), is_identifier(F.col("segment_type")), F.lit(False))
@@ -121,22 +132,46 @@ def translated(items: DataFrame, provider: Provider, source: str, target: str, b
     state = resolved(F.col("own"), F.col("original_text"), source, target, is_identifier(F.col("segment_type")))
     # manual texts and manual exclusions are not touched
     touched = F.col("asked") & ~F.col("status").isin("MANUAL", "EXCLUDED")
-    status = F.when(touched & F.col("failure").isNotNull(), "FAILED").when(touched, state["status"]).otherwise(F.col("status"))
+    stopped = F.col("failure") == STOPPED
+    status = F.when(touched & stopped, STOPPED).when(touched & F.col("failure").isNotNull(), "FAILED").when(touched, state["status"]).otherwise(F.col("status"))
     why = F.when(touched, F.coalesce("failure", state["reason"]))
     text = F.when(touched & F.col("failure").isNull(), F.col("own")).otherwise(F.col("translated_text"))
     return out.withColumn("reason", why).withColumn("translated_text", text).withColumn("status", status).select(*items.columns, "reason")
 
 
-def by_phases(items: DataFrame, provider: Provider, source: str, target: str, **options) -> DataFrame:
-    """The loop over the phases in order; a later phase has the results of those before it (items have a phase)."""
+def with_hints(requests: DataFrame, asked: DataFrame, hints: DataFrame, most: int, chars: int) -> DataFrame:
+    """The requests with the hints of their original texts; terms are found by equal runs of characters of their lengths."""
+    texts = asked.select("segment_id", "original_text")
+    found = contained_terms(texts, "segment_id", "original_text", hints, "source", SOURCE_CHARS).select("segment_id", "source").distinct().join(hints, "source")
+    own = found.withColumn("size", F.length("source") + F.length("target"))
+    chosen = budgeted(own, "segment_id", [-F.length("source"), F.col("source")], "size", most, chars)
+    listed = chosen.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("source", "target"))).alias("hints"))
+    none = F.array().cast("array<struct<source: string, target: string>>")
+    return requests.join(listed, "segment_id", "left").withColumn("hints", F.coalesce("hints", none))
+
+
+def glossary(items: DataFrame, phase_name: str) -> DataFrame:
+    """(source, target) of the hints for a phase: what earlier phases translated that may be one there, each source with its
+    only target.  Items have file_type, segment_type, is_reference_key, validation and can_save besides."""
+    good = is_success(F.col("status"), F.col("validation"), F.col("can_save"), F.col("translated_text"))
+    fits = glossary_source(F.col("original_text"), F.col("translated_text"), good)
+    mask = glossary_mask(F.col("file_type"), F.col("segment_type"), F.col("is_reference_key")).bitwiseAND(F.lit(MASKS[phase_name]))
+    own = items.where(fits & (mask != 0)).select(T.trimmed(F.col("original_text")).alias("source"), T.trimmed(F.col("translated_text")).alias("target"))
+    return only_one(own, ["source"], "target")
+
+
+def by_phases(items: DataFrame, provider: Provider, source: str, target: str, feed: bool = False, **options) -> DataFrame:
+    """The loop over the phases in order; a later phase has the results of those before it (items have a phase).  With
+    ``feed`` the glossary is made anew before each phase from what is translated by then, and its requests carry hints."""
     done = None
     for name in PHASES:
         own = items.where(F.col("phase") == name)
-        known = None if done is None else done.where(F.col("status").isin(SUCCESS)).groupBy("original_text").agg(F.min("translated_text").alias("__a"), F.max("translated_text").alias("__b")).where("__a = __b")
+        known = None if done is None else only_one(done.where(F.col("status").isin(SUCCESS)), ["original_text"], "translated_text").withColumnRenamed("translated_text", "__a")
         if known is not None:
             own = own.join(known, "original_text", "left")
             take = F.col("__a").isNotNull() & F.col("status").isin(OPEN)
             own = own.withColumn("translated_text", F.when(take, F.col("__a")).otherwise(F.col("translated_text"))).withColumn("status", F.when(take, "DONE").otherwise(F.col("status"))).select(*items.columns)
-        result = saved(translated(own, provider, source, target, **options), f"phase-{name}")
+        own_hints = {"hints": saved(glossary(done, name), f"hints-{name}")} if feed and done is not None else {}
+        result = saved(translated(own, provider, source, target, **own_hints, **options), f"phase-{name}")
         done = result if done is None else done.unionByName(result)
     return done

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.particles import ends_in_leading, leading_particle
+
 from quillspark.operators.intervals import apply_edits, inside, without_overlap
 
 EDIT = ["document_id", "start", "length", "value"]
@@ -27,6 +29,34 @@ def chosen_edits(segments: DataFrame, planned: DataFrame, particles: DataFrame,
     return out
 
 
+def led_particles(segments: DataFrame, key: str, order: str, value: str, reset: Column) -> DataFrame:
+    """The segments of each key in order, a particle that a value begins with put right by what is put out before it.
+
+    What is put out may itself have been put right, so a value follows from all before it.  But only the end of the value
+    before counts, and that changes only where a value ends in its leading particle; so runs of such values are folded
+    from their first on, and all others stand alone.  ``reset``: a segment that is left as it is and tells nothing."""
+    w = Window.partitionBy(key).orderBy(order)
+    own = segments.withColumn("__reset", reset)
+    before = F.lag(F.when(~F.col("__reset"), F.col(value))).over(w)
+    own = own.withColumn("__before", before).withColumn("__open", ~F.col("__reset") & ends_in_leading(F.col(value)))
+    begins = F.col("__reset") | F.col("__before").isNull() | ~F.lag("__open").over(w)
+    own = own.withColumn("__begins", begins).withColumn("__run", F.sum(F.col("__begins").cast("int")).over(w))
+    own = own.withColumn("__alone", F.col("__begins") & F.coalesce(F.lead("__begins").over(w), F.lit(True)))
+    alone = own.where("__alone").withColumn(value, F.when(F.col("__reset"), F.col(value)).otherwise(leading_particle(F.col("__before"), F.col(value))))
+    rest = own.where("not __alone")
+    rows = rest.groupBy(key, "__run").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__before").alias("b"), F.col(value).alias("v"), F.col("__reset").alias("r")))).alias("rows"))
+    zero = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        put = F.when(x["r"], x["v"]).otherwise(leading_particle(F.coalesce(a["last"], x["b"]), x["v"]))
+        return F.element_at(F.transform(F.array(put), lambda p: F.struct(F.when(~x["r"], p).alias("last"), F.concat(a["out"], F.array(p)).alias("out"))), 1)
+
+    folded = rows.select(key, "__run", F.col("rows.o").alias("o"), F.aggregate("rows", zero, step, lambda a: a["out"]).alias("out"))
+    folded = folded.select(key, F.explode(F.arrays_zip("o", "out")).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.out").alias("__new"))
+    put = rest.join(folded, [key, order]).withColumn(value, F.col("__new"))
+    return alone.select(*segments.columns).unionByName(put.select(*segments.columns))
+
+
 def written(documents: DataFrame, edits: DataFrame) -> DataFrame:
     """(document_id, text, edits): documents (document_id, text) with their disjoint edits put in."""
     own = edits.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "value"))).alias("e"))

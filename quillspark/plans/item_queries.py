@@ -67,9 +67,9 @@ def lexicon_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.looked_up(terms, "c_custkey", "term", lexicon)
 
 
-@query(f"""SELECT {N} FROM part WHERE {N} % 32 & 6 <> 0 AND p_size % 2 = 1 AND substr(p_name, 1, 1) IN (SELECT DISTINCT unnest(string_split(c_mktsegment, '')) FROM customer)""")
+@query(f"""SELECT {N} FROM part WHERE {N} % 32 & 6 <> 0 AND p_size % 2 = 1 AND upper(substr(p_name, 1, 1)) IN (SELECT DISTINCT unnest(string_split(c_mktsegment, '')) FROM customer)""")
 def eligible_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = table(spark, sf_dir, "part").select(N, F.substring("p_name", 1, 1).alias("first_char"), (F.col(N) % 32).alias("mask"), (F.col("p_size") % 2).alias("version"))
+    entries = table(spark, sf_dir, "part").select(N, F.upper(F.substring("p_name", 1, 1)).alias("first_char"), (F.col(N) % 32).alias("mask"), (F.col("p_size") % 2).alias("version"))
     return M.eligible_hints(entries, table(spark, sf_dir, "customer"), "c_mktsegment", 6, 1).select(N)
 
 

@@ -321,9 +321,11 @@ def merged_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.by_precedence(layers, ["k"])
 
 
-@query("""SELECT p_type, p_name FROM (SELECT p_type, min(p_name) AS p_name FROM part WHERE p_size > 5 GROUP BY 1 HAVING count(DISTINCT p_name) = 1) ORDER BY length(p_type) DESC, p_type LIMIT 40""")
+@query("""WITH t AS (SELECT p_brand || ' ' || p_name || ' ' || CAST(p_size % 9 AS VARCHAR) AS term, p_type FROM part)
+  SELECT term, p_type FROM (SELECT term, min(p_type) AS p_type FROM t GROUP BY 1 HAVING count(DISTINCT p_type) = 1) ORDER BY length(term) DESC, term LIMIT 40""")
 def longest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forty longest terms that have one target: a report."""
-    return L.one_target_terms(table(spark, sf_dir, "part").where("p_size > 5"), "p_type", "p_name").limit(40)
+    term = F.concat_ws(" ", "p_brand", "p_name", (F.col("p_size") % 9).cast("string"))
+    return L.one_target_terms(table(spark, sf_dir, "part").select(term.alias("term"), "p_type"), "term", "p_type").limit(40)
 
 
