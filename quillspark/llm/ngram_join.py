@@ -33,12 +33,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _words as W
 from quillspark.llm._shared import Bitmap, Workspace, membership, salted_join
-from quillspark.llm.near_dedup import BLOCK_MEMBERS, BLOCK_SHINGLES, PARITY_BITS, connected_components, shingles
+from quillspark.llm.near_dedup import BLOCK_MEMBERS, BLOCK_SHINGLES, connected_components, shingles
 
 SHINGLE = 4
 PERCENT = 85
@@ -46,6 +46,7 @@ PERCENT = 85
 BAND = 1.38
 SINGLE = 5
 LEVELS = 4
+LEAST_BITS = 1024
 #: Places of a key in the bitmap of crowded keys, each a rotation of its bits.
 TURNS = (0, 16, 32, 48)
 #: Bytes of everything but blanks.
@@ -216,11 +217,26 @@ def turned(keys: DataFrame) -> DataFrame:
     return keys.select(F.explode(F.array(key, *(F.shiftrightunsigned(key, t).bitwiseOR(F.shiftleft(key, 64 - t)) for t in TURNS[1:]))).alias("h"))
 
 
-def parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(texts x longs) sketches whose bits are the parities of hashed shingles: two differ in at most as many bits as sets."""
-    text = np.repeat(np.arange(len(counts)), counts)
-    odd = np.bincount(text * PARITY_BITS + (hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=len(counts) * PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(counts), PARITY_BITS // 64)
+def parities(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches (longs end to end, and how many each text has) whose bits are the parities of hashed shingles: two of one
+    length differ in at most as many bits as their sets.  A sketch has a bit for each shingle, rounded up to a power of
+    two; the halves of one, put together by exclusive or, are the sketch of half as many bits."""
+    bits = 1 << np.ceil(np.log2(np.maximum(counts, LEAST_BITS))).astype(np.int64)
+    first = np.cumsum(bits) - bits
+    at = np.repeat(first, counts) + (hashes & (np.repeat(bits, counts) - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(bits.sum())) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64), bits >> 6
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """(texts x longs) of sketches brought to the length of the shortest."""
+    length = min(map(len, sketches))
+    out = []
+    for x in sketches:
+        while len(x) > length:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out.append(x)
+    return np.stack(out)
 
 
 def _list(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -253,7 +269,7 @@ def _likely(marks, crowded):
                 picked[own] = True
                 words = s.words.hashes[np.repeat(picked, s.words.counts())].astype(np.uint32).view(np.int32)
                 odd = parities(s.hashes[np.repeat(picked, s.counts)], s.counts[own])
-                columns = [fp, pa.array(s.counts[own]), _list(keys[order].view(np.int64), n_keys), _list(odd.reshape(-1), np.full(len(own), odd.shape[1])), _list(words, n_words)]
+                columns = [fp, pa.array(s.counts[own]), _list(keys[order].view(np.int64), n_keys), _list(*odd), _list(words, n_words)]
                 yield pa.RecordBatch.from_arrays(columns, ["fp", "n", "keys", "odd", "words"])
 
     return run
@@ -299,7 +315,7 @@ def far(n: np.ndarray, odd: np.ndarray, label: np.ndarray, blocks: np.ndarray, i
 def _block(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A group's members in order of their blocks: sizes, sketches, classes and blocks."""
     table = table.sort_by("block").combine_chunks()
-    odd = table.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+    odd = folded([x.values.to_numpy().view(np.uint64) for x in table.column("odd").combine_chunks()])
     label = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
     return table, table.column("n").to_numpy(), odd, label, table.column("block").to_numpy()
 
@@ -355,6 +371,12 @@ def settled(members: DataFrame, likely: DataFrame, verified: Callable[[DataFrame
     return verified(mixed.where("m = 2").select(F.col("x").alias("fp"), F.col("y").alias("c")).distinct()).union(links)
 
 
+def halved(sketch: str, other: str) -> Column:
+    """The sketch with its halves put together if it is longer than the other."""
+    half = (F.size(sketch) / 2).cast("int")
+    return F.when(F.size(sketch) > F.size(other), F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(sketch))
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
@@ -397,7 +419,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     centre = placed.select(F.col("fp").alias("c"), F.col("n").alias("n_c"), F.col("odd").alias("odd_c"), F.col("root").alias("root_c"))
     rest = pairs.select("fp", "c").join(best, ["fp", "c"], "left_anti").join(placed, "fp")
     rest = salted_join(rest, centre, "c", F.col("fp"))
-    differ = F.aggregate(F.zip_with("odd", "odd_c", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    # sets of such sizes have sketches of one length, or of twice the other's
+    differ = F.aggregate(F.zip_with(halved("odd", "odd_c"), halved("odd_c", "odd"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     sizes = 100 * F.least("n", "n_c") >= PERCENT * F.greatest("n", "n_c")
     rest = space.save(rest.where((F.col("root") != F.col("root_c")) & sizes & (differ <= F.floor(F.lit(100 - PERCENT) * (F.col("n") + F.col("n_c")) / (100 + PERCENT)))).select("fp", "c"), "rest")
     links = links.union(space.save(verified(rest), "more"))
