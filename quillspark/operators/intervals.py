@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +95,51 @@ def nesting_depth(rows: DataFrame, key: str, order: str, opens: Column, closes:
     """The rows with depth: how many openings are open before each row."""
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("depth", F.coalesce(F.sum(opens.cast("int") - closes.cast("int")).over(before), F.lit(0)))
+
+
+STACK_BLOCK = 4096
+
+
+def stack_contents(rows: DataFrame, key: str, order: str, value: str, opens: str, closes: str, block: int = STACK_BLOCK) -> DataFrame:
+    """The rows (key, order, value, opens, closes) with ``stack``: the values that are open before each, outermost first.
+
+    A row that closes takes the innermost value off (none, if the stack is empty), one that opens puts its own on; one that
+    does both closes first.  ``order`` are integers.  Rows are dealt to blocks of ``block`` numbers; what a block does to any
+    stack is how many values it takes off and which it leaves, so the stacks at the starts of blocks follow from those
+    summaries alone, and no script, however long, is one task."""
+    own = rows.withColumn("__block", F.floor(F.col(order) / block))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = [key, order, value, opens, closes]
+
+    def moves(part: pd.DataFrame) -> Iterator[tuple[bool, bool, object]]:
+        ordered = part.sort_values(order)
+        yield from zip(ordered[opens], ordered[closes], ordered[value], strict=True)
+
+    def summary(part: pd.DataFrame) -> pd.DataFrame:
+        taken, left = 0, []
+        for o, c, v in moves(part):
+            if c:
+                taken, left = (taken, left[:-1]) if left else (taken + 1, left)
+            if o:
+                left.append(v)
+        return pd.DataFrame([(part[key].iloc[0], part["__block"].iloc[0], taken, left)], columns=[key, "__block", "taken", "left"])
+
+    def starts(part: pd.DataFrame) -> pd.DataFrame:
+        out, stack = [], []
+        for b, taken, left in part.sort_values("__block")[["__block", "taken", "left"]].itertuples(index=False):
+            out.append((part[key].iloc[0], b, list(stack)))
+            stack = stack[: max(0, len(stack) - taken)] + list(left)
+        return pd.DataFrame(out, columns=[key, "__block", "__start"])
+
+    def contents(part: pd.DataFrame) -> pd.DataFrame:
+        stack, out = list(part["__start"].iloc[0]), []
+        for o, c, v in moves(part):
+            out.append(list(stack))
+            stack = stack[:-1] if c else stack
+            stack = [*stack, v] if o else stack
+        return part.sort_values(order)[names].assign(stack=out)
+
+    summaries = own.groupBy(key, "__block").applyInPandas(summary, f"`{key}` {kind[key]}, __block long, taken int, left array<{kind[value]}>")
+    first = summaries.groupBy(key).applyInPandas(starts, f"`{key}` {kind[key]}, __block long, __start array<{kind[value]}>")
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in names) + f", stack array<{kind[value]}>"
+    return own.select(*names, "__block").join(first, [key, "__block"]).groupBy(key, "__block").applyInPandas(contents, schema)
