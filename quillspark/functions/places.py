@@ -53,3 +53,18 @@ def replaced(text: Column, pattern: str, value: Callable[[Column], Column]) -> C
     hits = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit(None).cast("string")))
     parts = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.concat(g, F.when(h.isNull(), "").otherwise(value(h))))
     return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+
+
+def beyond(text: Column) -> Column:
+    """The places of the characters that take two UTF-16 units."""
+    return F.transform(found(text, r"[\x{10000}-\x{10FFFF}]"), lambda h: h["start"])
+
+
+def to_utf16(place: Column, wide: Column) -> Column:
+    """A place in code points as one in UTF-16 units; ``wide`` are the text's places ``beyond``, worked out once a text."""
+    return place + F.size(F.filter(wide, lambda w: w < place))
+
+
+def from_utf16(unit: Column, wide: Column) -> Column:
+    """A place in UTF-16 units as one in code points; a place inside a pair is that of its character."""
+    return unit - F.size(F.filter(F.transform(wide, lambda w, i: w + i), lambda u: u < unit))
