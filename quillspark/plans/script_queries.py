@@ -69,6 +69,44 @@ def script_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.segments(lines, symbols.lookup_arrays(lines))
 
 
+MIXED = [
+    'CALL 登録(A, @"夜に%NAME:1%と@wで会った", "日記@n")',
+    'X = EXISTS(@"_{GETS("倉庫", 番号, "名前")}_")',
+    "PRINTFORML 　体力：{A}円　　@w：{B}分",
+    'PRINTFORM \\@ A > 0 ?[1]%名前(A) + "所有@n",24,LEFT% # 未@w  \\@',
+    "PRINTFORMW %NAME:1%の",
+    "X = 計算(処理(A)) + @w",
+    "PRINTFORML [2] - 一覧(@w別)",
+    "PRINT <@w>",
+    'CALL F(G(H(I(J("深い@n")))))',
+    'Y = GETCONFIG(F(G(H("無"))))',
+    "#DIMS 名@n =",
+    '  "一つ, 目@n",',
+    ';注 "無"',
+    '  "@w"',
+]
+
+
+@query(places_sql(MIXED, "p_partkey", "part", [
+    (0, 'CALL 登録(A, @"', "夜に%NAME:1%と@wで会った", _kind("raw-string")),
+    (0, 'CALL 登録(A, @"夜に%NAME:1%と@wで会った", "', "日記@n", _kind("quoted-string")),
+    (2, "PRINTFORML 　", "体力：{A}円", _kind("print-tail")),
+    (2, "PRINTFORML 　体力：{A}円　　", "@w：{B}分", _kind("print-tail")),
+    (3, 'PRINTFORM \\@ A > 0 ?[1]%名前(A) + "', "所有@n", _kind("inline-conditional-left-fragment")),
+    (3, 'PRINTFORM \\@ A > 0 ?[1]%名前(A) + "所有@n",24,LEFT% # ', "未@w", _kind("inline-conditional-right")),
+    (4, "PRINTFORMW ", "%NAME:1%の", _kind("print-tail-fragment")),
+    (5, "X = 計算(処理(A)) + ", "@w", _kind("assignment-fragment")),
+    (6, "PRINTFORML ", "[2] - 一覧(@w別)", _kind("print-tail")),
+    (7, "PRINT <", "@w", _kind("print-tail-fragment")),
+    (8, 'CALL F(G(H(I(J("', "深い@n", _kind("quoted-string")),
+    (11, '  "', "一つ, 目@n", _kind("directive-string")),
+    (13, '  "', "@w", _kind("directive-string")),
+]))
+def mixed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings with script inside, strings shown in percent expressions, layout, terms, deep calls, lists over lines."""
+    return segments.segments(script.logical_lines(scripts(table(spark, sf_dir, "part"), "p_partkey", MIXED)))
+
+
 SYMBOLS = [
     "@関数@n(引数, ARG:1)",
     'LOCALS = "@w"',
@@ -169,16 +207,13 @@ def lookup_key_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKING = ["%CALLNAME:@n%은/는 왔다", "%조사처리(NAME:@n,\"이\")% 왔다", "%플레이어는(@n)% 왔다", "%타겟은()% 왔다", "%MASTER이% 왔다", "%ARG겠% 왔다", "그냥 @n", "%조사만선택( ~ ,\"을/를\")%%조수를%"]
 ASKED = {
     0: [("", "%CALLNAME:@n%은/는", '%조사처리(CALLNAME:@n,"는")%', "postfix", "function")],
-    1: [("", '%조사처리(NAME:@n,"이")%', '%조사처리(NAME:@n,"가")%', "function", "function")],
+    1: [("", '%조사처리(NAME:@n,"이")%', '%조사처리(NAME:@n,"이")%', "function", "function")],
     2: [("", "%플레이어는(@n)%", '%조사처리(NAME:MASTER,"는")%', "legacy", "function")],
     3: [("", "%타겟은()%", "%타겟는%", "legacy", "macro")],
     4: [("", "%MASTER이%", "%플레이어가%", "macro", "macro")],
     5: [("", "%ARG겠%", '%조사처리(CALLNAME:ARG,"겠")%', "macro", "function")],
-    7: [("", '%조사만선택( ~ ,"을/를")%', '%조사만처리(~,"를")%', "function", "function"), ('%조사만선택( ~ ,"을/를")%', "%조수를%", "%조수를%", "macro", "macro")],
+    7: [("", '%조사만선택( ~ ,"을/를")%', '%조사만처리(~,"을")%', "function", "function"), ('%조사만선택( ~ ,"을/를")%', "%조수를%", "%조수를%", "macro", "macro")],
 }
-ASKED[1][0] = ("", '%조사처리(NAME:@n,"이")%', '%조사처리(NAME:@n,"이")%', "function", "function")
-ASKED[4][0] = ("", "%MASTER이%", "%플레이어가%", "macro", "macro")
-ASKED[7] = [("", '%조사만선택( ~ ,"을/를")%', '%조사만처리(~,"을")%', "function", "function"), ('%조사만선택( ~ ,"을/를")%', "%조수를%", "%조수를%", "macro", "macro")]
 _N = "p_partkey"
 OCCURRENCES = " UNION ALL ".join(
     f"SELECT {_N}, CAST(length({filled_sql(b, _N)}) AS INTEGER) AS start, CAST(length({filled_sql(v, _N)}) AS INTEGER) AS length, {filled_sql(v, _N)} AS value, {filled_sql(r, _N)} AS replacement, '{k}' AS kind, '{o}' AS output FROM part WHERE {_N} % {len(ASKING)} = {i}"
