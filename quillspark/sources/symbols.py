@@ -361,7 +361,11 @@ def identifiers(lines: DataFrame, namespaces: list[str] | None = None) -> DataFr
     parameters = listed(F.when(head, own).otherwise(F.lit("")), rf"(?<=[(,])\s*{NAME}", "variable", "argument", 0)
     parameters = F.transform(parameters, lambda p: p.withField("at", p["at"] + F.length(p["name"]) - F.length(F.ltrim(p["name"]))).withField("name", F.ltrim(p["name"])))
     every = F.concat(single, parameters, F.when(head | own.rlike(r"^\s*#(?!DIM)"), F.slice(called, 1, 0)).otherwise(F.concat(called, used)))
-    flat = rows.select("document_id", "line_number", "start", F.explode(every).alias("x")).select("document_id", "line_number", (F.col("start") + F.col("x.at")).alias("start"), "x.name", "x.kind", "x.role", "x.rank")
+    flat = rows.select("document_id", "line_number", "start", "own", F.explode(every).alias("x"))
+    # next to a point a name is a property, next to a colon a namespace or a key
+    before, after = F.substring(own, F.col("x.at"), F.lit(1)), F.substring(own, F.col("x.at") + F.length("x.name") + 1, F.lit(1))
+    flat = flat.where(~((F.col("x.at") > 0) & before.isin(".", ":")) & ~after.isin(".", ":"))
+    flat = flat.select("document_id", "line_number", (F.col("start") + F.col("x.at")).alias("start"), "x.name", "x.kind", "x.role", "x.rank")
     name = F.col("name")
     fits = T.contains_translatable(name) & ~F.upper(name).isin([*RESERVED, *spaces]) & ~T.is_numeric_like(name) & ~name.isin(INFLECTIONS) & ~name.rlike(r"^[\x{3040}-\x{309F}]$")
     first = F.min(F.struct("rank", "role", "line_number", "name")).alias("x")

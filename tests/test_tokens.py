@@ -108,3 +108,10 @@ def test_literals_of_variables(spark):
     assert {(r.variable, r.key, text[r.start : r.start + r.length]) for r in got} == {("a", "甲", "甲"), ("b", "乙", "乙"), ("名", "己", "己")}
     found = {(r.namespace, r.variable, tuple(r.candidates), r.resolution) for r in symbols.references(own).collect()}
     assert found == {("TALENT", "A", ("甲",), "resolved"), ("ITEM", "名", ("己",), "resolved")}
+
+
+def test_names_of_properties_and_namespaces(spark):
+    text = "合計 = 箱.重さ + 重さ\n札:0 = 1\n重さ.値 = 合計"
+    got = symbols.identifiers(lines(spark, text)).collect()
+    assert {(r.line_number, r.name, r.role) for r in got} == {(0, "合計", "assignment"), (0, "重さ", "reference"), (2, "合計", "reference")}
+    assert all(text[r.start : r.start + r.length] == r.name for r in got)
