@@ -32,7 +32,8 @@ ALPHA = 1.0
 SEED = 1234
 SPACE = 0x2581
 NO_CHAR = 0x110000
-CHUNK = 2 << 20
+#: A worker holds about 100 bytes for each byte of a chunk, next to an executor's full heap.
+CHUNK = 1 << 20
 ADDED = ("n_pieces", "pieces", "lossless")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -133,11 +134,19 @@ class Lattice:
 def build(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray) -> Lattice:
     """The lattices of units given as code points laid end to end."""
     n = len(codes)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    unit = np.repeat(np.arange(len(sizes)), sizes)
-    left = first[unit] + sizes[unit] - np.arange(n)
-    src, length, piece = [], [], []
-    at, h = np.arange(n), np.zeros(n, np.uint64)
+    # places in half the bytes, if all edges (one more a character than there are lengths) can be counted so
+    small = np.int32 if n < 1 << 26 else np.int64
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(small)
+    unit = np.repeat(np.arange(len(sizes), dtype=small), sizes)
+    left = np.repeat((first + sizes).astype(small), sizes) - np.arange(n, dtype=small)
+    end, node, piece = [], [], []
+    at, h = np.arange(n, dtype=small), np.zeros(n, np.uint64)
+
+    def add(chars: np.ndarray, k: int, ids: np.ndarray) -> None:
+        node.append(chars + unit[chars])
+        end.append(node[-1] + small(k))
+        piece.append(ids.astype(np.int32))
+
     # longest pieces first among the edges of a node: the lists are put together backwards
     for k, (keys, slots, ids) in enumerate(zip(v.hashes, v.slots, v.ids, strict=True), 1):
         more = left[at] >= k
@@ -146,39 +155,37 @@ def build(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray) -> Lattice:
         if k == 1:
             single = np.zeros(n, bool)
             single[at[known & (ids[place] >= 0)]] = True
-            lone = np.flatnonzero(~single)
-            src.append(lone)
-            length.append(np.ones(len(lone), np.int64))
-            piece.append(np.full(len(lone), -1, np.int64))
+            lone = np.flatnonzero(~single).astype(small)
+            add(lone, 1, np.full(len(lone), -1))
+            del single, lone
         at, h, place = at[known], h[known], place[known]
         whole = ids[place] >= 0
-        src.append(at[whole])
-        length.append(np.full(int(whole.sum()), k, np.int64))
-        piece.append(ids[place][whole])
+        add(at[whole], k, ids[place[whole]])
         if not len(at):
             break
-    src, length, piece = (np.concatenate(x[::-1]) for x in (src, length, piece))
-    base = first + np.arange(len(sizes))
+    del at, h, place, known, whole, left
+    # nodes: one more than characters in each unit
+    base = first + np.arange(len(sizes), dtype=small)
     forward = np.full(n + len(sizes), -np.inf)
     forward[base] = 0.0
-    # nodes: one more than characters in each unit
-    end = src + unit[src] + length
+    end, node, piece = np.concatenate(end[::-1]), np.concatenate(node[::-1]), np.concatenate(piece[::-1])
     order = np.argsort(end, kind="stable")
-    end, node, piece = end[order], (src + unit[src])[order], piece[order]
-    del src, length, order
+    end, node, piece = end[order], node[order], piece[order]
+    del order, unit
     if not len(end):
-        return Lattice(base, np.asarray(sizes, np.int64), np.zeros(len(forward), np.int64), np.zeros(0), node, piece)
-    weight = np.where(piece < 0, 0.0, v.log_weight[np.maximum(piece, 0)])
+        return Lattice(base, np.asarray(sizes, small), np.zeros(len(forward), small), np.zeros(0), node, piece)
     # forward filtering: all edges that end k characters into their unit, for k = 1, 2, ...
-    depth = (np.arange(len(forward)) - np.repeat(base, sizes + 1))[end]
-    order = np.argsort(depth.astype(np.uint16) if depth.max() < 1 << 16 else depth, kind="stable")
+    depth = (np.arange(len(forward), dtype=small) - np.repeat(base, sizes + 1))[end]
+    depth = depth.astype(np.uint16) if depth.max() < 1 << 16 else depth
+    order = np.argsort(depth, kind="stable").astype(small)
     stops = np.concatenate([[0], np.flatnonzero(np.diff(depth[order])) + 1, [len(order)]]).tolist()
     del depth
     share = np.empty(len(node))
     for a, b in zip(stops[:-1], stops[1:], strict=True):
         at = order[a:b]
         into = end[at]
-        value = forward[node[at]] + weight[at]
+        own = piece[at]
+        value = forward[node[at]] + np.where(own < 0, 0.0, v.log_weight[np.maximum(own, 0)])
         heads = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
         counts = np.diff(np.append(heads, b - a))
         top = np.maximum.reduceat(value, heads)
@@ -186,20 +193,22 @@ def build(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray) -> Lattice:
         total = np.add.reduceat(part, heads)
         forward[into[heads]] = top + np.log(total)
         share[at] = part / np.repeat(total, counts)
-    del order, weight
+    del order
     heads = np.concatenate([[True], end[1:] != end[:-1]])
     upper = np.cumsum(share)
-    upper -= np.maximum.accumulate(np.where(heads, upper - share, -1.0))
+    before = np.subtract(upper, share, out=share)
+    before[~heads] = -1.0
+    upper -= np.maximum.accumulate(before, out=before)
     upper[np.append(heads[1:], True)] = 2.0
-    nodes_first = np.zeros(len(forward), np.int64)
+    nodes_first = np.zeros(len(forward), small)
     nodes_first[end[heads]] = np.flatnonzero(heads)
-    return Lattice(base, np.asarray(sizes, np.int64), nodes_first, upper, node, piece)
+    return Lattice(base, np.asarray(sizes, small), nodes_first, upper, node, piece)
 
 
 def sample(x: Lattice, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The edges drawn for occurrences of units, in text order, and the occurrence of each."""
     at = x.base[unit] + x.size[unit]
-    who = np.flatnonzero(x.size[unit] > 0)
+    who = np.flatnonzero(x.size[unit] > 0).astype(at.dtype)
     found, owner, steps = [], [], []
     step = 0
     while len(who):
@@ -212,15 +221,16 @@ def sample(x: Lattice, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, n
             more = more[x.upper[edge[more]] <= chance[more]]
         found.append(edge)
         owner.append(who)
-        steps.append(np.full(len(who), step))
+        steps.append(np.full(len(who), step, at.dtype))
         at[who] = x.source[edge]
         who = who[at[who] > x.base[unit[who]]]
         step += 1
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge, owner, steps = np.concatenate(found), np.concatenate(owner), np.concatenate(steps)
+    del found
     counts = np.bincount(owner, minlength=len(unit))
-    out = np.empty(len(edge), np.int64)
+    out = np.empty(len(edge), edge.dtype)
     ends = np.cumsum(counts)
     place = ends[owner] - 1 - steps
     out[place] = edge
@@ -240,8 +250,12 @@ def encode_chunk(v: Vocabulary, data: np.ndarray, at: np.ndarray, keys: np.ndarr
     end = np.append(begin[1:], n)
     up, down = W.powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    sums[1:] = data
+    sums[1:] += np.uint64(1)
+    sums[1:] *= up[:n]
+    np.cumsum(sums, out=sums)
     name = W.mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    del sums, space, control, start
     _, where, unit = np.unique(name, return_index=True, return_inverse=True)
     # the distinct units' bytes, then code points
     b, e = begin[where], end[where]

@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -379,6 +380,29 @@ def test_pieces_follow_the_lattice(spark):
         assert abs(drawn[x] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
 
 
+def test_pieces_take_little_memory():
+    v, draw = pieces.Vocabulary.read(), random.Random(3)
+    known = ["".join(draw.choices("aeiounrstlmd", k=draw.randint(2, 11))) for _ in range(60_000)]
+    texts = [" ".join(draw.choices(known, k=300)).encode() for _ in range(2000)]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data, keys = np.frombuffer(b"".join(texts), np.uint8), np.arange(len(texts)).astype(np.uint64)
+    pieces.W.powers(pieces.CHUNK + 1)
+
+    def encoded(limit: int) -> list[int]:
+        parts = [pieces.encode_chunk(v, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], keys[lo:hi])[0] for lo, hi in pieces.W.chunks(at, limit)]
+        return np.concatenate(parts).tolist()
+
+    few = encoded(1 << 18)
+    tracemalloc.start()
+    try:
+        all_at_once = encoded(pieces.CHUNK)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all_at_once == few
+    assert peak < 120e6
+
+
 def test_pieces_are_reproducible_and_lossless(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "Hello  wörld\n\tfoo ▁x 😀 ;\r\n\x00"), (-2, None)], "doc_id long, text string"))
     a = pieces.encode(docs)
