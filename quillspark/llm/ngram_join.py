@@ -14,11 +14,13 @@ cells are all empty then has more than ``spare`` parts with two empty cells in b
 the signatures of another partition (``LEVELS`` of them, the last one with its empty cells), where the pair meets.  So
 each pair that links shares a signature; there is no chance in it.
 
-Equal sets are one text from the start.  Signatures are counted; only texts with one that another text has too are kept
-with their words.  A signature first links its texts to the one of least number only (each text is compared with its most
-frequent such centre, then with the others that are of another class); signatures whose texts are then in several classes
-are settled by comparing all members of different classes, in blocks, first by a parity sketch, then
-exactly.  Classes are connected components (large-star, small-star).
+Equal sets are one text from the start.  Signatures are counted in buckets of their first bits, by the next 32 bits of
+each; a text whose signature only seems to be shared falls out when whole signatures are compared.  Only texts with one
+that another text has too are kept with their words.  A signature first links its texts to the one of least number only
+(each text is compared with its most frequent such centre, then with the others that are of another class); signatures
+whose texts are then in several classes are settled by comparing all members of different classes, in blocks, many
+signatures at once.  Pairs are compared by their sizes and a parity sketch first, and only those that pass
+exactly by their words.  Classes are connected components (large-star, small-star).
 
 Defined results: a text that is null or has no word has the empty set and links with nothing; repeated rows and equal
 sets are one class; the class id is the least id of the class (null if it has none); an empty table gives no rows;
@@ -27,7 +29,7 @@ further columns are ignored.  Sets and shingles are compared by hashes of 128 an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -47,6 +49,11 @@ BAND = 1.38
 SINGLE = 5
 LEVELS = 4
 LEAST_BITS = 1024
+FLAGS = 1 << 20
+#: Shingles for each bucket of signatures, about; signatures that a task holds; bytes of sketches or words of a pack of groups, about.
+BUCKET_SHINGLES = 1 << 19
+HELD = 1 << 21
+PACK_BYTES = 1 << 22
 #: Places of a key in the bitmap of crowded keys, each a rotation of its bits.
 TURNS = (0, 16, 32, 48)
 #: Bytes of everything but blanks.
@@ -164,13 +171,24 @@ class Sets:
         return W.mix(self.halves[0] + W.mix(ids[self.words.lo : self.words.hi].view(np.uint64)))
 
 
+def first_seen(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each shingle is the first of its kind in its text.  One sort of plain values tells which could be repeated,
+    and only those are put in order with their texts."""
+    key = W.mix(grams + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ordered = np.sort(key)
+    seen = np.zeros(FLAGS, bool)
+    seen[ordered[1:][ordered[1:] == ordered[:-1]] & np.uint64(FLAGS - 1)] = True
+    some = np.flatnonzero(seen[key & np.uint64(FLAGS - 1)])
+    some = some[np.lexsort((grams[some], doc[some]))]
+    new = np.ones(len(grams), bool)
+    new[some[1:]] = (grams[some[1:]] != grams[some[:-1]]) | (doc[some[1:]] != doc[some[:-1]])
+    return new
+
+
 def sets(column: pa.Array) -> Iterator[Sets]:
     for w in W.words(column, KINDS, W.LOWER):
         grams, doc = shingles(w, SHINGLE)
-        order = np.lexsort((grams, doc))
-        grams, doc = grams[order], doc[order]
-        new = np.ones(len(grams), bool)
-        new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
+        new = first_seen(grams, doc)
         grams, doc = grams[new], doc[new]
         counts = np.bincount(doc, minlength=w.hi - w.lo)
         halves = []
@@ -228,37 +246,67 @@ def parities(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.packbits(odd.astype(np.uint8)).view(np.int64), bits >> 6
 
 
-def folded(sketches: list[np.ndarray]) -> np.ndarray:
-    """(texts x longs) of sketches brought to the length of the shortest."""
-    length = min(map(len, sketches))
-    out = []
-    for x in sketches:
-        while len(x) > length:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        out.append(x)
-    return np.stack(out)
-
-
 def _list(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
 
 
-def _signatures(marks):
+def bucket_bits(shingles: int) -> int:
+    """Bits of a bucket's number, for so many shingles."""
+    return min(24, (shingles // BUCKET_SHINGLES).bit_length())
+
+
+def shortened(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of the first 32 + bits bits of signatures, by which they are counted."""
+    return W.mix(keys >> np.uint64(32 - bits))
+
+
+def _buckets(marks, bits: int):
+    """(bucket, rest) of the signatures: their first bits, and the next 32 of all in the bucket, at most twice for each."""
+
+    def filled(some: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(some) >> np.uint64(32 - bits))
+        again = np.zeros(len(keys), bool)
+        again[2:] = keys[2:] == keys[:-2]
+        keys = keys[~again]
+        bucket, first = np.unique((keys >> np.uint64(32)).astype(np.int32), return_index=True)
+        offsets = np.append(first, len(keys)) * 4
+        rest = keys.astype(np.uint32)
+        binary = pa.Array.from_buffers(pa.binary(), len(bucket), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(rest)])
+        return pa.RecordBatch.from_arrays([pa.array(bucket), binary], ["bucket", "rest"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [np.zeros(0, np.uint64)], 0
         for batch in batches:
             for _, _, keys, _ in _chosen(marks.value, batch):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+                some.append(keys)
+                n += len(keys)
+                if n >= HELD:
+                    yield filled(some)
+                    some, n = [np.zeros(0, np.uint64)], 0
+        yield filled(some)
+
+    return run
+
+
+def _repeated(bits: int):
+    """The shortened signatures that are in a bucket twice or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rest = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("rest").combine_chunks()]))
+        rest = np.unique(rest[1:][rest[1:] == rest[:-1]])
+        bucket = np.uint64(table.column("bucket")[0].as_py())
+        return pa.table({"key": W.mix((bucket << np.uint64(32)) | rest.astype(np.uint64)).view(np.int64)})
 
     return run
 
 
-def _likely(marks, crowded):
+def _likely(marks, crowded, bits: int):
     """Texts with signatures that others seem to have too, those signatures, and the text's words as 32-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, own, keys, text in _chosen(marks.value, batch):
-                some = has_all(crowded.value, keys)
+                some = has_all(crowded.value, shortened(keys, bits))
                 keys, text = keys[some], text[some]
                 order = np.argsort(text, kind="stable")
                 n_keys = np.bincount(text, minlength=len(own))
@@ -302,51 +350,116 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([out.column("fp"), out.column("c")], ["fp", "c"])
 
 
-def far(n: np.ndarray, odd: np.ndarray, label: np.ndarray, blocks: np.ndarray, i: int) -> np.ndarray:
-    """The later members of other classes (and, of two blocks, of the other one) that the i-th could link with by the sizes
-    and the sketches."""
-    to = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-    if blocks[0] != blocks[-1]:
-        to = to[blocks[to] != blocks[i]]
-    to = to[100 * np.minimum(n[to], n[i]) >= PERCENT * np.maximum(n[to], n[i])]
-    return to[np.bitwise_count(odd[to] ^ odd[i]).sum(axis=1, dtype=np.int64) <= most_apart(n[to] + n[i])]
+@dataclass
+class Pack:
+    """Groups (key, i, j) of members in order of their blocks, one behind the other."""
 
+    table: pa.Table
+    n: np.ndarray
+    label: np.ndarray
+    block: np.ndarray
+    end: np.ndarray
+    whole: np.ndarray
 
-def _block(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A group's members in order of their blocks: sizes, sketches, classes and blocks."""
-    table = table.sort_by("block").combine_chunks()
-    odd = folded([x.values.to_numpy().view(np.uint64) for x in table.column("odd").combine_chunks()])
-    label = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
-    return table, table.column("n").to_numpy(), odd, label, table.column("block").to_numpy()
+    @staticmethod
+    def of(table: pa.Table) -> Pack:
+        table = table.sort_by([(c, "ascending") for c in ("key", "i", "j", "block", "fp")]).combine_chunks()
+        key, i, j, block, n, root = (table.column(c).to_numpy() for c in ("key", "i", "j", "block", "n", "root"))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        first = np.flatnonzero(new)
+        return Pack(table, n, np.unique(root, return_inverse=True)[1], block, np.append(first[1:], len(key))[np.cumsum(new) - 1], i == j)
+
+    def lists(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The values of a column of lists, end to end, and where each begins."""
+        column = self.table.column(name).combine_chunks()
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return column.values.to_numpy(), column.offsets.to_numpy()
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The members of a group (of two blocks of it, if these are two) that are of different classes, as these are when the
+        pairs are asked for, and could link by the sizes and the sketches."""
+        values, offsets = self.lists("odd")
+        sketches = Sketches(values.view(np.uint64), offsets)
+        a = np.arange(len(self.n))
+        for step in range(1, len(self.n)):
+            a = a[a + step < self.end[a]]
+            if not len(a):
+                return
+            x, y = a, a + step
+            for some in (
+                lambda x, y: self.label[x] != self.label[y],
+                lambda x, y: self.whole[x] | (self.block[x] != self.block[y]),
+                lambda x, y: 100 * np.minimum(self.n[x], self.n[y]) >= PERCENT * np.maximum(self.n[x], self.n[y]),
+                lambda x, y: sketches.differ(x, y) <= most_apart(self.n[x] + self.n[y]),
+            ):
+                passed = some(x, y)
+                x, y = x[passed], y[passed]
+            if len(x):
+                yield x, y
+
+
+class Sketches:
+    """Sketches end to end, compared two by two; of two lengths, one is twice the other."""
+
+    def __init__(self, values: np.ndarray, offsets: np.ndarray):
+        self.lengths = np.diff(offsets)
+        self.tables = {}
+        for length in np.unique(self.lengths).tolist():
+            own, more = (np.flatnonzero(self.lengths == x) for x in (length, 2 * length))
+            rows, halves = values[offsets[own][:, None] + np.arange(length)], values[offsets[more][:, None] + np.arange(2 * length)]
+            at = np.zeros(len(self.lengths), np.int64)
+            at[own], at[more] = np.arange(len(own)), np.arange(len(more)) + len(own)
+            self.tables[length] = at, np.concatenate([rows, halves[:, :length] ^ halves[:, length:]])
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches of each pair differ."""
+        out, length = np.zeros(len(x), np.int64), np.minimum(self.lengths[x], self.lengths[y])
+        for own in np.unique(length).tolist():
+            at, rows = self.tables[own]
+            some = np.flatnonzero(length == own)
+            out[some] = np.bitwise_count(rows[at[x[some]]] ^ rows[at[y[some]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def near(table: pa.Table) -> pa.Table:
-    """The members of a signature (or of two blocks of it) that could link with one of another class."""
-    table, n, odd, label, blocks = _block(table)
-    wanted = np.zeros(len(n), bool)
-    for i in range(len(n) - 1):
-        to = far(n, odd, label, blocks, i)
-        wanted[to] = True
-        wanted[i] |= len(to) > 0
-    return table.filter(pa.array(wanted))
+    """The members of a pack of groups that could link with one of another class."""
+    pack = Pack.of(table)
+    wanted = np.zeros(len(pack.n), bool)
+    for x, y in pack.pairs():
+        wanted[x] = wanted[y] = True
+    return pack.table.filter(pa.array(wanted)).drop_columns(["pack"])
 
 
 def settle(table: pa.Table) -> pa.Table:
-    """Links between the classes of a signature, or of two blocks of it."""
-    table, n, odd, label, blocks = _block(table)
-    own = [word_set(x.values.to_numpy(zero_copy_only=False)) for x in table.column("words").combine_chunks()]
+    """Links between the classes of the groups of a pack."""
+    pack = Pack.of(table)
+    values, offsets = pack.lists("words")
+    fp, label = pack.table.column("fp").to_numpy(), pack.label
+    own: dict[int, np.ndarray] = {}
     links = []
-    for i in range(len(n) - 1):
-        for j in far(n, odd, label, blocks, i).tolist():
-            if label[j] != label[i] and linked(own[i], own[j]):
-                links.append((i, j))
-                label[label == label[j]] = label[i]
+    for x, y in pack.pairs():
+        for pair in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = pair
+            if label[a] == label[b]:
+                continue
+            for k in pair:
+                if fp[k] not in own:
+                    own[fp[k]] = word_set(values[offsets[k] : offsets[k + 1]])
+            if linked(own[fp[a]], own[fp[b]]):
+                links.append(pair)
+                label[label == label[b]] = label[a]
     a, b = np.array(links, np.int64).reshape(-1, 2).T
-    fps = table.column("fp").combine_chunks()
-    return pa.Table.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b))], ["fp", "c"])
+    return pa.table({"fp": fp[a], "c": fp[b]})
+
 
+def packed(groups: DataFrame, n_bytes: Column) -> DataFrame:
+    """The groups (key, i, j, ...) dealt to packs, each worked on at once."""
+    total = groups.agg(F.coalesce(F.sum(n_bytes), F.lit(0))).first()[0]
+    return groups.withColumn("pack", F.pmod(F.xxhash64("key", "i", "j"), F.lit(1 + int(total) // PACK_BYTES)))
 
-def settled(members: DataFrame, likely: DataFrame, verified: Callable[[DataFrame], DataFrame], space: Workspace) -> DataFrame:
+
+def settled(members: DataFrame, likely: DataFrame, space: Workspace) -> DataFrame:
     """Links (fp, c) between classes that share a signature, of members (key, fp, n, root).
 
     Signatures of the same members are settled once.  Only members that sizes and sketches let pass bring their words."""
@@ -356,19 +469,35 @@ def settled(members: DataFrame, likely: DataFrame, verified: Callable[[DataFrame
     mixed = about.where("a != b").groupBy("m", "all_n", "x", "y", "x1", "x2").agg(F.min("key").alias("key"))
     mixed = space.save(mixed, "mixed")
     parts = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("all_n") / BLOCK_SHINGLES)).cast("int")
-    own = salted_join(members, mixed.where("m > 2").select("key", parts.alias("parts")), "key", F.col("fp")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root")
-    own = salted_join(own, likely.select(F.col("t").alias("fp"), "n", "odd"), "fp", F.struct("key", "i", "j"))
+    own = salted_join(members, mixed.select("key", parts.alias("parts")), "key", F.col("fp"), counts=mixed.select("key", F.col("m").alias("n")))
+    own = own.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = space.save(own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root", "n"), "own")
     row = "key long, i int, j int, block int, fp long, root long, n long, odd array<long>"
-    close = space.save(own.select("key", "i", "j", "block", "fp", "root", "n", "odd").groupBy("key", "i", "j").applyInArrow(near, row), "close")
+    own = packed(own, F.greatest("n", F.lit(LEAST_BITS)) / 8 + 64)
+    own = salted_join(own, likely.select(F.col("t").alias("fp"), "odd"), "fp", F.struct("key", "i", "j"))
+    close = space.save(own.select("key", "i", "j", "block", "fp", "root", "n", "odd", "pack").groupBy("pack").applyInArrow(near, row), "close")
     # most signatures of a family leave the same members
     group = close.groupBy("key", "i", "j").agg(F.count("*").alias("m"), F.min("fp").alias("x"), F.max("fp").alias("y"), *same)
     group = group.groupBy("m", "x", "y", "x1", "x2").agg(F.min(F.struct("key", "i", "j")).alias("g"), F.max("m").alias("n")).select("g.*", "n")
     close = salted_join(close.withColumn("g", F.xxhash64("key", "i", "j")), group.select(F.xxhash64("key", "i", "j").alias("g")), "g", F.col("fp"), counts=group.select(F.xxhash64("key", "i", "j").alias("g"), "n"))
-    words = likely.select(F.col("t").alias("fp"), "words")
-    links = salted_join(space.save(close.drop("g"), "groups"), words, "fp", F.struct("key", "i", "j")).groupBy("key", "i", "j").applyInArrow(settle, "fp long, c long")
-    return verified(mixed.where("m = 2").select(F.col("x").alias("fp"), F.col("y").alias("c")).distinct()).union(links)
+    close = space.save(close.drop("g"), "groups")
+    full = salted_join(packed(close, 5 * F.col("n") + 256), held(likely, close.select("fp")), "fp", F.struct("key", "i", "j"))
+    return full.groupBy("pack").applyInArrow(settle, "fp long, c long")
+
+
+def _wanted(bitmap):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(bitmap.value.has(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64))))
+            yield batch.select(["fp", "words"])
+
+    return run
+
+
+def held(likely: DataFrame, some: DataFrame) -> DataFrame:
+    """(fp, words) of the texts (fp) and perhaps of others."""
+    bitmap = some.sparkSession.sparkContext.broadcast(membership(some.distinct(), F.xxhash64("fp")))
+    return likely.select(F.col("t").alias("fp"), "words", F.xxhash64("t").alias("h")).transform(W.mapped, _wanted(bitmap), "fp long, words array<int>")
 
 
 def halved(sketch: str, other: str) -> Column:
@@ -387,14 +516,14 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = space.save(rows.where("fp is not null").groupBy("fp").agg(F.min("mark").alias("mark"), F.min("id").alias("first_id"), F.count("*").alias("copies")), "texts")
     marks = spark.sparkContext.broadcast(membership(texts, F.col("mark")))
     # one of each kind of text gives its signatures
-    keys = own.where("text is not null").select("h", "text").transform(W.mapped, _signatures(marks), "key long")
-    crowded = space.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "crowded")
+    bits = bucket_bits(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    buckets = own.where("text is not null").select("h", "text").transform(W.mapped, _buckets(marks, bits), "bucket int, rest binary")
+    crowded = space.save(buckets.groupBy("bucket").applyInArrow(_repeated(bits), "key long"), "crowded")
     bitmap = spark.sparkContext.broadcast(membership(turned(crowded), F.col("h")))
-    likely = own.where("text is not null").select("h", "text").transform(W.mapped, _likely(marks, bitmap), "fp binary, n long, keys array<long>, odd array<long>, words array<int>")
+    likely = own.where("text is not null").select("h", "text").transform(W.mapped, _likely(marks, bitmap, bits), "fp binary, n long, keys array<long>, odd array<long>, words array<int>")
     likely = likely.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "keys", "odd", "words")))
     # a number for each text; the table is written once and read from then on
     likely = space.save(likely.withColumn("t", F.monotonically_increasing_id()), "likely")
-    words = likely.select(F.col("t").alias("fp"), "words")
     each = likely.select(F.col("t").alias("fp"), "n", F.explode("keys").alias("key"))
     about = space.save(each.groupBy("key").agg(F.min("fp").alias("c"), F.max("fp").alias("d"), F.count("*").alias("m")).where("c != d"), "about")
     shared = space.save(salted_join(each, about.select("key", "c"), "key", F.col("fp"), counts=about.select("key", F.col("m").alias("n"))), "shared")
@@ -402,31 +531,35 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     best = pairs.groupBy("fp").agg(F.max(F.struct("n", "c")).alias("best")).select("fp", F.col("best.c").alias("c"))
 
     def verified(some: DataFrame) -> DataFrame:
+        words = held(likely, some.select("fp").union(some.select("c")))
         full = salted_join(some.join(words, "fp"), words.select(F.col("fp").alias("c"), F.col("words").alias("words_c")), "c", F.col("fp"), counts=some.groupBy("c").agg(F.count("*").alias("n")))
         return full.transform(W.mapped, _verify, "fp long, c long")
 
+    def alike(some: DataFrame, placed: DataFrame) -> DataFrame:
+        """The pairs (fp, c) that are of different classes and that sizes and sketches let pass, by texts (fp, n, odd, root)."""
+        centre = placed.select(F.col("fp").alias("c"), F.col("n").alias("n_c"), F.col("odd").alias("odd_c"), F.col("root").alias("root_c"))
+        both = salted_join(some.join(placed, "fp"), centre, "c", F.col("fp"), counts=some.groupBy("c").agg(F.count("*").alias("n")))
+        # sets of such sizes have sketches of one length, or of twice the other's
+        differ = F.aggregate(F.zip_with(halved("odd", "odd_c"), halved("odd_c", "odd"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+        sizes = 100 * F.least("n", "n_c") >= PERCENT * F.greatest("n", "n_c")
+        return both.where((F.col("root") != F.col("root_c")) & sizes & (differ <= F.floor(F.lit(100 - PERCENT) * (F.col("n") + F.col("n_c")) / (100 + PERCENT)))).select("fp", "c")
+
     def rooted(some: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """(node, root) by the links, where a root is a node as well."""
         roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, name)
         return some.join(roots, some["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
-    # the most frequent centre of each text first, then all others of other classes that sizes and sketches let pass
+    # the most frequent centre of each text first, then all others of other classes, as far as sizes and sketches let pass
     best = space.save(best, "best")
-    links = space.save(verified(best), "links")
     about_texts = likely.select(F.col("t").alias("fp"), "n", "odd")
+    links = space.save(verified(space.save(alike(best, about_texts.withColumn("root", F.col("fp"))), "likeliest")), "links")
     roots = space.save(rooted(about_texts.select("fp"), links, "first"), "roots")
-    placed = about_texts.join(roots, "fp")
-    centre = placed.select(F.col("fp").alias("c"), F.col("n").alias("n_c"), F.col("odd").alias("odd_c"), F.col("root").alias("root_c"))
-    rest = pairs.select("fp", "c").join(best, ["fp", "c"], "left_anti").join(placed, "fp")
-    rest = salted_join(rest, centre, "c", F.col("fp"))
-    # sets of such sizes have sketches of one length, or of twice the other's
-    differ = F.aggregate(F.zip_with(halved("odd", "odd_c"), halved("odd_c", "odd"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    sizes = 100 * F.least("n", "n_c") >= PERCENT * F.greatest("n", "n_c")
-    rest = space.save(rest.where((F.col("root") != F.col("root_c")) & sizes & (differ <= F.floor(F.lit(100 - PERCENT) * (F.col("n") + F.col("n_c")) / (100 + PERCENT)))).select("fp", "c"), "rest")
+    rest = pairs.select("fp", "c").join(best, ["fp", "c"], "left_anti")
+    rest = space.save(alike(rest, about_texts.join(roots, "fp")), "rest")
     links = links.union(space.save(verified(rest), "more"))
     roots = space.save(rooted(about_texts.select("fp"), links, "second"), "roots-2")
     members = salted_join(shared.select("key", "fp", "n"), roots, "fp", F.col("key"))
-    links = links.union(space.save(settled(members, likely, verified, space), "settled"))
+    links = links.union(space.save(settled(members, likely, space), "settled"))
     roots = connected_components(links.select(F.col("fp").alias("a"), F.col("c").alias("b")), space, "all")
     named = likely.select("fp", "t").join(roots.withColumnRenamed("node", "t"), "t", "left").select("fp", F.coalesce("root", "t").alias("root"))
     whole = texts.join(named, "fp", "left")

@@ -9,6 +9,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,6 +102,100 @@ def test_every_link_shares_a_signature(size, seed, share):
         assert set(keys[text == 0].tolist()) & set(keys[text == 1].tolist())
 
 
+def shuffled(spark, work):
+    """Bytes that the stages of a piece of work wrote to the shuffle."""
+    jvm, context = spark._jvm, spark.sparkContext
+    none = context._gateway.new_array(jvm.double, 0)
+
+    def stages():
+        found = context._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = stages()
+    work()
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(v for k, v in stages().items() if k not in before)
+
+
+def test_signatures_are_counted_in_a_few_bytes_each(spark):
+    rnd = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{x}" for x in rnd.integers(0, 10**6, 1500))) for i in range(300)]
+    n = sum(len(ngram_join.signatures(s.hashes, s.counts)[0]) for s in ngram_join.sets(pa.array([t for _, t in docs])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).localCheckpoint()
+    assert shuffled(spark, lambda: ngram_join.similar_texts(df).collect()) < 7 * n
+
+
+def test_repeated_signatures_are_found_in_buckets():
+    rnd = np.random.default_rng(4)
+    for bits in (0, 1, 9, 24):
+        keys = rnd.integers(0, 1 << 64, 5000, dtype=np.uint64)
+        again = keys[rnd.integers(0, 5000, 700)]
+        marks = type("All", (), {"value": None})()
+        found = set()
+        old, ngram_join._chosen = ngram_join._chosen, lambda _, batch: [(None, None, k, None) for k in batch]
+        try:
+            rows = pa.Table.from_batches(ngram_join._buckets(marks, bits)([[keys, again], [again, again]]))
+        finally:
+            ngram_join._chosen = old
+        # no signature more than twice from one task
+        assert sum(len(x) for x in rows["rest"].to_pylist()) == 4 * (5000 + len(set(again.tolist())))
+        for bucket in set(rows["bucket"].to_pylist()):
+            found |= set(ngram_join._repeated(bits)(rows.filter(pc.equal(rows["bucket"], bucket)))["key"].to_numpy().view(np.uint64).tolist())
+        assert found == set(ngram_join.shortened(again, bits).tolist())
+
+
+def test_first_of_each_shingle_of_a_text():
+    rnd = np.random.default_rng(5)
+    for most in (3, 500, 1 << 62):
+        doc = np.sort(rnd.integers(0, 40, 3000))
+        grams = rnd.integers(0, most, 3000).astype(np.uint64)
+        seen, want = set(), []
+        for pair in zip(grams.tolist(), doc.tolist(), strict=True):
+            want.append(pair not in seen)
+            seen.add(pair)
+        assert ngram_join.first_seen(grams, doc).tolist() == want
+
+
+def test_packs_of_groups_by_brute_force():
+    """Groups of one block and of two, sketches of two lengths, classes that links put together."""
+    rnd = np.random.default_rng(6)
+    texts = []
+    for _ in range(6):
+        base = rnd.integers(0, 1 << 31, 1010).astype(np.int32)
+        for _ in range(8):
+            w = np.concatenate([base, rnd.integers(0, 1 << 31, rnd.integers(0, 60)).astype(np.int32)])
+            w[rnd.integers(0, len(w), rnd.integers(0, 40))] = 7
+            texts.append(w)
+    own = [ngram_join.word_set(w) for w in texts]
+    odd = [ngram_join.parities(x, np.array([len(x)]))[0] for x in own]
+    assert len({len(x) for x in odd}) == 2
+    rows, near, links = [], set(), set()
+    for key in range(30):
+        members = rnd.choice(len(texts), rnd.integers(2, 20), replace=False).tolist()
+        blocks = {m: key % 2 * int(rnd.integers(0, 2)) for m in members}
+        rows += [{"key": key, "i": 0, "j": key % 2, "block": blocks[m], "fp": m, "root": m // 2, "n": len(own[m]), "odd": odd[m], "words": texts[m], "pack": 0} for m in members]
+        for a in members:
+            for b in members:
+                if a // 2 != b // 2 and (key % 2 == 0 or blocks[a] != blocks[b]):
+                    if ngram_join.linked(own[a], own[b]):
+                        links.add((a, b))
+                        near.update([(key, a), (key, b)])
+    table = pa.Table.from_pylist(rows)
+    got = ngram_join.near(table)
+    assert "pack" not in got.column_names and near <= set(zip(got["key"].to_pylist(), got["fp"].to_pylist(), strict=True))
+    assert got.num_rows < len(rows)
+    made = {tuple(r.values()) for r in ngram_join.settle(table).to_pylist()}
+    assert made and made <= links
+
+    def classes(pairs):
+        root = [m // 2 for m in range(len(texts))]
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+        return len(set(root)), {frozenset(k for k, r in enumerate(root) if r == x) for x in root}
+
+    assert classes(made) == classes(links)
+
+
 # -- vector codes
 
 
