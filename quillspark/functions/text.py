@@ -85,6 +85,16 @@ def contains_language(text: Column, language: str) -> Column:
     return F.coalesce(meaningful(text).rlike(f"[{LANGUAGES[language]}]"), F.lit(False))
 
 
+def has_letters_of(text: Column, language: str) -> Column:
+    """Whether a character of the language is anywhere in a text, in markup as well."""
+    return text.rlike(f"[{LANGUAGES[language]}]")
+
+
+def is_key_shaped(text: Column) -> Column:
+    """One run of letters, digits, _ and - with nothing but spaces around, or a slash anywhere."""
+    return text.rlike(r"^\p{Zs}*[\p{L}\p{N}_\-]+\p{Zs}*\z") | text.contains("/")
+
+
 def coda(token: Column) -> Column:
     """The final consonant of the last syllable (0 none, 8 rieul, other), of a Hangul syllable or a digit; else null."""
     last = F.right(token, F.lit(1))
