@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of terms that are sent to all tasks.
+BROADCAST = 1 << 20
+
 
 def ngrams(text: Column, longest: int, shortest: int = 1) -> Column:
     """All substrings of shortest to longest characters as (start, gram)."""
@@ -22,9 +25,11 @@ def contained_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, ter
     """(key, start, term) of every occurrence of a term of at most ``longest`` characters in a text.
 
     Substrings of the lengths that terms have, and only those, are joined with the terms as equal strings, whatever the
-    number of terms; the lengths are ``longest`` numbers at most."""
+    number of terms; the lengths are ``longest`` numbers at most.  A few terms, of BROADCAST characters at most, are sent to
+    all tasks; otherwise both sides are dealt by term, as the substrings must never be sent, however small their file is."""
     own = terms.select(F.col(term)).where(F.length(term).between(1, longest)).distinct()
-    lengths = sorted(r[0] for r in own.select(F.length(term)).distinct().collect())
+    counts = dict(own.groupBy(F.length(term)).count().collect())
+    lengths = sorted(counts)
     size = F.length(text)
 
     def of_length(n: int) -> Column:
@@ -33,7 +38,8 @@ def contained_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, ter
 
     none = F.array().cast(f"array<struct<start: int, `{term}`: string>>")
     rows = texts.select(key, F.explode(F.concat(none, *map(of_length, lengths))).alias("g")).select(key, "g.*")
-    return rows.join(own, term)
+    few = sum(n * c for n, c in counts.items()) <= BROADCAST
+    return rows.join(F.broadcast(own), term) if few else rows.hint("merge").join(own, term)
 
 
 def term_runs(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:

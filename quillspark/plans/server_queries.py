@@ -19,6 +19,7 @@ from quillspark.operators.collaboration import outcomes
 from quillspark.plans.frames import SEGMENTS, segments, table
 from quillspark.plans.generated import WORDS, chosen, chosen_sql, filled, filled_sql
 from quillspark.plans.queries import query
+from quillspark.plans.shared import dealt
 
 _TYPE = "CASE p_partkey % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'header' ELSE 'script' END"
 _KIND = "CASE WHEN p_partkey % 5 = 0 THEN 'identifier-function' ELSE 'print' END"
@@ -294,7 +295,7 @@ _TEXT = filled_sql("古い@wと@wの話", "p_partkey")
 @query(f"""SELECT p_partkey, CAST(i - 1 AS INTEGER) AS start, t.term FROM part, (VALUES {", ".join(f"('{w}')" for w in [*WORDS, "話", "い薬"])}) t(term), unnest(generate_series(1, length({_TEXT}))) s(i) WHERE substr({_TEXT}, i, length(t.term)) = t.term""")
 def contained_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms anywhere in texts without blanks, by character n-grams."""
-    texts = table(spark, sf_dir, "part").select("p_partkey", filled("古い@wと@wの話", F.col("p_partkey")).alias("text"))
+    texts = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", filled("古い@wと@wの話", F.col("p_partkey")).alias("text"))
     terms = spark.createDataFrame([(w,) for w in [*WORDS, "話", "い薬"]], "term string")
     return L.contained_terms(texts, "p_partkey", "text", terms, "term", 2).select("p_partkey", "start", "term")
 
