@@ -30,7 +30,7 @@ def sums(steps: Column) -> Column:
     def whole(own: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int")), lambda b: F.slice(own, b * BLOCK + 1, BLOCK))
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all"))
-        return F.when(F.size(own) > 0, F.flatten(F.aggregate(blocks, zero, joined, lambda a: a["all"]))).otherwise(empty)
+        return F.when(F.size(own) <= BLOCK, grown(own, F.lit(0))["all"]).otherwise(F.flatten(F.aggregate(blocks, zero, joined, lambda a: a["all"])))
 
     return bound(steps, whole)
 

@@ -342,38 +342,45 @@ def identifiers(lines: DataFrame, namespaces: list[str] | None = None) -> DataFr
     Names in quotes, keys of a namespace, properties, reserved words and particles do not count, nor do the words of
     print lines outside %...% and {...}."""
     spaces = NAMESPACES if namespaces is None else namespaces
-    rows = code_lines(lines).withColumn("own", without_comment(F.col("code")))
+    rows = code_lines(lines).withColumn("own", without_comment(F.col("code"))).where(F.col("own").rlike(f"[{T.TRANSLATABLE}]"))
     own = F.col("own")
-    head = own.rlike(r"^\s*@")
-    declares = own.rlike(r"(?i)^\s*#DIMS?\b")
     target = rf"(?i)^(\s*(?:TRY)?(?:CALL|JUMP|GOTO)(?:FORM)?\s+)({NAME})"
     assigned = rf"^(\s*(?:(?:VARI|VARS)\s+)?)({NAME})\s*(?::[^=]*)?(?:'=|[-+*/|&]?=(?!=))"
-    prints = own.rlike(r"(?i)^\s*(?:PRINT|DATA|DRAWLINEFORM|CUSTOMDRAWLINE|REUSELASTLINE|THROW)")
+    # each step is a column of its own, so that it is worked out once a line, however often the next one names it
+    rows = rows.select(
+        "document_id", "line_number", "start", "own", own.rlike(r"^\s*@").alias("head"), own.rlike(r"(?i)^\s*#DIMS?\b").alias("declares"), own.rlike(r"^\s*#").alias("directive"),
+        own.rlike(r"(?i)^\s*(?:PRINT|DATA|DRAWLINEFORM|CUSTOMDRAWLINE|REUSELASTLINE|THROW)").alias("prints"), F.regexp_extract(own, target, 1).alias("goal"),
+    )
+    head, declares, prints, goal = (F.col(c) for c in ("head", "declares", "prints", "goal"))
     # what counts is kept, everything else blanked, so that places stay
-    shown = F.when(prints, replaced(own, r"%[^%\r\n]+%|\{[^{}\r\n]+\}", lambda m: F.translate(m, "%{}", "\u0001\u0001\u0001"))).otherwise(own)
-    masked = replaced(shown, QUOTED, lambda m: F.repeat(F.lit(" "), F.length(m)))
-    kept = F.when(prints, blanked(masked)).otherwise(masked)
+    rows = rows.withColumn("shown", F.when(prints, replaced(own, r"%[^%\r\n]+%|\{[^{}\r\n]+\}", lambda m: F.translate(m, "%{}", "\u0001\u0001\u0001"))).otherwise(own))
+    rows = rows.withColumn("masked", replaced(F.col("shown"), QUOTED, lambda m: F.repeat(F.lit(" "), F.length(m))))
+    rows = rows.withColumn("kept", F.when(prints, blanked(F.col("masked"))).otherwise(F.col("masked")))
+    kept = F.col("kept")
 
     def spot(pattern: str, kind: str, role: str) -> Column:
-        lead, name = F.regexp_extract(own, pattern, 1), F.regexp_extract(own, pattern, 2)
-        return F.when(name != "", F.struct(F.length(lead).alias("at"), name.alias("name"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(0).alias("rank")))
+        def one(name: Column) -> Column:
+            return F.when(name != "", F.struct(F.length(F.regexp_extract(own, pattern, 1)).alias("at"), name.alias("name"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(0).alias("rank")))
+
+        return bound(F.regexp_extract(own, pattern, 2), one)
 
     def listed(column: Column, pattern: str, kind: str, role: str, rank: int) -> Column:
         return F.transform(found(column, pattern), lambda m: F.struct(m["start"].alias("at"), m["value"].alias("name"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(rank).alias("rank")))
 
     single = F.array_compact(F.array(
-        spot(rf"^(\s*@\s*)({NAME})", "function", "definition"),
+        F.when(head, spot(rf"^(\s*@\s*)({NAME})", "function", "definition")),
         F.when(declares, spot(rf"(?i)^(\s*#DIMS?\s+(?:(?:CONST|SAVEDATA|DYNAMIC|GLOBAL|REF|CHARADATA)\s+|,\s*)*)({NAME})", "variable", "declaration")),
-        F.when(~head & ~own.rlike(r"^\s*#"), spot(assigned, "variable", "assignment")),
-        spot(target, "function", "call"),
+        F.when(~head & ~F.col("directive"), spot(assigned, "variable", "assignment")),
+        F.when(goal != "", spot(target, "function", "call")),
     ))
-    goal = F.length(F.regexp_extract(own, target, 1))
     called = listed(kept, rf"(?<![\p{{L}}\p{{N}}_:]){NAME}(?=\s*\()", "function", "call", 1)
     used = listed(kept, rf"(?<![\p{{L}}\p{{N}}_:@.]){NAME}(?![\p{{L}}\p{{N}}_]|\s*\()", "variable", "reference", 2)
-    used = F.filter(used, lambda u: (goal == 0) | (u["at"] != goal))
-    parameters = listed(F.when(head, own).otherwise(F.lit("")), rf"(?<=[(,])\s*{NAME}", "variable", "argument", 0)
+    used = F.filter(used, lambda u: (goal == "") | (u["at"] != F.length(goal)))
+    parameters = listed(own, rf"(?<=[(,])\s*{NAME}", "variable", "argument", 0)
     parameters = F.transform(parameters, lambda p: p.withField("at", p["at"] + F.length(p["name"]) - F.length(F.ltrim(p["name"]))).withField("name", F.ltrim(p["name"])))
-    every = F.concat(single, parameters, F.when(head | own.rlike(r"^\s*#(?!DIM)"), F.slice(called, 1, 0)).otherwise(F.concat(called, used)))
+    # definitions have no calls and uses, nor have directives but declarations
+    none = F.array().cast("array<struct<at: int, name: string, kind: string, role: string, rank: int>>")
+    every = F.concat(single, F.when(head, parameters).otherwise(none), F.when(head | own.rlike(r"^\s*#(?!DIM)"), none).otherwise(F.concat(called, used)))
     flat = rows.select("document_id", "line_number", "start", "own", F.explode(every).alias("x"))
     # next to a point a name is a property, next to a colon a namespace or a key
     before, after = F.substring(own, F.col("x.at"), F.lit(1)), F.substring(own, F.col("x.at") + F.length("x.name") + 1, F.lit(1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from quillspark.operators import references as R
 from quillspark.plans.generated import scripts
 from quillspark.plans.shared import dealt
+from quillspark.sources import symbols
+from quillspark.sources.syntax import QUOTED
 
 
 def plan(df) -> str:
@@ -28,3 +30,11 @@ def test_files_are_not_broadcast_by_their_size(spark, monkeypatch):
     got = sorted(map(tuple, R.propagate_keys(known, calls).collect()))
     assert got == [("F", 1, "DIMS:A"), ("G", 0, "DIMS:A"), ("H", 2, "DIMS:A")]
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_steps_of_identifiers_are_worked_out_once(spark):
+    """Nested in each other, the steps that blank strings and text out would be repeated for each use of the next one."""
+    lines = spark.createDataFrame([("d", 0, 0, "X = 変数 + 処理(1)")], "document_id string, line_number int, start int, code string")
+    own = symbols.identifiers(lines)
+    assert own._jdf.queryExecution().optimizedPlan().toString().count(QUOTED) <= 4
+    assert sorted((r.start, r.name, r.role) for r in own.collect()) == [(4, "変数", "reference"), (9, "処理", "call")]
