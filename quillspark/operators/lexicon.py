@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,24 +100,32 @@ def free_range_choice(matches: DataFrame, group: str) -> DataFrame:
     """Of matches (group, source, priority, score, ranges of (text_id, start, end)), in order of priority, length, score
     and source, those with a range that is still free; a match that is taken occupies all its ranges.
 
-    Groups are provider batches, whose size is bounded; each is one call."""
-    import pandas as pd
+    Groups are provider batches, whose size is bounded; a task reads many of them at a time."""
+    own = F.sort_array(F.collect_list(F.struct("priority", F.length("source").alias("size"), "score", "source", "ranges")))
+    groups = matches.groupBy(group).agg(own.alias("rows"))
+
+    def order(row: dict) -> tuple:
+        """What is null comes last."""
+        return *((row[c] is None, -(row[c] or 0)) for c in ("priority", "size", "score")), row["source"] is None, row["source"] or ""
 
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        size = part["source"].str.len()
-        rows = part.assign(__n=size).sort_values(["priority", "__n", "score", "source"], ascending=[False, False, False, True])
+    def choose(rows: list[dict]) -> Iterator[str]:
         taken: dict = {}
-        kept = []
-        for i, ranges in zip(rows.index, rows["ranges"], strict=True):
+        for row in sorted(rows, key=order):
+            ranges = row["ranges"]
             if all(any(r["start"] < b and a < r["end"] for a, b in taken.get(r["text_id"], ())) for r in ranges):
                 continue
-            kept.append(i)
+            yield row["source"]
             for r in ranges:
                 taken.setdefault(r["text_id"], []).append((r["start"], r["end"]))
-        return rows.loc[kept, [group, "source"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(k, source) for k, rows in enumerate(batch.column("rows").to_pylist()) for source in choose(rows)]
+            at, sources = zip(*kept, strict=True) if kept else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(group).take(pa.array(at, pa.int64())), pa.array(sources, pa.string())], names=[group, "source"])
 
     kind = matches.schema[group].dataType.simpleString()
-    return matches.groupBy(group).applyInPandas(choose, f"`{group}` {kind}, source string")
+    return groups.mapInArrow(run, f"`{group}` {kind}, source string")
 
 
 def import_dictionary(lines: DataFrame, line: str, modes: dict[str, str], enabled: dict[str, bool], header: str) -> DataFrame:
