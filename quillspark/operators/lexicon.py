@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Characters of terms that are sent to all tasks.
 BROADCAST = 1 << 20
+#: First characters of terms that substrings are chosen by; where there are more, all substrings are looked up.
+FIRSTS = 4096
 
 
 def ngrams(text: Column, longest: int, shortest: int = 1) -> Column:
@@ -33,13 +35,18 @@ def contained_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, ter
     own = terms.select(F.col(term)).where(F.length(term).between(1, longest)).distinct()
     counts = dict(own.groupBy(F.length(term)).count().collect())
     lengths = sorted(counts)
+    firsts = [r[0] for r in own.select(F.substring(term, 1, 1)).distinct().limit(FIRSTS + 1).collect()]
     size = F.length(text)
+    # a substring that begins as no term does is none
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    if firsts and len(firsts) <= FIRSTS:
+        places = F.filter(places, lambda i: F.substring(F.col(text), i + 1, F.lit(1)).isin(firsts))
 
     def of_length(n: int) -> Column:
-        places = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(i.alias("start"), F.substring(F.col(text), i + 1, F.lit(n)).alias(term)))
+        return F.transform(F.filter("__places", lambda i: i <= size - n), lambda i: F.struct(i.alias("start"), F.substring(F.col(text), i + 1, F.lit(n)).alias(term)))
 
     none = F.array().cast(f"array<struct<start: int, `{term}`: string>>")
+    texts = texts.select(key, text, places.alias("__places"))
     rows = texts.select(key, F.explode(F.concat(none, *map(of_length, lengths))).alias("g")).select(key, "g.*")
     few = sum(n * c for n, c in counts.items()) <= BROADCAST
     return rows.join(F.broadcast(own), term) if few else rows.hint("merge").join(own, term)

@@ -5,6 +5,7 @@ validation and can_save."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,8 @@ from quillspark.sources.syntax import looks_like_symbol_expression
 PHASES = ["csv_reference_keys", "csv_general", "identifiers", "header", "script"]
 MASKS = {phase: 1 << k for k, phase in enumerate(PHASES)}
 SOURCE_CHARS, TARGET_CHARS = 40, 80
+#: Rows that a task numbers.
+NUMBERED = 1 << 15
 SENTENCE = "[。！？!?'\"]"
 SUCCESS = ["DONE", "NEEDS_REVIEW", "MANUAL"]
 STOPPED = "STOPPED"
@@ -93,6 +96,23 @@ def representatives(items: DataFrame) -> DataFrame:
     return waits.groupBy("original_text").agg(first).select("original_text", F.col("x.segment_id").alias("segment_id"), F.col("x.relative_path").alias("relative_path"), F.col("x.line_number").alias("line_number"))
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], most: int = NUMBERED) -> DataFrame:
+    """The rows with their number (from 1) in their group, in an order that tells them apart.  They are dealt to tasks of about
+    ``most`` rows by ranges of the order; each range is numbered on its own, from where the group's ranges before it end, so
+    no group is sorted by one task."""
+    spread = saved(rows, "numbered-rows")
+    parts = math.ceil(spread.count() / most)
+    if parts <= 1:
+        return spread.withColumn("number", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    ranged = saved(spread.repartitionByRange(parts, group, *order).withColumn("__part", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(group, "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n").withColumnRenamed("__part", "__range")
+    own = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order))
+    out = ranged.withColumn("__own", own).withColumnRenamed(group, "__group")
+    same = F.col("__group").eqNullSafe(F.col(group)) & (F.col("__part") == F.col("__range"))
+    return out.join(starts, same).select(*rows.columns, (F.col("__own") + F.col("__before")).cast("int").alias("number"))
+
+
 Provider = Callable[[DataFrame], DataFrame]
 
 
@@ -108,12 +128,13 @@ def translated(items: DataFrame, provider: Provider, source: str, target: str, b
     With ``hints`` (source, target) requests have a column hints besides: (source, target) of the terms that their text
     holds, at most ``most_hints`` of at most ``hint_chars`` characters, longest first."""
     asked = placeholders.protected(representatives(items), "original_text", "p")
-    w = Window.partitionBy("relative_path").orderBy("line_number", "segment_id")
-    asked = saved(asked.select("segment_id", "original_text", "p.text", "p.placeholders", F.floor((F.row_number().over(w) - 1) / batch_size).alias("batch")), "requests")
+    asked = numbered(asked.select("segment_id", "original_text", "relative_path", "line_number", "p.text", "p.placeholders"), "relative_path", ["line_number", "segment_id"])
+    asked = saved(asked.select("segment_id", "original_text", "text", "placeholders", F.floor((F.col("number") - 1) / batch_size).alias("batch")), "requests")
     left, done = asked, None
     for attempt in range(max(0, min(retries, 10)) + 1):
         requests = left.select("segment_id", "text", "batch", F.lit(attempt).alias("attempt"))
-        answers = provider(requests if hints is None else with_hints(requests, asked, hints, most_hints, hint_chars))
+        # a provider may read its requests more than once
+        answers = provider(requests if hints is None else saved(with_hints(requests, asked, hints, most_hints, hint_chars), f"hinted-{attempt}"))
         got = left.join(answers, "segment_id", "left")
         repaired = placeholders.repair_tokens(F.col("translated"), F.col("placeholders"))
         lost = placeholders.token_error(repaired, F.col("placeholders"))
@@ -166,6 +187,8 @@ def by_phases(items: DataFrame, provider: Provider, source: str, target: str, fe
     done = None
     for name in PHASES:
         own = items.where(F.col("phase") == name)
+        if own.isEmpty():
+            continue
         known = None if done is None else only_one(done.where(F.col("status").isin(SUCCESS)), ["original_text"], "translated_text").withColumnRenamed("translated_text", "__a")
         if known is not None:
             own = own.join(known, "original_text", "left")
@@ -174,4 +197,4 @@ def by_phases(items: DataFrame, provider: Provider, source: str, target: str, fe
         own_hints = {"hints": saved(glossary(done, name), f"hints-{name}")} if feed and done is not None else {}
         result = saved(translated(own, provider, source, target, **own_hints, **options), f"phase-{name}")
         done = result if done is None else done.unionByName(result)
-    return done
+    return items.where("false").withColumn("reason", F.lit(None).cast("string")) if done is None else done
