@@ -5,7 +5,7 @@ from __future__ import annotations
 from quillspark.operators import references as R
 from quillspark.plans.generated import scripts
 from quillspark.plans.shared import dealt
-from quillspark.sources import symbols
+from quillspark.sources import segments, symbols
 from quillspark.sources.syntax import QUOTED
 
 
@@ -38,3 +38,12 @@ def test_steps_of_identifiers_are_worked_out_once(spark):
     own = symbols.identifiers(lines)
     assert own._jdf.queryExecution().optimizedPlan().toString().count(QUOTED) <= 4
     assert sorted((r.start, r.name, r.role) for r in own.collect()) == [(4, "変数", "reference"), (9, "処理", "call")]
+
+
+def test_only_declarations_and_labels_are_looked_up(spark):
+    """A join of all lines puts those that declare nothing in one task; the rest is worked on where it is."""
+    lines = spark.createDataFrame([("d", 0, 0, '#DIMS 表 = "鍵"'), ("d", 1, 13, "PRINTL 文です。"), ("d", 2, 30, "SELECTCASE 表:0"), ("d", 3, 46, 'CASE "鍵"')], "document_id string, line_number int, start int, code string")
+    lookups = spark.createDataFrame([("表",)], "name string")
+    own = segments.segments(lines, lookups)
+    assert {(r.start, r.text, r.segment_type) for r in own.collect()} == {(11, "鍵", "dims-lookup-key"), (20, "文です。", "print-tail")}
+    assert "Union" in own._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
