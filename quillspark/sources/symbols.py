@@ -303,7 +303,9 @@ def key_list_references(lines: DataFrame, namespaces: list[str] | None = None) -
 def split_key_references(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """(document_id, line_number, start, length, namespace, key) of the fields of declared split arrays that are keys;
     ``splits`` is the registry of ``split_lookups``."""
-    own = segments(lines, splits=splits).where("segment_type = 'split-lookup-key'")
+    # no other lines have such fields
+    declared = lines.where(F.col("code").rlike(r"(?i)^\s*#DIMS?\s"))
+    own = segments(declared, splits=splits).where("segment_type = 'split-lookup-key'")
     return own.select("document_id", "line_number", "start", "length", "namespace", F.col("text").alias("key")).where(is_symbol_key(F.col("key")))
 
 
